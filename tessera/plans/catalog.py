@@ -1,7 +1,8 @@
 """The query catalog: one callable ``(spark, sf_dir) -> DataFrame`` per operator key.
 
 Every query reads the given tables (``documents`` and what Spark derives from it) in
-full. Doubles are rounded to 6 places at the output so engines agree on the last bits.
+full. Doubles are rounded to 6 places at the output so engines agree on the last bits;
+counts are BIGINT, positions INT.
 """
 
 from __future__ import annotations
@@ -11,15 +12,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.calibrate import calibrate
-from ..operators.decode import PRED_COLS, decode
-from ..operators.rules import detect_rules
-from ..schema import RULE_LABELS, RewriteMode
+from ..functions.bio import label_id, label_name
+from ..operators.calibrate import best_threshold, calibrate, quality_gate
+from ..operators.decode import PRED_COLS, decode, rules_plus_model, sweep_words, threshold_pick
+from ..operators.entities import (align_real_pred, entity_f5_by_type, entity_f5_micro, entity_match,
+                                  entity_spans, error_report, label_sequences)
+from ..operators.labels import class_encode, doc_target_counts, label_encode, label_vocab
+from ..operators.pieces import piece_labels, truncate_right
+from ..operators.prepare import doc_counts_by, double_truncate, filter_positive_docs, truncate_left
+from ..operators.rules import detect_emails, detect_rules, find_spans, phone_targets
+from ..operators.scoring import ensemble_scores, focal_loss, hash_logits, with_argmax
+from ..operators.splits import holdout_split, kfold_split, nested_split, seeded_shuffle, test_documents
+from ..operators.tokens import detokenized, token_explode
+from ..schema import (LOGIT_COLS, PROB_COLS, RULE_LABELS, TARGET_LABELS, TEST_MAX_PIECES, TRAIN_MAX_PIECES,
+                      TRUNCATE_LEFT_WORDS, RewriteMode)
 from ..session import apply_conf
+from ..sources.corpus import chained_offsets, head_fraction, next_offset
 from .fixtures import Fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The operating point of the single-threshold queries (the grid's second value).
+DECODE_THRESHOLD = 0.25
+GATE_MODE = RewriteMode.REWRITE_STARTING_I
+
 
 def _fx(spark: SparkSession, sf_dir: str) -> Fixture:
     apply_conf(spark)
@@ -33,31 +49,376 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+def _long(c: str) -> F.Column:
+    return F.col(c).cast("long").alias(c)
+
+
 CAL_COLS = ("threshold", "tp", "n_pred", "n_true", "precision", "recall", "f5")
 
 
-def _calibrate(mode: int, rules: bool = False) -> Query:
+# ---- sources, corpora, splits -------------------------------------------------------------
+
+def q_corpus_load(spark, sf_dir):
+    c = _fx(spark, sf_dir).corpus
+    return c.select(
+        "document",
+        F.length("full_text").cast("long").alias("n_chars"),
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.size("provided_labels").cast("long").alias("n_labels"),
+        F.size(F.filter("provided_labels", lambda x: x.isin(*TARGET_LABELS))).cast("long").alias("n_target"),
+    )
+
+
+def q_corpus_project(spark, sf_dir):
+    c = _fx(spark, sf_dir).corpus
+    return c.select("document", "full_text", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def q_corpus_renumber(spark, sf_dir):
+    return _fx(spark, sf_dir).loaded.select("corpus", "source_document", "document")
+
+
+def q_next_offset(spark, sf_dir):
+    raw = _fx(spark, sf_dir).loaded_raw
+    stats = raw.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.max("document").alias("max_id"))
+    return chained_offsets(stats).select("corpus", _long("n"), _long("offset"), _long("next_offset"))
+
+
+def q_head_fraction(spark, sf_dir):
+    d = _fx(spark, sf_dir).doc_sources
+    return head_fraction(d, 10, group_cols=("corpus",)).select("corpus", "document")
+
+
+def q_corpus_union(spark, sf_dir):
+    return _fx(spark, sf_dir).loaded.select("corpus", "document", F.length("text").cast("long").alias("n_chars"))
+
+
+def q_kfold_split(spark, sf_dir):
+    return kfold_split(_fx(spark, sf_dir).docs.select("document"), 5, 42)
+
+
+def q_nested_split(spark, sf_dir):
+    return nested_split(_fx(spark, sf_dir).docs.select("document"))
+
+
+def q_holdout_split(spark, sf_dir):
+    return holdout_split(_fx(spark, sf_dir).docs.select("document"), 0.2, 42)
+
+
+def q_seeded_shuffle(spark, sf_dir):
+    return seeded_shuffle(_fx(spark, sf_dir).docs.select("document"), 42)
+
+
+# ---- tokens, labels, pieces ----------------------------------------------------------------
+
+def q_token_explode(spark, sf_dir):
+    return token_explode(_fx(spark, sf_dir).corpus)
+
+
+def q_detokenize(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    d = detokenized(fx.corpus).join(fx.docs.select("document", F.col("text").alias("_orig")), "document")
+    return d.select("document", F.length("text").cast("long").alias("n_chars"),
+                    (F.col("text") == F.col("_orig")).alias("lossless"))
+
+
+def q_char_spans(spark, sf_dir):
+    return _fx(spark, sf_dir).words.select("document", "token", "word", "char_start", "char_end")
+
+
+def q_label_vocab(spark, sf_dir):
+    return label_vocab(_fx(spark, sf_dir).silver)
+
+
+def q_label_encode(spark, sf_dir):
+    s = _fx(spark, sf_dir).silver.select("document", "token", "label")
+    return label_encode(s, label_vocab(s)).select("document", "token", "label", "label_id")
+
+
+def q_class_encode(spark, sf_dir):
+    counts = doc_target_counts(_fx(spark, sf_dir).silver)
+    return class_encode(counts.select("document", "group"), "group").select(
+        "document", "group", F.col("group_code").cast("int").alias("group_code"))
+
+
+def q_doc_target_counts(spark, sf_dir):
+    return doc_target_counts(_fx(spark, sf_dir).silver).select("document", "n_words", "target_num", "group")
+
+
+def q_doc_piece_length(spark, sf_dir):
+    p = _fx(spark, sf_dir).pieces
+    c = p.groupBy("document").agg(F.count(F.lit(1)).alias("n_pieces"))
+    return c.select("document", _long("n_pieces"),
+                    F.least(F.col("n_pieces"), F.lit(TRAIN_MAX_PIECES)).cast("long").alias("length"))
+
+
+def q_filter_positive_docs(spark, sf_dir):
+    return filter_positive_docs(_fx(spark, sf_dir).silver).select("document", "n_words", "target_num", "group")
+
+
+def q_truncate_left(spark, sf_dir):
+    s = _fx(spark, sf_dir).silver
+    t = truncate_left(s, TRUNCATE_LEFT_WORDS)
+    return t.select("document", "token", F.col("word").alias("token_value"), "label", "n_words")
+
+
+def q_truncate_right(spark, sf_dir):
+    return truncate_right(_fx(spark, sf_dir).pieces, TEST_MAX_PIECES).select("document", "piece", "start", "end")
+
+
+def _offset_after(df: DataFrame) -> int:
+    # One scalar (max id + 1), as the original keeps it in a variable.
+    return int(next_offset(df).first()["offset"])
+
+
+def q_document_shift(spark, sf_dir):
+    d = _fx(spark, sf_dir).docs.select("document")
+    off = _offset_after(d)
+    return d.select(F.col("document").alias("source_document"),
+                    (F.col("document") + F.lit(off)).cast("long").alias("document"))
+
+
+def q_double_truncate(spark, sf_dir):
+    s = _fx(spark, sf_dir).silver
+    off = _offset_after(s.select("document"))
+    doubled = double_truncate(s, off, TRUNCATE_LEFT_WORDS)
+    return doc_counts_by(doubled, ("copy",)).select("copy", "document", "n_words", "target_num", "group")
+
+
+def q_prepare_training_set(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    loaded = fx.loaded.select("corpus", "source_document", "document")
+    words = fx.silver.select("document", "token", "n_words", "label")
+    base_docs = loaded.where(F.col("corpus") == 0).select("document")
+    train = nested_split(base_docs).where(F.col("split") == "train").select("document")
+    off = int(loaded.agg((F.max("document") + 1).alias("o")).first()["o"])
+    base_words = words.join(train, "document", "left_semi")
+    base = doc_counts_by(double_truncate(base_words, off, TRUNCATE_LEFT_WORDS), ("copy",))
+    base = base.where(F.col("group") == 1).withColumn("origin", F.concat(F.lit("base_"), F.col("copy")))
+    extra_map = loaded.where(F.col("corpus") == 1).select(
+        F.col("source_document").alias("_src"), F.col("document").alias("_new"))
+    extra_words = words.join(extra_map, words["document"] == extra_map["_src"], "inner").select(
+        F.col("_new").alias("document"), "token", "n_words", "label")
+    extra = doc_counts_by(truncate_left(extra_words, TRUNCATE_LEFT_WORDS).withColumn("copy", F.lit("cut")),
+                          ("copy",)).withColumn("origin", F.lit("extra"))
+    final = base.select("origin", "document", "n_words", "target_num", "group").unionByName(
+        extra.select("origin", "document", "n_words", "target_num", "group"))
+    pos = seeded_shuffle(final.select("document"), 42)
+    return final.join(pos, "document").select("origin", "document", "position", "n_words", "target_num", "group")
+
+
+# ---- rules ----------------------------------------------------------------------------------
+
+def q_detect_emails(spark, sf_dir):
+    return detect_emails(_fx(spark, sf_dir).words).select(*PRED_COLS)
+
+
+def q_detect_phones(spark, sf_dir):
+    return _fx(spark, sf_dir).phones.select(*PRED_COLS)
+
+
+def q_detect_rules(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return detect_rules(fx.docs, fx.words).select(*PRED_COLS)
+
+
+def q_find_span(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    targets = phone_targets(fx.docs)
+    words = fx.words.join(targets.select("document").distinct(), "document", "left_semi")
+    return find_spans(words, targets).select("document", "start", "end").distinct()
+
+
+# ---- scores ---------------------------------------------------------------------------------
+
+def q_score_pieces(spark, sf_dir):
+    return hash_logits(_fx(spark, sf_dir).pieces).select("document", "piece", *LOGIT_COLS)
+
+
+def q_softmax_scores(spark, sf_dir):
+    return rounded(_fx(spark, sf_dir).scores.select("document", "piece", *PROB_COLS))
+
+
+def q_argmax_label(spark, sf_dir):
+    s = with_argmax(_fx(spark, sf_dir).scores)
+    return s.select("document", "piece", "l_all", "l_no",
+                    label_name(F.col("l_all")).alias("label_all"), label_name(F.col("l_no")).alias("label_no"))
+
+
+def q_ensemble_scores(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return rounded(ensemble_scores([(fx.scores, 1.0), (fx.scores_b, 2.0)]))
+
+
+def q_focal_loss(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    labels = piece_labels(fx.pieces, fx.silver).select("document", "piece", label_id(F.col("label")).alias("label_id"))
+    return rounded(focal_loss(fx.scores, labels).select("loss", _long("n_rows")))
+
+
+def q_threshold_pick(spark, sf_dir):
+    return threshold_pick(_fx(spark, sf_dir).scores, DECODE_THRESHOLD)
+
+
+def q_align_pieces(spark, sf_dir):
+    return _fx(spark, sf_dir).cands.select("document", "piece", "token", "token_str")
+
+
+def q_piece_labels(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return piece_labels(fx.pieces, fx.silver)
+
+
+# ---- decoding -------------------------------------------------------------------------------
+
+def _decode(mode: int, threshold: float = DECODE_THRESHOLD, ignored: tuple[str, ...] = ()) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx = _fx(spark, sf_dir)
-        rule_hits = detect_rules(fx.docs, fx.words) if rules else None
-        return rounded(calibrate(fx.cands, fx.silver, mode=mode, rules=rule_hits).select(*CAL_COLS))
+        return rounded(decode(fx.cands, threshold, mode, ignored).select(*PRED_COLS))
     return run
 
 
-def _decode(mode: int, threshold: float = 0.25, ignored: tuple[str, ...] = ()) -> Query:
+def q_decode_first_piece(spark, sf_dir):
+    from ..schema import THRESHOLDS
+    w = sweep_words(_fx(spark, sf_dir).cands, THRESHOLDS)
+    return rounded(w.select("threshold", *PRED_COLS))
+
+
+def q_rules_plus_model(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    model = decode(fx.cands, DECODE_THRESHOLD, GATE_MODE, RULE_LABELS)
+    rules = detect_rules(fx.docs, fx.words)
+    return rounded(rules_plus_model(model, rules).select(*PRED_COLS))
+
+
+# ---- entities and metrics -------------------------------------------------------------------
+
+def _preds(fx: Fixture) -> DataFrame:
+    return decode(fx.cands, DECODE_THRESHOLD, GATE_MODE)
+
+
+def q_entity_spans(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    p = entity_spans(_preds(fx)).withColumn("source", F.lit("pred"))
+    t = entity_spans(fx.silver).withColumn("source", F.lit("true"))
+    return p.unionByName(t).select("source", "document", "entity_type", "start", "end")
+
+
+def q_entity_match(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return entity_match(entity_spans(_preds(fx)), entity_spans(fx.silver))
+
+
+def q_entity_f5_micro(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return rounded(entity_f5_micro(entity_spans(_preds(fx)), entity_spans(fx.silver)))
+
+
+def q_entity_f5_by_type(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return rounded(entity_f5_by_type(entity_spans(_preds(fx)), entity_spans(fx.silver)).select(
+        "entity_type", "tp", "n_pred", "n_true", "precision", "recall", "f5"))
+
+
+def _aligned(fx: Fixture) -> DataFrame:
+    return align_real_pred(fx.real, _preds(fx))
+
+
+def q_label_sequences(spark, sf_dir):
+    s = label_sequences(_aligned(_fx(spark, sf_dir)))
+    return s.select("document", F.size("labels_real").cast("long").alias("n_tokens"),
+                    F.array_join("labels_real", " ").alias("labels_real"),
+                    F.array_join("labels_pred", " ").alias("labels_pred"))
+
+
+def q_align_real_pred(spark, sf_dir):
+    return rounded(_aligned(_fx(spark, sf_dir)))
+
+
+def q_error_report(spark, sf_dir):
+    return rounded(error_report(_aligned(_fx(spark, sf_dir))))
+
+
+def q_semi_join_test_docs(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    test = test_documents(fx.docs.select("document"))
+    return fx.real.join(test, "document", "left_semi").select("document", "token", "token_value", "label")
+
+
+# ---- calibration ----------------------------------------------------------------------------
+
+def _calibrate(mode: int, rules: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx = _fx(spark, sf_dir)
-        return rounded(decode(fx.cands, threshold, mode, ignored).select(*PRED_COLS))
+        rule_hits = detect_rules(fx.docs, fx.words) if rules else None
+        return rounded(calibrate(fx.cands, fx.silver, mode=mode, rules=rule_hits).select(*CAL_COLS))
     return run
 
 
+def q_best_threshold(spark, sf_dir):
+    return best_threshold(_calibrate(GATE_MODE)(spark, sf_dir))
+
+
+def q_quality_gate(spark, sf_dir):
+    return quality_gate(q_best_threshold(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
-    "calibrate_no_rewrite": _calibrate(RewriteMode.NO_REWRITE),
-    "calibrate_rewrite_i": _calibrate(RewriteMode.REWRITE_STARTING_I),
-    "calibrate_rewrite_both": _calibrate(RewriteMode.REWRITE_BOTH),
-    "calibrate_with_rules": _calibrate(RewriteMode.REWRITE_STARTING_I, rules=True),
+    "corpus_load": q_corpus_load,
+    "corpus_project": q_corpus_project,
+    "corpus_renumber": q_corpus_renumber,
+    "next_offset": q_next_offset,
+    "head_fraction": q_head_fraction,
+    "corpus_union": q_corpus_union,
+    "kfold_split": q_kfold_split,
+    "nested_split": q_nested_split,
+    "holdout_split": q_holdout_split,
+    "seeded_shuffle": q_seeded_shuffle,
+    "token_explode": q_token_explode,
+    "detokenize": q_detokenize,
+    "char_spans": q_char_spans,
+    "label_vocab": q_label_vocab,
+    "label_encode": q_label_encode,
+    "class_encode": q_class_encode,
+    "doc_target_counts": q_doc_target_counts,
+    "doc_piece_length": q_doc_piece_length,
+    "filter_positive_docs": q_filter_positive_docs,
+    "truncate_left": q_truncate_left,
+    "truncate_right": q_truncate_right,
+    "document_shift": q_document_shift,
+    "double_truncate": q_double_truncate,
+    "prepare_training_set": q_prepare_training_set,
+    "detect_emails": q_detect_emails,
+    "detect_phones": q_detect_phones,
+    "detect_rules": q_detect_rules,
+    "find_span": q_find_span,
+    "score_pieces": q_score_pieces,
+    "softmax_scores": q_softmax_scores,
+    "argmax_label": q_argmax_label,
+    "ensemble_scores": q_ensemble_scores,
+    "focal_loss": q_focal_loss,
+    "threshold_pick": q_threshold_pick,
+    "align_pieces": q_align_pieces,
+    "piece_labels": q_piece_labels,
     "decode_no_rewrite": _decode(RewriteMode.NO_REWRITE),
     "decode_rewrite_i": _decode(RewriteMode.REWRITE_STARTING_I),
     "decode_rewrite_both": _decode(RewriteMode.REWRITE_BOTH),
     "decode_ignored": _decode(RewriteMode.REWRITE_STARTING_I, ignored=RULE_LABELS),
+    "decode_first_piece": q_decode_first_piece,
+    "rules_plus_model": q_rules_plus_model,
+    "entity_spans": q_entity_spans,
+    "entity_match": q_entity_match,
+    "entity_f5_micro": q_entity_f5_micro,
+    "entity_f5_by_type": q_entity_f5_by_type,
+    "label_sequences": q_label_sequences,
+    "align_real_pred": q_align_real_pred,
+    "error_report": q_error_report,
+    "semi_join_test_docs": q_semi_join_test_docs,
+    "calibrate_no_rewrite": _calibrate(RewriteMode.NO_REWRITE),
+    "calibrate_rewrite_i": _calibrate(RewriteMode.REWRITE_STARTING_I),
+    "calibrate_rewrite_both": _calibrate(RewriteMode.REWRITE_BOTH),
+    "calibrate_with_rules": _calibrate(RewriteMode.REWRITE_STARTING_I, rules=True),
+    "best_threshold": q_best_threshold,
+    "quality_gate": q_quality_gate,
 }
+

@@ -17,7 +17,8 @@ from ..operators.labels import silver_labels
 from ..operators.pieces import cut_pieces
 from ..operators.rules import detect_emails, detect_phones
 from ..operators.scoring import hash_logits, softmax_scores
-from ..operators.tokens import document_words, with_char_spans
+from ..operators.tokens import document_words, tokenize_documents, with_char_spans
+from ..sources.corpus import head_fraction, renumber_chained
 from ..session import checkpointed
 from ..sources.tables import documents
 
@@ -82,3 +83,38 @@ class Fixture:
     @cached_property
     def cands(self) -> DataFrame:
         return candidates(self.scores, self.words)
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """Corpus rows ``(document, full_text, tokens, trailing_whitespace, provided_labels)``
+        with the silver labels as the provided labels."""
+        toks = tokenize_documents(self.docs)
+        labs = self.silver.groupBy("document").agg(
+            F.array_sort(F.collect_list(F.struct("token", "label"))).alias("_l")
+        ).select("document", F.transform("_l", lambda s: s["label"]).alias("provided_labels"))
+        return toks.join(labs, "document", "left").withColumn(
+            "provided_labels", F.coalesce(F.col("provided_labels"), F.array().cast("array<string>")))
+
+    @cached_property
+    def doc_sources(self) -> DataFrame:
+        """``(document, text, corpus)``: ``documents`` cut into four corpora by source."""
+        d = documents(self.spark, self.sf_dir, extra=("source",))
+        return d.select("document", "text", corpus_of_source(F.col("source")).alias("corpus"))
+
+    @cached_property
+    def loaded(self) -> DataFrame:
+        """The four corpora as loaded one after another: corpora 0-2 whole, corpus 3 cut
+        to its leading tenth, extras renumbered after the previous corpus."""
+        return renumber_chained(self.loaded_raw)
+
+    @cached_property
+    def loaded_raw(self) -> DataFrame:
+        """``loaded`` before renumbering."""
+        d = self.doc_sources
+        head3 = head_fraction(d.where(F.col("corpus") == 3), 10)
+        return d.where(F.col("corpus") < 3).unionByName(head3)
+
+
+def corpus_of_source(source):
+    """Corpus number of a ``src<N>`` source label: ``N mod 4``."""
+    return (F.regexp_extract(source, r"([0-9]+)$", 1).cast("int") % 4).cast("int")

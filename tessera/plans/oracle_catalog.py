@@ -1,17 +1,244 @@
-"""SQL oracle text per query key (see :mod:`tessera.plans.oracle`)."""
+"""SQL oracle text per query key (DuckDB dialect; see :mod:`tessera.plans.oracle`)."""
 
 from __future__ import annotations
 
-from ..schema import RULE_LABELS
-from .oracle import calibrate_sql, decode_sql
+from ..schema import (FOCAL_ALPHA_O, FOCAL_GAMMA, F5_GATE, NUM_LABELS, O_ID, RULE_LABELS, TEST_MAX_PIECES,
+                      TRAIN_MAX_PIECES, TRUNCATE_LEFT_WORDS)
+from ..functions.text import EMAIL_PATTERN
+from .oracle import LABEL_LIST, _decode_ctes, calibrate_sql, decode_sql, q, with_chain
+
+P = ", ".join(f"p{i}" for i in range(NUM_LABELS))
+RP = ", ".join(f"round(p{i}, 6) AS p{i}" for i in range(NUM_LABELS))
+Z = ", ".join(f"z{i}" for i in range(NUM_LABELS))
+
+
+def _pos(seed: int, col: str = "document") -> str:
+    return f"md5('{seed}:' || CAST({col} AS VARCHAR)), {col}"
+
+
+CORPORA = [
+    ("src", """SELECT doc_id AS document, text,
+               CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 4 AS corpus FROM documents"""),
+    ("c3", """SELECT *, row_number() OVER (ORDER BY document) - 1 AS pos, count(*) OVER () AS n
+              FROM src WHERE corpus = 3"""),
+    ("loaded_raw", """SELECT document, text, corpus FROM src WHERE corpus < 3
+                      UNION ALL SELECT document, text, corpus FROM c3 WHERE pos < n // 10"""),
+    ("stats", "SELECT corpus, count(*) AS n, max(document) AS max_id FROM loaded_raw GROUP BY corpus"),
+    ("offs", """SELECT corpus, n, max_id, CASE WHEN corpus = 0 THEN 0 ELSE
+                  (SELECT max_id + 1 FROM stats WHERE corpus = 0)
+                  + coalesce(sum(CASE WHEN corpus > 0 THEN n END) OVER (ORDER BY corpus
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS "offset"
+                FROM stats"""),
+    ("renum", """SELECT l.corpus, l.document AS source_document, l.text,
+                   CAST(CASE WHEN l.corpus = 0 THEN l.document
+                        ELSE o."offset" + row_number() OVER (PARTITION BY l.corpus ORDER BY l.document) - 1 END
+                        AS BIGINT) AS document
+                 FROM loaded_raw l JOIN offs o ON o.corpus = l.corpus"""),
+]
+
+SPLITS = [
+    ("all_docs", "SELECT doc_id AS document FROM documents"),
+    ("outer_f", f"""SELECT document, ntile({10}) OVER (ORDER BY {_pos(77)}) - 1 AS fold FROM all_docs"""),
+    ("inner_f", f"""SELECT document, ntile({10}) OVER (ORDER BY {_pos(42)}) - 1 AS fold
+                    FROM outer_f WHERE fold <> 9"""),
+    ("test_fold", f"""SELECT document FROM (SELECT document, ntile(5) OVER (ORDER BY {_pos(42)}) - 1 AS fold
+                      FROM all_docs) WHERE fold = 2"""),
+]
+
+COUNTS = """SELECT document, CAST(count(*) AS INTEGER) AS n_words,
+                   CAST(count(*) FILTER (WHERE label <> 'O') AS INTEGER) AS target_num,
+                   CASE WHEN count(*) FILTER (WHERE label <> 'O') > 0 THEN 1 ELSE 0 END AS "group"
+            FROM {src} GROUP BY document"""
+
+PIECE_LABELS = [
+    ("pl_words", """SELECT *, lead(label) OVER (PARTITION BY document ORDER BY token) AS next_label FROM silver"""),
+    ("pl_real", """SELECT p.document, p.piece, p.start, w.char_end, w.blank, w.trailing_whitespace, w.label, w.next_label
+                   FROM (SELECT * FROM pieces WHERE start + "end" > 0) p
+                   ASOF JOIN pl_words w ON p.document = w.document AND p.start >= w.char_start"""),
+    ("piece_labels", """SELECT document, piece, CASE
+                          WHEN start < char_end AND NOT blank THEN label
+                          WHEN start < char_end AND start + 1 < char_end THEN label
+                          WHEN start < char_end AND trailing_whitespace THEN 'O'
+                          ELSE coalesce(next_label, 'O') END AS label FROM pl_real
+                        UNION ALL SELECT document, piece, 'O' FROM pieces WHERE start + "end" = 0"""),
+]
+
+GATE = _decode_ctes(1)
+GATE_RULES = _decode_ctes(1, RULE_LABELS, rules=True)
+
+
+def _metrics_sql(src: str, keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    return f"""SELECT {k}tp, n_pred, n_true, round(precision, 6) AS precision, round(recall, 6) AS recall,
+               round(CASE WHEN 25.0 * precision + recall > 0 THEN 26.0 * precision * recall / (25.0 * precision + recall) END, 6) AS f5
+               FROM (SELECT {k}tp, n_pred, n_true,
+                       CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+                       CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END AS recall FROM {src})"""
+
+
+PRED025 = "SELECT document, token, label, token_str, score FROM preds WHERE threshold = 0.25"
+
+ENT = GATE + [
+    ("p025", PRED025),
+    ("pe", """SELECT document, entity_type, start, "end" FROM pred_ents WHERE threshold = 0.25"""),
+    ("em", """SELECT coalesce(p.document, t.document) AS document, coalesce(p.entity_type, t.entity_type) AS entity_type,
+                     coalesce(p.start, t.start) AS start, coalesce(p."end", t."end") AS "end",
+                     p.document IS NOT NULL AS is_pred, t.document IS NOT NULL AS is_true
+              FROM pe p FULL OUTER JOIN true_ents t ON p.document = t.document AND p.entity_type = t.entity_type
+                   AND p.start = t.start AND p."end" = t."end" """),
+    ("aligned_rp", """SELECT coalesce(r.document, p.document) AS document, coalesce(r.token, p.token) AS token,
+                             r.word AS token_value, coalesce(r.label, 'O') AS label_real,
+                             coalesce(p.label, 'O') AS label_pred, p.token_str, round(p.score, 6) AS score
+                      FROM silver r FULL OUTER JOIN p025 p ON r.document = p.document AND r.token = p.token"""),
+]
+
+VOCAB_TYPES = "(VALUES ('EMAIL'), ('ID_NUM'), ('NAME_STUDENT'), ('PHONE_NUM'), ('STREET_ADDRESS'), ('URL_PERSONAL'), ('USERNAME')) v(entity_type)"
+
+
+def _focal() -> str:
+    y = "list_position(" + LABEL_LIST + ", l.label) - 1"
+    py = "CASE y " + " ".join(f"WHEN {i} THEN p{i}" for i in range(NUM_LABELS)) + " END"
+    return with_chain(PIECE_LABELS + [
+        ("fl", f"SELECT s.*, {y} AS y FROM scores s JOIN piece_labels l ON l.document = s.document AND l.piece = s.piece"),
+        ("fl2", f"""SELECT CASE WHEN y = {O_ID} THEN {FOCAL_ALPHA_O!r} ELSE 1.0 END
+                       * pow(1.0 - {py}, {FOCAL_GAMMA!r}) * -ln({py}) AS loss FROM fl WHERE y <> -100"""),
+    ], "SELECT round(coalesce(avg(loss), 0.0), 6) AS loss, CAST(count(*) AS BIGINT) AS n_rows FROM fl2")
+
+
+def _prepare() -> str:
+    ctes = CORPORA + [
+        ("base_docs", "SELECT document FROM renum WHERE corpus = 0"),
+        ("o77", f"SELECT document, ntile(10) OVER (ORDER BY {_pos(77)}) - 1 AS fold FROM base_docs"),
+        ("i42", f"SELECT document, ntile(10) OVER (ORDER BY {_pos(42)}) - 1 AS fold FROM o77 WHERE fold <> 9"),
+        ("train_docs", "SELECT document FROM i42 WHERE fold <> 5"),
+        ("final_off", "SELECT max(document) + 1 AS o FROM renum"),
+        ("bw", "SELECT s.* FROM silver s WHERE s.document IN (SELECT document FROM train_docs)"),
+        ("bw_cut", f"""SELECT document + (SELECT o FROM final_off) AS document, label FROM bw
+                       WHERE token >= greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0)"""),
+        ("base_full", COUNTS.format(src="bw")),
+        ("base_cut", COUNTS.format(src="bw_cut")),
+        ("ew", f"""SELECT r.document, s.label FROM silver s JOIN renum r ON r.source_document = s.document
+                   WHERE r.corpus = 1 AND s.token >= greatest(s.n_words - {TRUNCATE_LEFT_WORDS}, 0)"""),
+        ("extra", COUNTS.format(src="ew")),
+        ("final", """SELECT 'base_full' AS origin, * FROM base_full WHERE "group" = 1
+                     UNION ALL SELECT 'base_cut', * FROM base_cut WHERE "group" = 1
+                     UNION ALL SELECT 'extra', * FROM extra"""),
+    ]
+    return with_chain(ctes, f"""SELECT origin, document,
+        CAST(row_number() OVER (ORDER BY {_pos(42)}) - 1 AS BIGINT) AS position, n_words, target_num, "group"
+        FROM final""")
+
 
 ORACLE: dict[str, str] = {
-    "calibrate_no_rewrite": calibrate_sql(0),
-    "calibrate_rewrite_i": calibrate_sql(1),
-    "calibrate_rewrite_both": calibrate_sql(2),
-    "calibrate_with_rules": calibrate_sql(1, rules=True),
+    "corpus_load": with_chain([("sc", """SELECT document, count(*) AS n,
+                                   count(*) FILTER (WHERE label <> 'O') AS t FROM silver GROUP BY document""")],
+        """SELECT d.document, CAST(length(d.text) AS BIGINT) AS n_chars, CAST(coalesce(sc.n, 0) AS BIGINT) AS n_tokens,
+                  CAST(coalesce(sc.n, 0) AS BIGINT) AS n_labels, CAST(coalesce(sc.t, 0) AS BIGINT) AS n_target
+           FROM docs d LEFT JOIN sc ON sc.document = d.document"""),
+    "corpus_project": with_chain([("sc", "SELECT document, count(*) AS n FROM words GROUP BY document")],
+        """SELECT d.document, d.text AS full_text, CAST(coalesce(sc.n, 0) AS BIGINT) AS n_tokens
+           FROM docs d LEFT JOIN sc ON sc.document = d.document"""),
+    "corpus_renumber": with_chain(CORPORA, "SELECT corpus, source_document, document FROM renum"),
+    "next_offset": with_chain(CORPORA, """SELECT corpus, CAST(n AS BIGINT) AS n, CAST("offset" AS BIGINT) AS "offset",
+        CAST(CASE WHEN corpus = 0 THEN max_id + 1 ELSE "offset" + n END AS BIGINT) AS next_offset FROM offs"""),
+    "head_fraction": with_chain(CORPORA, """SELECT corpus, document FROM (
+        SELECT corpus, document, row_number() OVER (PARTITION BY corpus ORDER BY document) - 1 AS pos,
+               count(*) OVER (PARTITION BY corpus) AS n FROM src) WHERE pos < n // 10"""),
+    "corpus_union": with_chain(CORPORA, "SELECT corpus, document, CAST(length(text) AS BIGINT) AS n_chars FROM renum"),
+    "kfold_split": with_chain(SPLITS, f"""SELECT document, CAST(ntile(5) OVER (ORDER BY {_pos(42)}) - 1 AS INTEGER) AS fold
+                                          FROM all_docs"""),
+    "nested_split": with_chain(SPLITS, """SELECT document, 'test' AS split FROM outer_f WHERE fold = 9
+        UNION ALL SELECT document, CASE WHEN fold = 5 THEN 'val' ELSE 'train' END FROM inner_f"""),
+    "holdout_split": with_chain(SPLITS, f"""SELECT document, CASE WHEN pos < ceil(0.2 * n) THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT document, row_number() OVER (ORDER BY {_pos(42)}) - 1 AS pos, count(*) OVER () AS n FROM all_docs)"""),
+    "seeded_shuffle": with_chain(SPLITS, f"""SELECT document, CAST(row_number() OVER (ORDER BY {_pos(42)}) - 1 AS BIGINT) AS position
+                                             FROM all_docs"""),
+    "token_explode": with_chain([], """SELECT document, word AS token_value, label, token FROM silver
+        UNION ALL SELECT d.document, NULL, NULL, 0 FROM docs d WHERE NOT EXISTS (
+          SELECT 1 FROM words w WHERE w.document = d.document)"""),
+    "detokenize": with_chain([("dt", """SELECT document, string_agg(word || CASE WHEN trailing_whitespace THEN ' ' ELSE '' END, ''
+                                        ORDER BY token) AS t FROM words GROUP BY document""")],
+        """SELECT d.document, CAST(length(coalesce(dt.t, '')) AS BIGINT) AS n_chars, coalesce(dt.t, '') = d.text AS lossless
+           FROM docs d LEFT JOIN dt ON dt.document = d.document"""),
+    "char_spans": with_chain([], "SELECT document, token, word, char_start, char_end FROM words"),
+    "label_vocab": with_chain([], """SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id, label
+                                     FROM (SELECT DISTINCT label FROM silver)"""),
+    "label_encode": with_chain([("voc", """SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id, label
+                                           FROM (SELECT DISTINCT label FROM silver)""")],
+        "SELECT s.document, s.token, s.label, v.label_id FROM silver s JOIN voc v ON v.label = s.label"),
+    "class_encode": with_chain([("cnt", COUNTS.format(src="silver"))],
+        """SELECT document, "group", CAST(dense_rank() OVER (ORDER BY "group") - 1 AS INTEGER) AS group_code FROM cnt"""),
+    "doc_target_counts": with_chain([], COUNTS.format(src="silver")),
+    "doc_piece_length": with_chain([], f"""SELECT document, CAST(count(*) AS BIGINT) AS n_pieces,
+        CAST(least(count(*), {TRAIN_MAX_PIECES}) AS BIGINT) AS length FROM pieces GROUP BY document"""),
+    "filter_positive_docs": with_chain([("cnt", COUNTS.format(src="silver"))], 'SELECT * FROM cnt WHERE "group" = 1'),
+    "truncate_left": with_chain([], f"""SELECT document, CAST(token - greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0) AS INTEGER) AS token,
+        word AS token_value, label, CAST(least(n_words, {TRUNCATE_LEFT_WORDS}) AS INTEGER) AS n_words
+        FROM silver WHERE token >= greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0)"""),
+    "truncate_right": with_chain([], f"""SELECT document, CAST(CASE WHEN piece > {TEST_MAX_PIECES - 2} THEN {TEST_MAX_PIECES - 1}
+        ELSE piece END AS INTEGER) AS piece, start, "end" FROM pieces
+        WHERE piece <= {TEST_MAX_PIECES - 2} OR start + "end" = 0"""),
+    "document_shift": with_chain([], """SELECT document AS source_document,
+        CAST(document + (SELECT max(document) + 1 FROM docs) AS BIGINT) AS document FROM docs"""),
+    "double_truncate": with_chain([
+        ("off", "SELECT max(document) + 1 AS o FROM silver"),
+        ("cutw", f"""SELECT document + (SELECT o FROM off) AS document, label FROM silver
+                     WHERE token >= greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0)"""),
+        ("full_c", COUNTS.format(src="silver")),
+        ("cut_c", COUNTS.format(src="cutw")),
+    ], "SELECT 'full' AS copy, * FROM full_c UNION ALL SELECT 'cut', * FROM cut_c"),
+    "prepare_training_set": _prepare(),
+    "detect_emails": with_chain([], f"""SELECT document, token, 'B-EMAIL' AS label, word AS token_str, 1.0 AS score
+        FROM words WHERE regexp_full_match(word, {q(EMAIL_PATTERN)})"""),
+    "detect_phones": with_chain([], """SELECT p.document, p.token, p.label, w.word AS token_str, 1.0 AS score
+        FROM phones p JOIN words w ON w.document = p.document AND w.token = p.token"""),
+    "detect_rules": with_chain(GATE_RULES, "SELECT document, token, label, token_str, score FROM rule_hits"),
+    "find_span": with_chain([], 'SELECT DISTINCT document, s AS start, e AS "end" FROM spans'),
+    "score_pieces": with_chain([], f"SELECT document, piece, {Z} FROM logits"),
+    "softmax_scores": with_chain([], f"SELECT document, piece, {RP} FROM scores"),
+    "argmax_label": with_chain([], f"""SELECT document, piece, l_all, l_no, {LABEL_LIST}[l_all + 1] AS label_all,
+        {LABEL_LIST}[l_no + 1] AS label_no FROM am"""),
+    "ensemble_scores": with_chain([], "SELECT a.document, a.piece, "
+                                  + ", ".join(f"round((a.p{i} * 1.0 + b.p{i} * 2.0) / 3.0, 6) AS p{i}" for i in range(NUM_LABELS))
+                                  + " FROM scores a JOIN scores_b b ON a.document = b.document AND a.piece = b.piece"),
+    "focal_loss": _focal(),
+    "threshold_pick": with_chain([], "SELECT document, piece, CASE WHEN p_o < 0.25 THEN l_no ELSE l_all END AS label_id FROM am"),
+    "align_pieces": with_chain([], "SELECT document, piece, token, token_str FROM aligned"),
+    "piece_labels": with_chain(PIECE_LABELS, "SELECT document, piece, label FROM piece_labels"),
     "decode_no_rewrite": decode_sql(0, 0.25),
     "decode_rewrite_i": decode_sql(1, 0.25),
     "decode_rewrite_both": decode_sql(2, 0.25),
     "decode_ignored": decode_sql(1, 0.25, RULE_LABELS),
+    "decode_first_piece": with_chain(GATE, """SELECT threshold, document, token, raw_label AS label, token_str,
+                                              round(score, 6) AS score FROM first_piece"""),
+    "rules_plus_model": with_chain(GATE_RULES, "SELECT document, token, label, token_str, round(score, 6) AS score FROM preds WHERE threshold = 0.25"),
+    "entity_spans": with_chain(ENT, """SELECT 'pred' AS source, * FROM pe UNION ALL SELECT 'true', * FROM true_ents"""),
+    "entity_match": with_chain(ENT, "SELECT * FROM em"),
+    "entity_f5_micro": with_chain(ENT + [("c", """SELECT CAST(count(*) FILTER (WHERE is_pred AND is_true) AS BIGINT) AS tp,
+        CAST(count(*) FILTER (WHERE is_pred) AS BIGINT) AS n_pred, CAST(count(*) FILTER (WHERE is_true) AS BIGINT) AS n_true
+        FROM em""")], _metrics_sql("c")),
+    "entity_f5_by_type": with_chain(ENT + [("c0", """SELECT entity_type, count(*) FILTER (WHERE is_pred AND is_true) AS tp,
+        count(*) FILTER (WHERE is_pred) AS n_pred, count(*) FILTER (WHERE is_true) AS n_true FROM em GROUP BY entity_type"""),
+        ("types", f"SELECT entity_type FROM {VOCAB_TYPES} UNION SELECT entity_type FROM c0"),
+        ("c", """SELECT t.entity_type, CAST(coalesce(c0.tp, 0) AS BIGINT) AS tp, CAST(coalesce(c0.n_pred, 0) AS BIGINT) AS n_pred,
+                 CAST(coalesce(c0.n_true, 0) AS BIGINT) AS n_true FROM types t LEFT JOIN c0 ON c0.entity_type = t.entity_type""")],
+        _metrics_sql("c", "entity_type")),
+    "label_sequences": with_chain(ENT, """SELECT document, CAST(count(*) AS BIGINT) AS n_tokens,
+        string_agg(label_real, ' ' ORDER BY token) AS labels_real, string_agg(label_pred, ' ' ORDER BY token) AS labels_pred
+        FROM aligned_rp GROUP BY document"""),
+    "align_real_pred": with_chain(ENT, "SELECT * FROM aligned_rp"),
+    "error_report": with_chain(ENT, "SELECT * FROM aligned_rp WHERE label_pred <> label_real AND label_real <> 'O'"),
+    "semi_join_test_docs": with_chain(SPLITS, """SELECT document, token, word AS token_value, label FROM silver
+        WHERE document IN (SELECT document FROM test_fold)"""),
+    "calibrate_no_rewrite": calibrate_sql(0),
+    "calibrate_rewrite_i": calibrate_sql(1),
+    "calibrate_rewrite_both": calibrate_sql(2),
+    "calibrate_with_rules": calibrate_sql(1, rules=True),
+    "best_threshold": calibrate_sql(1).replace(
+        "FROM cal_f5", "FROM cal_f5 WHERE f5 IS NOT NULL ORDER BY f5 DESC, threshold ASC LIMIT 1"),
+    "quality_gate": calibrate_sql(1).replace(
+        "round(f5, 6) AS f5 FROM cal_f5",
+        f"round(f5, 6) AS f5, f5 < {F5_GATE!r} AS bad_run FROM cal_f5 WHERE f5 IS NOT NULL "
+        "ORDER BY f5 DESC, threshold ASC LIMIT 1"),
 }
+
