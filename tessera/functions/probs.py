@@ -22,11 +22,15 @@ def softmax_columns(logits: Sequence[Column], names: Sequence[str]) -> list[Colu
     return [(e / total).alias(n) for e, n in zip(exps, names)]
 
 
-def argmax(cols: Sequence[Column]) -> Column:
-    """Index of the largest value; ties go to the lowest index (NumPy's rule)."""
+def argmax(cols: Sequence[Column], maximum: Column | None = None) -> Column:
+    """Index of the largest value; ties go to the lowest index (NumPy's rule).
+
+    Pass ``maximum`` as a stored column when available: the comparison chain then reads it
+    instead of recomputing ``greatest`` in every branch.
+    """
     if len(cols) == 1:
         return F.lit(0)
-    m = F.greatest(*cols)
+    m = maximum if maximum is not None else F.greatest(*cols)
     expr = F.when(cols[0] == m, F.lit(0))
     for i, c in enumerate(cols[1:], start=1):
         expr = expr.when(c == m, F.lit(i))

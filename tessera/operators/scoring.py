@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bio import label_id
-from ..functions.probs import argmax, pick, softmax_columns
+from ..functions.probs import argmax, pick
 from ..schema import FOCAL_ALPHA_O, FOCAL_GAMMA, LOGIT_COLS, NUM_LABELS, O_ID, PROB_COLS
 
 
@@ -44,9 +44,20 @@ def hash_logits(pieces: DataFrame, label_col: str = "word_label", salt: str | No
 
 
 def softmax_scores(logits: DataFrame) -> DataFrame:
-    """Logit columns ``z0..z12`` -> probability columns ``p0..p12``."""
+    """Logit columns ``z0..z12`` -> probability columns ``p0..p12``.
+
+    Staged as small projections (max, exps, sum, ratios) so each generated expression stays
+    small and every intermediate is computed once per row.
+    """
     keys = [c for c in logits.columns if c not in LOGIT_COLS]
-    return logits.select(*keys, *softmax_columns([F.col(c) for c in LOGIT_COLS], PROB_COLS))
+    exps = [f"_e{i}" for i in range(NUM_LABELS)]
+    x = logits.select(*keys, *LOGIT_COLS, F.greatest(*[F.col(c) for c in LOGIT_COLS]).alias("_m"))
+    x = x.select(*keys, *[F.exp(F.col(z) - F.col("_m")).alias(e) for z, e in zip(LOGIT_COLS, exps)])
+    total = F.col(exps[0])
+    for e in exps[1:]:
+        total = total + F.col(e)
+    x = x.select(*keys, *exps, total.alias("_s"))
+    return x.select(*keys, *[(F.col(e) / F.col("_s")).alias(p) for e, p in zip(exps, PROB_COLS)])
 
 
 def score_pieces(pieces: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -87,14 +98,16 @@ def with_argmax(scores: DataFrame) -> DataFrame:
     ps = [F.col(c) for c in PROB_COLS]
     non_o = [p for i, p in enumerate(ps) if i != O_ID]
     non_o_ids = [i for i in range(NUM_LABELS) if i != O_ID]
-    l_no_pos = argmax(non_o)
+    x = scores.withColumn("_mx_no", F.greatest(*non_o))
+    x = x.withColumn("_mx", F.greatest(F.col("_mx_no"), ps[O_ID]))
+    l_no_pos = argmax(non_o, F.col("_mx_no"))
     l_no = F.element_at(F.array(*[F.lit(i) for i in non_o_ids]), l_no_pos + 1)
+    x = x.withColumn("l_all", argmax(ps, F.col("_mx")).cast("int")).withColumn("l_no", l_no.cast("int"))
     return (
-        scores.withColumn("l_all", argmax(ps).cast("int"))
-        .withColumn("l_no", l_no.cast("int"))
-        .withColumn("p_o", F.col(PROB_COLS[O_ID]))
-        .withColumn("p_all", pick(ps, F.col("l_all")))
-        .withColumn("p_no", pick(ps, F.col("l_no")))
+        x.withColumn("p_o", F.col(PROB_COLS[O_ID]))
+        .withColumn("p_all", F.col("_mx"))
+        .withColumn("p_no", F.col("_mx_no"))
+        .drop("_mx", "_mx_no")
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ from ..operators.rules import detect_emails, detect_phones
 from ..operators.scoring import hash_logits, softmax_scores
 from ..operators.tokens import document_words, tokenize_documents, with_char_spans
 from ..sources.corpus import head_fraction, renumber_chained
-from ..session import checkpointed
 from ..sources.tables import documents
 
 
@@ -41,7 +41,7 @@ class Fixture:
     def words(self) -> DataFrame:
         """``(document, token, word, trailing_whitespace, n_words, blank, prev_space,
         char_start, char_end)``."""
-        return checkpointed(with_char_spans(self.raw_words))
+        return with_char_spans(self.raw_words).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def phones(self) -> DataFrame:
@@ -54,7 +54,7 @@ class Fixture:
     @cached_property
     def silver(self) -> DataFrame:
         """Words with their silver ``label``."""
-        return silver_labels(self.words, self.phones)
+        return silver_labels(self.words, self.phones).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def real(self) -> DataFrame:

@@ -21,6 +21,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (),
               laid_out: bool = True) -> DataFrame:
     """``documents`` as ``(document, text, *extra)``, hash-partitioned on document."""
-    df = read_table(spark, sf_dir, "documents").select(
+    # The explicit not-null filter makes every branch that reads documents share one plan
+    # (and so one shuffle) instead of differing by inferred filters.
+    df = read_table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("document"), "text", *extra)
     return layout_by_document(df) if laid_out else df
