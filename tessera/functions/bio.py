@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BETA, LABELS
+from ..schema import BETA, LABELS, O_LABEL
+
+# Entity types in sorted order, and per label id: its type index (-1 for O) and B- flag.
+ENTITY_TYPES = tuple(sorted({x[2:] for x in LABELS if x != O_LABEL}))
+TYPE_OF_LABEL_ID = tuple(ENTITY_TYPES.index(x[2:]) if x != O_LABEL else -1 for x in LABELS)
+IS_BEGIN_LABEL_ID = tuple(x.startswith("B-") for x in LABELS)
 
 
 def bio_prefix(label: Column) -> Column:
@@ -37,3 +42,16 @@ def f_beta(precision: Column, recall: Column, beta: float = BETA) -> Column:
     b2 = float(beta) * float(beta)
     den = b2 * precision + recall
     return F.when(den > 0, (1.0 + b2) * precision * recall / den)
+
+
+def type_id_of(label_id_col: Column) -> Column:
+    """Entity-type index of a label id (B-X and I-X share it)."""
+    return F.element_at(F.array(*[F.lit(t) for t in TYPE_OF_LABEL_ID]), label_id_col + 1)
+
+
+def is_begin_id(label_id_col: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(b) for b in IS_BEGIN_LABEL_ID]), label_id_col + 1)
+
+
+def type_name(type_id_col: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in ENTITY_TYPES]), type_id_col + 1)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import F5_GATE, RULE_LABELS, THRESHOLDS
-from .decode import PRED_COLS, decode_sweep, rules_plus_model
-from .entities import _metrics, count_matches, entity_match, entity_spans
+from ..functions.bio import label_id
+from .decode import PRED_COLS, decode_sweep, rules_plus_model, sweep_word_ids
+from .entities import _metrics, count_entity_matches, entity_spans_ids
 
 
 def per_threshold(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
@@ -35,17 +36,28 @@ def calibrate(cands: DataFrame, real_words: DataFrame, thresholds: Sequence[floa
     """``(threshold, tp, n_pred, n_true, precision, recall, f5)`` for every threshold.
 
     ``cands``: :func:`tessera.operators.decode.candidates`; ``real_words``: true word labels
-    ``(document, token, label)``. Gold entities are chunked once and repeated per threshold;
-    one outer match and one small aggregate give all thresholds.
+    ``(document, token, label)``. All on integer label ids: first firing piece per word and
+    threshold by one hash aggregate, BIO repair folded into the chunk-start flag, gold
+    entities chunked once and repeated per threshold, matches counted by one union +
+    aggregate. Rule hits (``rules``, prediction schema) replace model output for the rule
+    labels and win on words they cover.
     """
-    preds = sweep_predictions(cands, thresholds, mode, rules)
-    pred_ents = entity_spans(preds, keys=["threshold"])
-    true_ents = per_threshold(entity_spans(real_words), thresholds)
-    counts = count_matches(entity_match(pred_ents, true_ents, keys=["threshold"]), ["threshold"])
+    ts = [float(t) for t in thresholds]
+    ignored = RULE_LABELS if rules is not None else None
+    preds = sweep_word_ids(cands, ts, ignored)
+    if rules is not None:
+        r = per_threshold(rules.select("document", "token", label_id(F.col("label")).alias("label_id")), ts)
+        preds = preds.select("threshold", "document", "token", "label_id", F.lit(1).alias("_src")).unionByName(
+            r.select("threshold", "document", "token", "label_id", F.lit(0).alias("_src")))
+        preds = preds.groupBy("threshold", "document", "token").agg(
+            F.min_by("label_id", "_src").alias("label_id"))
+    pred_ents = entity_spans_ids(preds, keys=["threshold"], mode=mode)
+    truth = real_words.select("document", "token", label_id(F.col("label")).alias("label_id"))
+    true_ents = per_threshold(entity_spans_ids(truth), ts)
+    counts = count_entity_matches(pred_ents, true_ents, keys=["threshold"])
     spark = cands.sparkSession
-    grid = spark.range(len(thresholds)).select(
-        F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), (F.col("id") + 1).cast("int"))
-        .alias("threshold"))
+    grid = spark.range(len(ts)).select(
+        F.element_at(F.array(*[F.lit(t) for t in ts]), (F.col("id") + 1).cast("int")).alias("threshold"))
     full = grid.join(counts, "threshold", "left").select(
         "threshold", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "n_pred", "n_true")])
     return _metrics(full)

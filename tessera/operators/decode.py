@@ -24,18 +24,22 @@ PRED_COLS = ("document", "token", "label", "token_str", "score")
 ARGMAX_COLS = ("l_all", "l_no", "p_o", "p_all", "p_no")
 
 
-def candidates(scores: DataFrame, words: DataFrame, max_pieces: int | None = None) -> DataFrame:
-    """Scored pieces aligned to words: ``(document, piece, token, token_str, start, end,
+def candidates(scores: DataFrame, words: DataFrame, max_pieces: int | None = None,
+               with_token_str: bool = True) -> DataFrame:
+    """Scored pieces aligned to words: ``(document, piece, token[, token_str], start, end,
     l_all, l_no, p_o, p_all, p_no)``.
 
     ``scores`` carries each piece's character offsets next to its probabilities, so the
     alignment hands the arg-max columns straight through (no join back to the pieces).
     ``max_pieces`` applies a right cut: pieces past it get no prediction.
+
+    Filters on the arg-max columns belong after the alignment window (the sweep does so):
+    pushed below it, they would be rewritten through every softmax projection.
     """
     if max_pieces is not None:
         scores = scores.where(F.col("piece") <= max_pieces - 2)
     s = with_argmax(scores).select("document", "piece", "start", "end", *ARGMAX_COLS)
-    return align_pieces(s, words, carry=ARGMAX_COLS)
+    return align_pieces(s, words, carry=ARGMAX_COLS, with_token_str=with_token_str)
 
 
 def _ignored_ids(ignored_labels: Sequence[str] | None) -> list[int]:
@@ -76,6 +80,45 @@ def sweep_words(cands: DataFrame, thresholds: Sequence[float],
     )
 
 
+def sweep_word_ids(cands: DataFrame, thresholds: Sequence[float],
+                   ignored_labels: Sequence[str] | None = None, with_score: bool = False,
+                   keys: Sequence[str] = ("document", "token")) -> DataFrame:
+    """:func:`sweep_words` on label ids, as a hash aggregate.
+
+    The first firing piece of a word and its label are packed into one long
+    (``piece * 16 + label_id``), so "first piece wins" is a plain ``min`` per threshold;
+    the score, when asked for, is ``min_by`` over the same key. Output ``(threshold, *keys,
+    label_id[, score])``.
+    """
+    ts = [float(t) for t in thresholds]
+    always = F.col("l_all") != O_ID
+    ign = _ignored_ids(ignored_labels)
+    keep = (always & ~F.col("l_all").isin(*ign)) if ign else always
+    keep_o = (~always & ~F.col("l_no").isin(*ign)) if ign else ~always
+    live = cands.where(keep | (keep_o & (F.col("p_o") < F.lit(max(ts)))))
+    fire_label = F.when(always, F.col("l_all")).otherwise(F.col("l_no"))
+    packed = F.col("piece").cast("long") * 16 + fire_label
+    aggs = []
+    for k, t in enumerate(ts):
+        fires = keep | (keep_o & (F.col("p_o") < F.lit(t)))
+        key = F.when(fires, packed)
+        aggs.append(F.min(key).alias(f"_k{k}"))
+        if with_score:
+            aggs.append(F.min_by(F.when(always, F.col("p_all")).otherwise(F.col("p_no")), key).alias(f"_s{k}"))
+    per_word = live.groupBy(*keys).agg(*aggs)
+    parts = []
+    for k, t in enumerate(ts):
+        fields = [F.lit(t).alias("threshold"), F.col(f"_k{k}").alias("k")]
+        if with_score:
+            fields.append(F.col(f"_s{k}").alias("s"))
+        parts.append(F.struct(*fields))
+    stacked = per_word.select(*keys, F.explode(F.array(*parts)).alias("_x")).where(F.col("_x.k").isNotNull())
+    out = [F.col("_x.threshold").alias("threshold"), *keys, (F.col("_x.k") % 16).cast("int").alias("label_id")]
+    if with_score:
+        out.append(F.col("_x.s").alias("score"))
+    return stacked.select(*out)
+
+
 def repair_bio(word_preds: DataFrame, mode: int, keys: Sequence[str] = ("threshold",)) -> DataFrame:
     """BIO repair over emitted (non-O) words in position order.
 

@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bio import bio_prefix, bio_type, f_beta
-from ..schema import LABELS, O_LABEL
+from ..functions.bio import bio_prefix, bio_type, f_beta, is_begin_id, type_id_of
+from ..schema import LABELS, O_ID, O_LABEL
 
 
 def entity_spans(word_labels: DataFrame, keys: Sequence[str] = (), label_col: str = "label") -> DataFrame:
@@ -39,6 +39,45 @@ def entity_spans(word_labels: DataFrame, keys: Sequence[str] = (), label_col: st
     ).drop("_island")
 
 
+def entity_spans_ids(word_label_ids: DataFrame, keys: Sequence[str] = (), mode: int = 0) -> DataFrame:
+    """Entities straight from word label ids, with the BIO repair of ``mode`` folded in.
+
+    ``cont`` = the previous non-O word is ``token - 1`` with the same type. A chunk starts
+    where the (repaired) label is ``B-`` or ``cont`` fails; with repair modes 0 and 1 that
+    is ``B- or not cont``, with mode 2 it is ``not cont``. One lag pass, one running sum,
+    then an all-integer hash aggregate. Output ``(*keys, document, type_id, start, end)``.
+    """
+    keys = list(keys)
+    rows = word_label_ids.where(F.col("label_id") != O_ID).select(
+        *keys, "document", "token", type_id_of(F.col("label_id")).alias("type_id"),
+        is_begin_id(F.col("label_id")).alias("_b"))
+    w = Window.partitionBy(*keys, "document").orderBy("token")
+    cont = F.coalesce((F.lag("token").over(w) == F.col("token") - 1)
+                      & (F.lag("type_id").over(w) == F.col("type_id")), F.lit(False))
+    starts = ~F.col("_cont") if mode == 2 else (F.col("_b") | ~F.col("_cont"))
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    islands = rows.withColumn("_cont", cont).withColumn("_start", starts.cast("int")).withColumn(
+        "_island", F.sum("_start").over(running))
+    return islands.groupBy(*keys, "document", "_island").agg(
+        F.min("type_id").alias("type_id"), F.min("token").cast("int").alias("start"),
+        F.max("token").cast("int").alias("end"),
+    ).drop("_island")
+
+
+def count_entity_matches(pred_ents: DataFrame, true_ents: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(*keys, tp, n_pred, n_true)`` by union and hash aggregation (no sort-merge join):
+    an entity key seen on both sides is a true positive."""
+    k = [*keys, "document", "type_id", "start", "end"]
+    u = pred_ents.select(*k, F.lit(1).alias("_p"), F.lit(0).alias("_t")).unionByName(
+        true_ents.select(*k, F.lit(0).alias("_p"), F.lit(1).alias("_t")))
+    per_key = u.groupBy(*k).agg(F.max("_p").alias("_p"), F.max("_t").alias("_t"))
+    return per_key.groupBy(*keys).agg(
+        F.sum(F.col("_p") * F.col("_t")).cast("long").alias("tp"),
+        F.sum("_p").cast("long").alias("n_pred"),
+        F.sum("_t").cast("long").alias("n_true"),
+    )
+
+
 def entity_match(pred_ents: DataFrame, true_ents: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Full outer match of predicted and true entities on ``(document, type, start, end)``:
     ``(*keys, document, entity_type, start, end, is_pred, is_true)``."""

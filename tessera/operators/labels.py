@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import EMAIL_PATTERN, ID_NUM_PATTERN, full_match
 from ..schema import TARGET_LABELS
+from ..session import broadcast_if_small
 
 
 def silver_labels(words: DataFrame, phone_rows: DataFrame) -> DataFrame:
@@ -18,13 +19,13 @@ def silver_labels(words: DataFrame, phone_rows: DataFrame) -> DataFrame:
     :func:`tessera.operators.rules.detect_phones`. The join is keyed by document first, so
     it reuses the corpus layout.
     """
-    ph = phone_rows.select("document", "token", F.col("label").alias("_phone"))
+    ph = broadcast_if_small(phone_rows.select("document", "token", F.col("label").alias("_phone")))
     j = words.join(ph, ["document", "token"], "left")
     label = (
         F.when(F.col("blank"), F.lit("O"))
-        .when(full_match(F.col("word"), EMAIL_PATTERN), F.lit("B-EMAIL"))
+        .when(F.col("word").contains("@") & full_match(F.col("word"), EMAIL_PATTERN), F.lit("B-EMAIL"))
         .when(F.col("_phone").isNotNull(), F.col("_phone"))
-        .when(full_match(F.col("word"), ID_NUM_PATTERN), F.lit("B-ID_NUM"))
+        .when((F.length("word") == 16) & full_match(F.col("word"), ID_NUM_PATTERN), F.lit("B-ID_NUM"))
         .when(F.col("token") % 40 == 7, F.lit("B-NAME_STUDENT"))
         .when(F.col("token") % 40 == 8, F.lit("I-NAME_STUDENT"))
         .otherwise(F.lit("O"))

@@ -51,7 +51,8 @@ def cut_pieces(words: DataFrame, piece_len: int = 4, carry: tuple[str, ...] = ()
     )
 
 
-def align_pieces(pieces: DataFrame, words: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def align_pieces(pieces: DataFrame, words: DataFrame, carry: tuple[str, ...] = (),
+                 with_token_str: bool = True) -> DataFrame:
     """Map every non-special piece to the word it belongs to.
 
     Rule: a piece starting on a separator moves one character right, then over blank words;
@@ -61,29 +62,33 @@ def align_pieces(pieces: DataFrame, words: DataFrame, carry: tuple[str, ...] = (
     Done as an as-of lookup, not a range join: piece starts and word ends are unioned and
     one descending running ``last(..., ignorenulls)`` per document hands each piece the
     nearest word end above it. Linear after the sort, whatever the document length.
-    Output ``(document, piece, token, token_str, start, end, *carry)``.
+    Output ``(document, piece, token[, token_str], start, end, *carry)``.
     """
     payload = F.struct("piece", "start", "end", *carry)
+    word_fields = [F.col("token").cast("int").alias("token")]
+    if with_token_str:
+        word_fields.append(F.col("word").alias("token_str"))
+    ev_words = words.where(~F.col("blank")).select(
+        "document",
+        F.col("char_end").alias("_pos"),
+        F.lit(1).alias("_kind"),
+        F.struct(*word_fields).alias("_w"),
+    )
     ev_pieces = pieces.where(F.col("start") + F.col("end") > 0).select(
         "document",
         F.col("start").alias("_pos"),
         F.lit(0).alias("_kind"),
-        F.lit(None).cast("struct<token:int,token_str:string>").alias("_w"),
+        F.lit(None).cast(ev_words.schema["_w"].dataType).alias("_w"),
         payload.alias("_p"),
     )
-    ev_words = words.where(~F.col("blank")).select(
-        "document",
-        F.col("char_end").alias("_pos"),
-        F.lit(1).alias("_kind"),
-        F.struct(F.col("token").cast("int").alias("token"), F.col("word").alias("token_str")).alias("_w"),
-        F.lit(None).cast(ev_pieces.schema["_p"].dataType).alias("_p"),
-    )
+    ev_words = ev_words.withColumn("_p", F.lit(None).cast(ev_pieces.schema["_p"].dataType))
     w = Window.partitionBy("document").orderBy(F.col("_pos").desc(), F.col("_kind").asc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     found = ev_words.unionByName(ev_pieces).withColumn("_hit", F.last("_w", ignorenulls=True).over(w))
     return found.where((F.col("_kind") == 0) & F.col("_hit").isNotNull()).select(
         "document", F.col("_p.piece").alias("piece"),
-        F.col("_hit.token").alias("token"), F.col("_hit.token_str").alias("token_str"),
+        F.col("_hit.token").alias("token"),
+        *([F.col("_hit.token_str").alias("token_str")] if with_token_str else []),
         F.col("_p.start").alias("start"), F.col("_p.end").alias("end"),
         *[F.col(f"_p.{c}").alias(c) for c in carry],
     )

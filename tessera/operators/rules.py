@@ -17,7 +17,7 @@ PRED_COLS = ("document", "token", "label", "token_str", "score")
 
 def detect_emails(words: DataFrame) -> DataFrame:
     """Words that are wholly an e-mail address -> ``B-EMAIL``."""
-    return words.where(full_match(F.col("word"), EMAIL_PATTERN)).select(
+    return words.where(F.col("word").contains("@") & full_match(F.col("word"), EMAIL_PATTERN)).select(
         "document",
         "token",
         F.lit("B-EMAIL").alias("label"),

@@ -33,9 +33,14 @@ def hash_logits(pieces: DataFrame, label_col: str = "word_label", salt: str | No
     lid = F.coalesce(label_id(F.coalesce(F.col(label_col), F.lit("O"))), F.lit(O_ID))
     keep = [c for c in ("start", "end") if c in pieces.columns]
     h = pieces.select("document", "piece", *keep, F.md5(key).alias("_h"), lid.alias("_y"))
+    # Bytes 0-6 and 7-12 of the hash as two integers (14 and 12 hex digits), so each byte
+    # is a shift and a mask instead of one string conversion per label.
+    h = h.select("*", F.conv(F.substring("_h", 1, 14), 16, 10).cast("long").alias("_a"),
+                 F.conv(F.substring("_h", 15, 12), 16, 10).cast("long").alias("_b"))
     zs = []
     for i in range(NUM_LABELS):
-        byte = F.conv(F.substring("_h", 2 * i + 1, 2), 16, 10).cast("int")
+        word, shift = ("_a", 8 * (6 - i)) if i < 7 else ("_b", 8 * (12 - i))
+        byte = F.shiftright(F.col(word), shift).bitwiseAND(F.lit(255))
         z = byte / F.lit(32.0) + F.when(F.col("_y") == i, 4.0).otherwise(0.0)
         if i == O_ID:
             z = z + F.lit(2.0)

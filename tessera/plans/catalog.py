@@ -351,7 +351,7 @@ def _calibrate(mode: int, rules: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx = _fx(spark, sf_dir)
         rule_hits = detect_rules(fx.docs, fx.words) if rules else None
-        return rounded(calibrate(fx.cands, fx.silver, mode=mode, rules=rule_hits).select(*CAL_COLS))
+        return rounded(calibrate(fx.cands_sweep, fx.silver, mode=mode, rules=rule_hits).select(*CAL_COLS))
     return run
 
 

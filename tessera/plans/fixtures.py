@@ -84,6 +84,11 @@ class Fixture:
     def cands(self) -> DataFrame:
         return candidates(self.scores, self.words)
 
+    @cached_property
+    def cands_sweep(self) -> DataFrame:
+        """Candidates for the threshold sweep (word strings are not carried)."""
+        return candidates(self.scores, self.words, with_token_str=False)
+
     @cached_property
     def corpus(self) -> DataFrame:
         """Corpus rows ``(document, full_text, tokens, trailing_whitespace, provided_labels)``

@@ -13,6 +13,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Data is laid out by document once; joins keyed on (document, ...) may then reuse it
@@ -78,3 +79,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
+
+
+# Largest side (rows) the library broadcasts after checking its size.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when a count proves it small; otherwise leave the join to a
+    shuffle (and AQE). The count is one extra, cheap job over an already-reduced table."""
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
