@@ -15,8 +15,8 @@ def _phones(spark, texts, **kw):
 
 def test_reference_phone_formats(spark):
     got = _phones(spark, ["call (555)123-4567 x", "or 555.123.4567 x"], pattern=PHONE_PATTERN)
-    assert (0, 2, "B-PHONE_NUM", "(") in got
-    assert (1, 2, "B-PHONE_NUM", "555.123.4567") in got
+    assert got == [(0, 1, "B-PHONE_NUM", "("), (0, 2, "I-PHONE_NUM", "555"), (0, 3, "I-PHONE_NUM", ")"),
+                   (0, 4, "I-PHONE_NUM", "123-4567"), (1, 1, "B-PHONE_NUM", "555.123.4567")]
     assert len({d for d, *_ in got}) == 2
 
 
@@ -32,10 +32,14 @@ def test_all_matches_or_last_only(spark):
 
 
 def test_email_full_match_only(spark):
-    docs = docs_df(spark, ["<a@b.co> a@b.co x@y.org"])
-    words = document_words(docs)
+    # A corpus word that is not wholly an address does not match.
+    words = spark.createDataFrame([(0, 0, "<a@b.co>"), (0, 1, "a@b.co"), (0, 2, "x@y.org")],
+                                  "document long, token int, word string")
     got = [r.token_str for r in detect_emails(words).collect()]
     assert sorted(got) == ["a@b.co", "x@y.org"]
+    # In running text the tokeniser splits the brackets off.
+    docs = docs_df(spark, ["<a@b.co>"])
+    assert [r.token_str for r in detect_emails(document_words(docs)).collect()] == ["a@b.co"]
 
 
 def test_email_with_final_newline_is_not_a_match(spark):
