@@ -51,33 +51,12 @@ def sweep_words(cands: DataFrame, thresholds: Sequence[float],
     """First non-O piece of every word at every threshold (before BIO repair).
 
     Output ``(threshold, document, token, token_str, label, score)``; ``score`` is the
-    probability of the emitted label.
+    probability of the emitted label. See :func:`sweep_word_ids`.
     """
-    ts = [float(t) for t in thresholds]
-    always = F.col("l_all") != O_ID
-    ign = _ignored_ids(ignored_labels)
-    keep = (always & ~F.col("l_all").isin(*ign)) if ign else always
-    keep_o = (~always & ~F.col("l_no").isin(*ign)) if ign else ~always
-    t_max = max(ts)
-    # Drop pieces that are O at every threshold of the grid.
-    live = cands.where(keep | (keep_o & (F.col("p_o") < F.lit(t_max))))
-    fire_label = F.when(always, F.col("l_all")).otherwise(F.col("l_no"))
-    fire_score = F.when(always, F.col("p_all")).otherwise(F.col("p_no"))
-    aggs = []
-    for k, t in enumerate(ts):
-        fires = keep | (keep_o & (F.col("p_o") < F.lit(t)))
-        aggs.append(F.min(F.when(fires, F.struct(F.col("piece"), fire_label.alias("l"),
-                                                 fire_score.alias("s")))).alias(f"_t{k}"))
-    per_word = live.groupBy("document", "token", "token_str").agg(*aggs)
-    stacked = per_word.select(
-        "document", "token", "token_str",
-        F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_t{k}").alias("f"))
-                            for k, t in enumerate(ts)])).alias("_x"),
-    ).where(F.col("_x.f").isNotNull())
-    return stacked.select(
-        F.col("_x.threshold").alias("threshold"), "document", "token", "token_str",
-        label_name(F.col("_x.f.l")).alias("label"), F.col("_x.f.s").alias("score"),
-    )
+    ids = sweep_word_ids(cands, thresholds, ignored_labels, with_score=True,
+                         keys=("document", "token", "token_str"))
+    return ids.select("threshold", "document", "token", "token_str",
+                      label_name(F.col("label_id")).alias("label"), "score")
 
 
 def sweep_word_ids(cands: DataFrame, thresholds: Sequence[float],

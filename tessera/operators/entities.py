@@ -79,14 +79,13 @@ def count_entity_matches(pred_ents: DataFrame, true_ents: DataFrame, keys: Seque
 
 
 def entity_match(pred_ents: DataFrame, true_ents: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Full outer match of predicted and true entities on ``(document, type, start, end)``:
-    ``(*keys, document, entity_type, start, end, is_pred, is_true)``."""
+    """Outer match of predicted and true entities on ``(document, type, start, end)``:
+    ``(*keys, document, entity_type, start, end, is_pred, is_true)``. A union and one hash
+    aggregate per entity key (no sort-merge join)."""
     k = [*keys, "document", "entity_type", "start", "end"]
-    p = pred_ents.select(*k, F.lit(True).alias("is_pred"))
-    t = true_ents.select(*k, F.lit(True).alias("is_true"))
-    j = p.join(t, k, "full_outer")
-    return j.select(*k, F.coalesce("is_pred", F.lit(False)).alias("is_pred"),
-                    F.coalesce("is_true", F.lit(False)).alias("is_true"))
+    u = pred_ents.select(*k, F.lit(True).alias("_p"), F.lit(False).alias("_t")).unionByName(
+        true_ents.select(*k, F.lit(False).alias("_p"), F.lit(True).alias("_t")))
+    return u.groupBy(*k).agg(F.max("_p").alias("is_pred"), F.max("_t").alias("is_true"))
 
 
 def _metrics(counts: DataFrame) -> DataFrame:
