@@ -6,7 +6,7 @@ with ``score = 1.0``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (EMAIL_PATTERN, PHONE_PATTERN_EXTENDED, WORD_PATTERN, full_match,
@@ -55,22 +55,27 @@ def phone_targets(docs: DataFrame, text_col: str = "text",
 def find_spans(words: DataFrame, targets: DataFrame) -> DataFrame:
     """All occurrences of each target word sequence among a document's words.
 
-    Exact search, overlapping matches included, by voting: every word equal to target word
-    ``k`` votes for a match starting at ``token - k``; a start with a vote from every ``k``
-    is a match. One equi-join on ``(document, word)`` and one aggregate, both keyed by
-    document, so no group outgrows one document. Returns ``(document, hit, start, end)``.
+    Exact search, overlapping matches included. Every word position builds the array of
+    its next ``m`` words with ``lead`` (one window pass per distinct target length ``m``,
+    a handful), and that array is equi-joined to the distinct target sequences of the
+    document. Work is linear in the words and the output is exactly the matches: no word is
+    paired with every hit of its document. Returns ``(document, start, end)``.
     """
-    w = words.select("document", "token", F.col("word").alias("target_word"))
-    votes = w.join(targets, ["document", "target_word"], "inner").select(
-        "document", "hit", "target_len", "k", (F.col("token") - F.col("k")).alias("start"),
-    ).where(F.col("start") >= 0)
-    return (
-        votes.groupBy("document", "hit", "start", "target_len")
-        .agg(F.countDistinct("k").alias("_n"))
-        .where(F.col("_n") == F.col("target_len"))
-        .select("document", "hit", "start",
-                (F.col("start") + F.col("target_len") - 1).cast("int").alias("end"))
-    )
+    seqs = targets.groupBy("document", "hit", "target_len").agg(
+        F.array_sort(F.collect_list(F.struct("k", "target_word"))).alias("_t")
+    ).select("document", "target_len", F.transform("_t", lambda x: x["target_word"]).alias("_key")).distinct()
+    lengths = sorted(r[0] for r in seqs.select("target_len").distinct().collect())
+    w = Window.partitionBy("document").orderBy("token")
+    found = None
+    for m in lengths:
+        key = F.array(F.col("word"), *[F.lead("word", i).over(w) for i in range(1, m)])
+        grams = words.select("document", "token", key.alias("_key"), F.lit(m).alias("target_len"))
+        hits = grams.join(seqs.where(F.col("target_len") == m), ["document", "target_len", "_key"], "inner").select(
+            "document", F.col("token").alias("start"), (F.col("token") + m - 1).cast("int").alias("end"))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return words.sparkSession.createDataFrame([], "document long, start int, end int")
+    return found
 
 
 def span_word_labels(spans: DataFrame, words: DataFrame, entity: str) -> DataFrame:
@@ -120,8 +125,8 @@ def greedy_spans(words: DataFrame, targets: DataFrame) -> DataFrame:
     ).select("document", F.transform("_w", lambda s: s["word"]).alias("tokens"))
     joined = target_arrays.join(doc_tokens, "document")
     return joined.select(
-        "document", "hit", F.explode(find_span_array(F.col("tokens"), F.col("target"), greedy=True)).alias("_s")
-    ).select("document", "hit", F.col("_s")[0].alias("start"), F.element_at("_s", -1).alias("end"))
+        "document", F.explode(find_span_array(F.col("tokens"), F.col("target"), greedy=True)).alias("_s")
+    ).select("document", F.col("_s")[0].alias("start"), F.element_at("_s", -1).alias("end"))
 
 
 def find_span_array(tokens: Column, target: Column, greedy: bool = False) -> Column:
