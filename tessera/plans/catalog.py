@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bio import label_id, label_name
 from ..operators.calibrate import best_threshold, calibrate, quality_gate
-from ..operators.decode import PRED_COLS, decode, rules_plus_model, sweep_words, threshold_pick
+from ..operators.decode import (PRED_COLS, decode, repair_bio, rules_plus_model, sweep_word_ids, sweep_words,
+                                threshold_pick)
 from ..operators.entities import (align_real_pred, entity_f5_by_type, entity_f5_micro, entity_match,
                                   entity_spans, error_report, label_sequences)
 from ..operators.labels import class_encode, doc_target_counts, label_encode, label_vocab
@@ -297,26 +298,33 @@ def _preds(fx: Fixture) -> DataFrame:
     return decode(fx.cands, DECODE_THRESHOLD, GATE_MODE)
 
 
+def _pred_labels(fx: Fixture) -> DataFrame:
+    """Predicted word labels only (no word strings or scores): what entity metrics need."""
+    ids = sweep_word_ids(fx.cands_sweep, [DECODE_THRESHOLD])
+    return repair_bio(ids.select("threshold", "document", "token", label_name(F.col("label_id")).alias("label")),
+                      GATE_MODE)
+
+
 def q_entity_spans(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    p = entity_spans(_preds(fx)).withColumn("source", F.lit("pred"))
+    p = entity_spans(_pred_labels(fx)).withColumn("source", F.lit("pred"))
     t = entity_spans(fx.silver).withColumn("source", F.lit("true"))
     return p.unionByName(t).select("source", "document", "entity_type", "start", "end")
 
 
 def q_entity_match(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return entity_match(entity_spans(_preds(fx)), entity_spans(fx.silver))
+    return entity_match(entity_spans(_pred_labels(fx)), entity_spans(fx.silver))
 
 
 def q_entity_f5_micro(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return rounded(entity_f5_micro(entity_spans(_preds(fx)), entity_spans(fx.silver)))
+    return rounded(entity_f5_micro(entity_spans(_pred_labels(fx)), entity_spans(fx.silver)))
 
 
 def q_entity_f5_by_type(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return rounded(entity_f5_by_type(entity_spans(_preds(fx)), entity_spans(fx.silver)).select(
+    return rounded(entity_f5_by_type(entity_spans(_pred_labels(fx)), entity_spans(fx.silver)).select(
         "entity_type", "tp", "n_pred", "n_true", "precision", "recall", "f5"))
 
 

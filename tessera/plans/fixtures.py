@@ -30,8 +30,9 @@ class Fixture:
 
     @cached_property
     def docs(self) -> DataFrame:
-        """``(document, text)``, laid out by document."""
-        return documents(self.spark, self.sf_dir)
+        """``(document, text)``, laid out by document; kept for the query so the word and
+        phone branches share one shuffle of the raw text."""
+        return documents(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def raw_words(self) -> DataFrame:
