@@ -95,19 +95,19 @@ def q_corpus_union(spark, sf_dir):
 
 
 def q_kfold_split(spark, sf_dir):
-    return kfold_split(_fx(spark, sf_dir).docs.select("document"), 5, 42)
+    return kfold_split(_fx(spark, sf_dir).doc_ids, 5, 42)
 
 
 def q_nested_split(spark, sf_dir):
-    return nested_split(_fx(spark, sf_dir).docs.select("document"))
+    return nested_split(_fx(spark, sf_dir).doc_ids)
 
 
 def q_holdout_split(spark, sf_dir):
-    return holdout_split(_fx(spark, sf_dir).docs.select("document"), 0.2, 42)
+    return holdout_split(_fx(spark, sf_dir).doc_ids, 0.2, 42)
 
 
 def q_seeded_shuffle(spark, sf_dir):
-    return seeded_shuffle(_fx(spark, sf_dir).docs.select("document"), 42)
+    return seeded_shuffle(_fx(spark, sf_dir).doc_ids, 42)
 
 
 # ---- tokens, labels, pieces ----------------------------------------------------------------
@@ -173,7 +173,7 @@ def _offset_after(df: DataFrame) -> int:
 
 
 def q_document_shift(spark, sf_dir):
-    d = _fx(spark, sf_dir).docs.select("document")
+    d = _fx(spark, sf_dir).doc_ids
     off = _offset_after(d)
     return d.select(F.col("document").alias("source_document"),
                     (F.col("document") + F.lit(off)).cast("long").alias("document"))
@@ -349,7 +349,7 @@ def q_error_report(spark, sf_dir):
 
 def q_semi_join_test_docs(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    test = test_documents(fx.docs.select("document"))
+    test = test_documents(fx.doc_ids)
     return fx.real.join(test, "document", "left_semi").select("document", "token", "token_value", "label")
 
 

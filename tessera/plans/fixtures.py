@@ -34,6 +34,11 @@ class Fixture:
         phone branches share one shuffle of the raw text."""
         return documents(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
 
+    @cached_property
+    def doc_ids(self) -> DataFrame:
+        """``(document)`` alone: the scan reads only the id column."""
+        return documents(self.spark, self.sf_dir, laid_out=False).select("document")
+
     @cached_property
     def raw_words(self) -> DataFrame:
         return document_words(self.docs)
