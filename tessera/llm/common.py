@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -53,3 +56,36 @@ def bucket_offsets(df: DataFrame, group: list[str], bucket: str, sums: dict[str,
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     per = df.groupBy(*group, bucket).agg(*[e.alias(n) for n, e in sums.items()])
     return per.select(*group, bucket, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+
+
+#: Bits of a membership bitmap: 2 MB, whatever it holds.
+BITMAP_BITS = 24
+
+
+def bitmap(df: DataFrame, hashed: str) -> np.ndarray:
+    """Bitmap of the top bits of a long hash column: a filter of fixed size that never misses.
+
+    Built by a grouped ``bit_or``; at most 2**18 words reach the driver. The more values it holds,
+    the more others it lets through, so it only ever spares work before an exact join.
+    """
+    at = F.shiftrightunsigned(hashed, 64 - BITMAP_BITS)
+    words = df.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("bit")).groupBy("w").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for w, bits in words.collect():
+        out[w] = bits
+    return out.view(np.uint64)
+
+
+def bitmap_hits(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned 64-bit hashes may be in the bitmap."""
+    at = hashes >> np.uint64(64 - BITMAP_BITS)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def in_bitmap(words: np.ndarray, hashed: Column) -> Column:
+    @F.pandas_udf(BooleanType())
+    def hit(values: pd.Series) -> pd.Series:
+        return pd.Series(bitmap_hits(words, values.to_numpy(np.int64).view(np.uint64)), dtype=bool)
+
+    return hit(hashed)

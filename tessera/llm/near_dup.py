@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import bitmap, checkpoint, in_bitmap
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WIDTH, mix64, shingle_set
 
@@ -21,6 +21,9 @@ COORDS = 64
 MATCHES = 32
 PREFIX = COORDS - MATCHES + 1
 THRESHOLD = 75
+#: Postings with more cross pairs than this for each member are split by further coordinates, so often.
+PAIRS_PER_POSTING = 4
+LEVELS = 12
 #: Counters of the value frequencies that order coordinates by rarity: a fixed 256 KB.
 COUNTERS = 1 << 16
 
@@ -77,32 +80,45 @@ def value_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_keys(counts: np.ndarray):
-    """UDF: the ``PREFIX`` rarest (coordinate, value) pairs of a signature, as longs.
+NEXT = StructType().add("keys", ArrayType(LongType())).add("at", ArrayType(LongType()))
 
-    Two signatures with MATCHES common coordinates share one of these, whatever the total order;
-    rarity keeps values of widely shared passages out of the prefix.
+
+def following_keys(counts: np.ndarray, common: int):
+    """UDF of (signature, position): the (coordinate, value) pairs that may be common next.
+
+    In order of rarity, two signatures with MATCHES common coordinates skip at most
+    COORDS - MATCHES others. So their first common pair is among the first PREFIX, whatever the
+    order, and the one after ``common`` others among the first PREFIX + ``common``. ``position`` is
+    that of the last common pair, -1 before the first. Rarity puts widely shared passages last.
     """
-    seen = counts
+    seen, upto = counts, PREFIX + common
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def keys(sigs: pd.Series) -> pd.Series:
+    @F.pandas_udf(NEXT)
+    def keys(sigs: pd.Series, position: pd.Series) -> pd.DataFrame:
         if not len(sigs):
-            return pd.Series([], dtype=object)
+            return pd.DataFrame({"keys": [], "at": []})
         m = matrix(sigs)
         at = counter_of(m)
-        order = np.lexsort((at, seen[at]), axis=-1)[:, :PREFIX]
-        keyed = m.astype(np.int64) + (np.arange(COORDS, dtype=np.int64) << 32)
-        return pd.Series(list(np.take_along_axis(keyed, order, axis=1)))
+        order = np.lexsort((m, at, seen[at]), axis=-1)[:, :upto]
+        keyed = np.take_along_axis(m.astype(np.int64) + (np.arange(COORDS, dtype=np.int64) << 32), order, axis=1)
+        return pd.DataFrame({"keys": [k[p + 1:] for k, p in zip(keyed, position)],
+                             "at": [np.arange(p + 1, upto) for p in position]})
 
     return keys
 
 
 @F.pandas_udf(BooleanType())
 def enough_collisions(a: pd.Series, b: pd.Series) -> pd.Series:
+    """At least MATCHES equal coordinates, by the low byte of each: it may count one too many."""
     if not len(a):
         return pd.Series([], dtype=bool)
-    return pd.Series((matrix(a) == matrix(b)).sum(axis=1) >= MATCHES)
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, COORDS) for s in (a, b))
+    return pd.Series((x == y).sum(axis=1) >= MATCHES)
+
+
+@F.pandas_udf(BinaryType())
+def low_bytes(sigs: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in sigs], dtype=object)
 
 
 @lru_cache(maxsize=64)
@@ -121,22 +137,18 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(key, fp, n) of all prefix coordinates that at least two classes share."""
-    keys = prefix_keys(value_counts(classes))
-    posts = classes.select("fp", F.col("n_shingles").cast("int").alias("n"), F.explode(keys("sig")).alias("key"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return checkpoint(posts.join(shared, "key"))
+def explode_keys(rows: DataFrame, keys: Column, key: Column) -> DataFrame:
+    nxt = rows.withColumn("_k", keys).withColumn("_z", F.explode(F.arrays_zip("_k.keys", "_k.at")))
+    return nxt.withColumns({"key": key, "pos": F.col("_z.at").cast("int")}).drop("_k", "_z", "sig")
 
 
-def labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with the component found so far, without the keys that hold one component only."""
-    if labels is None:
-        return posts.withColumn("comp", F.col("fp"))
-    known = posts.join(labels, posts.fp == labels.node, "left").select(
-        "key", "fp", "n", F.coalesce("component", "fp").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return known.join(mixed.select("key"), "key")
+def postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(node, n, key, pos): the prefix coordinates that at least two classes share."""
+    first = following_keys(counts, 0)("sig", F.lit(-1))
+    rows = classes.select("node", F.col("n_shingles").cast("int").alias("n"), "sig")
+    posts = explode_keys(rows, first, F.col("_z.keys"))
+    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    return checkpoint(posts.join(shared, "key"))
 
 
 def comparable(n: Column, m: Column) -> Column:
@@ -144,52 +156,61 @@ def comparable(n: Column, m: Column) -> Column:
     return (100 * F.least(n, m)) >= (THRESHOLD * F.greatest(n, m))
 
 
-def star_pairs(posts: DataFrame, last: bool) -> DataFrame:
-    """Each class of a key paired with one hub of the key: as many pairs as postings."""
-    end = F.max if last else F.min
-    hubs = posts.groupBy("key").agg(end(F.struct("fp", "n", "comp")).alias("h"))
-    pairs = posts.join(hubs, "key").where("comp <> h.comp").where(comparable(F.col("n"), F.col("h.n")))
-    return pairs.select(F.col("h.fp").alias("a"), F.col("fp").alias("b")).distinct()
-
+def star_pairs(posts: DataFrame) -> DataFrame:
+    """Each class of a key paired with the key's first class: fewer pairs than postings."""
+    hubs = posts.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"))
+    pairs = posts.join(hubs, "key").where("node <> h.node").where(comparable(F.col("n"), F.col("h.n")))
+    return pairs.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
 
-def cross_pairs(posts: DataFrame) -> DataFrame:
-    """All pairs of a key that the stars left in different components."""
-    p, q = posts.alias("p"), posts.alias("q")
-    pairs = p.join(q, F.col("p.key") == F.col("q.key")).where("p.fp < q.fp and p.comp <> q.comp")
-    return pairs.where(comparable(F.col("p.n"), F.col("q.n"))).select(
-        F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
 
+def cross_pairs(posts: DataFrame, labels: DataFrame, classes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """All pairs of classes in different components that share a key and could be similar.
 
-def verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with MATCHES collisions over all coordinates whose full sets are similar."""
-    def with_side(p: DataFrame, side: str, cols: DataFrame, name: str) -> DataFrame:
-        return p.join(cols.select(F.col("fp").alias(side), F.col(name).alias(f"{name}_{side}")), side)
-
-    met = with_side(with_side(pairs, "a", sigs, "sig"), "b", sigs, "sig")
-    met = checkpoint(met.where(enough_collisions("sig_a", "sig_b")).select("a", "b"))
-    both = with_side(with_side(met, "a", texts, "text"), "b", texts, "text")
+    A key whose cross pairs outnumber its postings by more than PAIRS_PER_POSTING is not paired:
+    its postings move on to keys of one more common coordinate each (prefix and skip merging),
+    which drops no pair with MATCHES collisions and parts classes that share a passage only.
+    """
+    p = posts.join(labels, posts.node == labels.node, "left").select(
+        posts.node, "n", "key", "pos", F.coalesce("component", posts.node).alias("comp"))
+    sigs = classes.select("node", "sig")
+    out = None
+    for common in range(1, LEVELS + 1):
+        work = p.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(
+            F.sum("c").alias("s"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+        heavy = F.col("pairs") > PAIRS_PER_POSTING * F.col("s")
+        p = checkpoint(p.join(work.where("pairs > 0").select("key", heavy.alias("heavy")), "key"))
+        light = p if common == LEVELS else p.where(~F.col("heavy"))
+        x, y = light.alias("x"), light.alias("y")
+        met = x.join(y, F.col("x.key") == F.col("y.key")).where("x.node < y.node and x.comp <> y.comp").where(
+            comparable(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        out = met if out is None else out.unionByName(met)
+        p = p.where("heavy").drop("heavy")
+        if common == LEVELS or p.isEmpty():
+            break
+        nxt = following_keys(counts, common)("sig", F.col("pos"))
+        p = explode_keys(p.withColumnRenamed("key", "was").join(sigs, "node"), nxt, F.xxhash64("was", "_z.keys")).drop("was")
+    return out.distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs with MATCHES collisions over all coordinates whose full sets are similar.
+
+    ``texts(tk, text)`` is the whole input; a bitmap of the text keys in question keeps the other
+    texts out of the shuffle.
+    """
+    def with_side(p: DataFrame, side: str) -> DataFrame:
+        return p.join(classes.select(F.col("node").alias(side), F.col("low").alias(f"low_{side}"),
+                                     F.col("tk").alias(f"tk_{side}")), side)
+
+    met = with_side(with_side(pairs, "a"), "b").where(enough_collisions("low_a", "low_b"))
+    met = checkpoint(met.select("a", "b", "tk_a", "tk_b"))
+    asked = met.select(F.explode(F.array("tk_a", "tk_b")).alias("tk")).distinct()
+    near = texts.where(in_bitmap(bitmap(asked, "tk"), F.col("tk")))
+    b = met.join(near.select(F.col("tk").alias("tk_b"), F.col("text").alias("text_b")), "tk_b")
+    both = b.join(near.select(F.col("tk").alias("tk_a"), F.col("text").alias("text_a")), "tk_a")
     return both.where(similar("text_a", "text_b")).select("a", "b")
 
 
-def links(rows: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) fingerprints: verified links that connect all classes that any link connects."""
-    posts = postings(classes)
-    wanted = posts.select("fp").distinct().join(classes.select("fp", "first"), "fp").select(
-        "fp", F.col("first.id").alias("_i"), F.col("first.h").alias("_h"))
-    full = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_x"))
-    texts = full.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h"))).select("fp", "text")
-    texts = checkpoint(texts.groupBy("fp").agg(F.first("text").alias("text")))
-    sigs = classes.select("fp", "sig")
-    found = labels = None
-    for step in ("first", "last", "cross"):
-        p = labelled(posts, labels)
-        pairs = cross_pairs(p) if step == "cross" else star_pairs(p, step == "last")
-        new = checkpoint(verified(pairs, sigs, texts))
-        found = new if found is None else found.unionByName(new)
-        labels = connected_components(found)
-    return labels
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``df``.
 
@@ -197,23 +218,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of 0.75 or more; ``component_id`` is the smallest id reachable. Texts of equal sets form one
     class. Each class posts the rarest ``PREFIX`` of its ``COORDS`` MinHash coordinates, which any
     pair with ``MATCHES`` collisions must share one of; collisions over the whole signature are
-    counted for the pairs found, and the full sets decide. Two rounds link the classes of a posting
-    to one hub each; the last compares all pairs of a posting that lie in different components, so
-    a group of copies costs as many pairs as it has members and no link between groups is lost.
+    counted for the pairs found, and the full sets decide. A first round links the classes of a
+    posting to one hub; the second compares all pairs of a posting that lie in different
+    components, so a group of copies costs about as many pairs as it has members.
 
     Null and empty texts have no shingles and are linked with nothing. A null id never becomes
     ``component_id`` unless the component has no other. Repeated rows of one id are kept or dropped
     alike. An empty table gives an empty result. Only the two columns are read.
     """
-    h = F.xxhash64(F.col(text_col))
-    rows = df.select(F.col(id_col).alias("id"), h.alias("h"), sketch(F.col(text_col)).alias("s"))
-    rows = checkpoint(rows.select("id", "h", "s.*"))
-    classes = checkpoint(rows.where("fp is not null").groupBy("fp").agg(
-        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first"), F.first("sig").alias("sig"),
-        F.first("n_shingles").alias("n_shingles")))
-    labels = links(rows, classes, df, id_col, text_col)
-    named = classes.join(labels, classes.fp == labels.node, "left").select(
-        "fp", F.coalesce("component", "fp").alias("comp"), F.col("first.id").alias("id"))
+    tk = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = df.select(F.col(id_col).alias("id"), tk.alias("tk"), sketch(F.col(text_col)).alias("s"))
+    rows = checkpoint(rows.select("id", "tk", "s.*"))
+    grouped = rows.where("fp is not null").groupBy("fp").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tk")).alias("first"),
+        F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    classes = checkpoint(grouped.select(
+        F.monotonically_increasing_id().alias("node"), "fp", "n_shingles", "sig", low_bytes("sig").alias("low"),
+        F.col("first.id").alias("id"), F.col("first.tk").alias("tk")))
+    texts = df.select(tk.alias("tk"), F.col(text_col).alias("text"))
+    counts = value_counts(classes)
+    posts = postings(classes, counts)
+    stars = checkpoint(verified(star_pairs(posts), classes, texts))
+    more = cross_pairs(posts, connected_components(stars), classes, counts)
+    labels = connected_components(stars.unionByName(verified(more, classes, texts)))
+    named = classes.join(labels, "node", "left").select(
+        "fp", F.coalesce("component", "node").alias("comp"), "id")
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_class = named.select("fp", "comp").join(lowest, "comp").select("fp", "component_id")
     linked = rows.where("fp is not null").select("id", "n_shingles", "fp").join(of_class, "fp").drop("fp")
