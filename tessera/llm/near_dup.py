@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
@@ -21,9 +21,8 @@ COORDS = 64
 MATCHES = 32
 PREFIX = COORDS - MATCHES + 1
 THRESHOLD = 75
-#: Postings with more cross pairs than this for each member are split by further coordinates, so often.
+#: Keys with more cross pairs than this for each member are joined by shingles instead.
 PAIRS_PER_POSTING = 4
-LEVELS = 12
 #: Counters of the value frequencies that order coordinates by rarity: a fixed 256 KB.
 COUNTERS = 1 << 16
 
@@ -80,33 +79,32 @@ def value_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-NEXT = StructType().add("keys", ArrayType(LongType())).add("at", ArrayType(LongType()))
+def prefix_keys(counts: np.ndarray):
+    """UDF: the ``PREFIX`` rarest (coordinate, value) pairs of a signature, as longs.
 
-
-def following_keys(counts: np.ndarray, common: int):
-    """UDF of (signature, position): the (coordinate, value) pairs that may be common next.
-
-    In order of rarity, two signatures with MATCHES common coordinates skip at most
-    COORDS - MATCHES others. So their first common pair is among the first PREFIX, whatever the
-    order, and the one after ``common`` others among the first PREFIX + ``common``. ``position`` is
-    that of the last common pair, -1 before the first. Rarity puts widely shared passages last.
+    Two signatures with MATCHES common coordinates share one of these, whatever the total order;
+    rarity keeps values of widely shared passages out of the prefix.
     """
-    seen, upto = counts, PREFIX + common
+    seen = counts
 
-    @F.pandas_udf(NEXT)
-    def keys(sigs: pd.Series, position: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(ArrayType(LongType()))
+    def keys(sigs: pd.Series) -> pd.Series:
         if not len(sigs):
-            return pd.DataFrame({"keys": [], "at": []})
+            return pd.Series([], dtype=object)
         m = matrix(sigs)
         at = counter_of(m)
-        order = np.lexsort((m, at, seen[at]), axis=-1)[:, :upto]
-        keyed = np.take_along_axis(m.astype(np.int64) + (np.arange(COORDS, dtype=np.int64) << 32), order, axis=1)
-        return pd.DataFrame({"keys": [k[p + 1:] for k, p in zip(keyed, position)],
-                             "at": [np.arange(p + 1, upto) for p in position]})
+        order = np.lexsort((m, at, seen[at]), axis=-1)[:, :PREFIX]
+        keyed = m.astype(np.int64) + (np.arange(COORDS, dtype=np.int64) << 32)
+        return pd.Series(list(np.take_along_axis(keyed, order, axis=1)), dtype=object)
 
     return keys
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def shingles_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
+
+
 @F.pandas_udf(BooleanType())
 def enough_collisions(a: pd.Series, b: pd.Series) -> pd.Series:
     """At least MATCHES equal coordinates, by the low byte of each: it may count one too many."""
@@ -137,59 +135,74 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def explode_keys(rows: DataFrame, keys: Column, key: Column) -> DataFrame:
-    nxt = rows.withColumn("_k", keys).withColumn("_z", F.explode(F.arrays_zip("_k.keys", "_k.at")))
-    return nxt.withColumns({"key": key, "pos": F.col("_z.at").cast("int")}).drop("_k", "_z", "sig")
-
-
-def postings(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(node, n, key, pos): the prefix coordinates that at least two classes share."""
-    first = following_keys(counts, 0)("sig", F.lit(-1))
-    rows = classes.select("node", F.col("n_shingles").cast("int").alias("n"), "sig")
-    posts = explode_keys(rows, first, F.col("_z.keys"))
+def postings(classes: DataFrame) -> DataFrame:
+    """(key, node, n): the prefix coordinates that at least two classes share."""
+    keys = prefix_keys(value_counts(classes))
+    posts = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode(keys("sig")).alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     return checkpoint(posts.join(shared, "key"))
 
 
-def comparable(n: Column, m: Column) -> Column:
-    """Length bound: sets whose sizes differ more can't be that similar."""
-    return (100 * F.least(n, m)) >= (THRESHOLD * F.greatest(n, m))
+def may_link(n: Column, m: Column, common: Column) -> Column:
+    """Whether sets of sizes n and m with at most ``common`` common members can be similar."""
+    return (100 + THRESHOLD) * common >= THRESHOLD * (n + m)
+
+
+def labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    return posts.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
 
 
-def star_pairs(posts: DataFrame) -> DataFrame:
-    """Each class of a key paired with the key's first class: fewer pairs than postings."""
-    hubs = posts.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h"))
-    pairs = posts.join(hubs, "key").where("node <> h.node").where(comparable(F.col("n"), F.col("h.n")))
-    return pairs.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct()
+def star_pairs(posts: DataFrame, hub: Column) -> DataFrame:
+    """Each class of a key paired with the key's class of smallest ``hub``: fewer pairs than postings."""
+    hubs = posts.groupBy("key").agg(F.min(F.struct(hub.alias("o"), "node", "n", "comp")).alias("h"))
+    fits = may_link(F.col("n"), F.col("h.n"), F.least("n", "h.n"))
+    pairs = posts.join(hubs, "key").where("comp <> h.comp").where(fits)
+    return pairs.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct()
 
 
-def cross_pairs(posts: DataFrame, labels: DataFrame, classes: DataFrame, counts: np.ndarray) -> DataFrame:
+def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of ``nodes(node, comp, n)`` in different components that pass the exact prefix filter.
+
+    A class's shingles stand in order of rarity among these classes, those of its own first. A
+    similar pair shares one of the first n - ceil(0.75 n) + 1, and its first common shingle leaves
+    enough after it on both sides (position and length bounds). One row per shingle of these
+    classes is shuffled; counts are folded before the shuffle.
+    """
+    at = nodes.join(classes.select("node", "tk"), "node")
+    full = texts.where(in_bitmap(bitmap(at, "tk"), F.col("tk"))).join(at, "tk").dropDuplicates(["node"])
+    each = full.select("node", "comp", "n", F.explode(shingles_of("text")).alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    shared = F.count(F.lit(1)).over(own)
+    rank = F.row_number().over(own.orderBy("df", "key"))
+    posts = each.join(often, "key").withColumn("pos", F.col("n") - shared + rank - 1)
+    posts = checkpoint(posts.where(100 * (F.col("n") - F.col("pos")) >= THRESHOLD * F.col("n")).drop("df"))
+    met = posts.groupBy("key").agg(F.min("n").alias("n_min"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    p = posts.join(met.where("lo < hi").select("key", "n_min"), "key").where(
+        may_link(F.col("n"), F.col("n_min"), F.col("n") - F.col("pos"))).drop("n_min")
+    x, y = p.alias("x"), p.alias("y")
+    fits = may_link(F.col("x.n"), F.col("y.n"), F.least(F.expr("x.n - x.pos"), F.expr("y.n - y.pos")))
+    pairs = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp") & fits)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def cross_pairs(posts: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share a key and could be similar.
 
-    A key whose cross pairs outnumber its postings by more than PAIRS_PER_POSTING is not paired:
-    its postings move on to keys of one more common coordinate each (prefix and skip merging),
-    which drops no pair with MATCHES collisions and parts classes that share a passage only.
+    Keys with many cross pairs hold texts that share a passage or a template; their classes are
+    paired by the rarity of their shingles instead of by the key.
     """
-    p = posts.join(labels, posts.node == labels.node, "left").select(
-        posts.node, "n", "key", "pos", F.coalesce("component", posts.node).alias("comp"))
-    sigs = classes.select("node", "sig")
-    out = None
-    for common in range(1, LEVELS + 1):
-        work = p.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(
-            F.sum("c").alias("s"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-        heavy = F.col("pairs") > PAIRS_PER_POSTING * F.col("s")
-        p = checkpoint(p.join(work.where("pairs > 0").select("key", heavy.alias("heavy")), "key"))
-        light = p if common == LEVELS else p.where(~F.col("heavy"))
-        x, y = light.alias("x"), light.alias("y")
-        met = x.join(y, F.col("x.key") == F.col("y.key")).where("x.node < y.node and x.comp <> y.comp").where(
-            comparable(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        out = met if out is None else out.unionByName(met)
-        p = p.where("heavy").drop("heavy")
-        if common == LEVELS or p.isEmpty():
-            break
-        nxt = following_keys(counts, common)("sig", F.col("pos"))
-        p = explode_keys(p.withColumnRenamed("key", "was").join(sigs, "node"), nxt, F.xxhash64("was", "_z.keys")).drop("was")
-    return out.distinct()
+    work = posts.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(
+        F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
+    heavy = F.expr(f"(s * s - q) / 2 > {PAIRS_PER_POSTING} * s")
+    p = checkpoint(posts.join(work.select("key", heavy.alias("heavy")), "key"))
+    light = p.where("not heavy")
+    x, y = light.alias("x"), light.alias("y")
+    fits = may_link(F.col("x.n"), F.col("y.n"), F.least("x.n", "y.n"))
+    met = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp") & fits)
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    crowded = p.where("heavy").select("node", "comp", "n").distinct()
+    return met.unionByName(shingle_pairs(crowded, classes, texts)).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -218,8 +231,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of 0.75 or more; ``component_id`` is the smallest id reachable. Texts of equal sets form one
     class. Each class posts the rarest ``PREFIX`` of its ``COORDS`` MinHash coordinates, which any
     pair with ``MATCHES`` collisions must share one of; collisions over the whole signature are
-    counted for the pairs found, and the full sets decide. A first round links the classes of a
-    posting to one hub; the second compares all pairs of a posting that lie in different
+    counted for the pairs found, and the full sets decide. Two rounds link the classes of a
+    posting to one hub; the third compares all pairs of a posting that lie in different
     components, so a group of copies costs about as many pairs as it has members.
 
     Null and empty texts have no shingles and are linked with nothing. A null id never becomes
@@ -236,11 +249,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.monotonically_increasing_id().alias("node"), "fp", "n_shingles", "sig", low_bytes("sig").alias("low"),
         F.col("first.id").alias("id"), F.col("first.tk").alias("tk")))
     texts = df.select(tk.alias("tk"), F.col(text_col).alias("text"))
-    counts = value_counts(classes)
-    posts = postings(classes, counts)
-    stars = checkpoint(verified(star_pairs(posts), classes, texts))
-    more = cross_pairs(posts, connected_components(stars), classes, counts)
-    labels = connected_components(stars.unionByName(verified(more, classes, texts)))
+    posts = postings(classes)
+    found = checkpoint(verified(star_pairs(posts.withColumn("comp", F.col("node")), F.col("node")), classes, texts))
+    again = labelled(posts, connected_components(found))
+    found = found.unionByName(checkpoint(verified(star_pairs(again, F.xxhash64("key", "node")), classes, texts)))
+    left = checkpoint(labelled(posts, connected_components(found)))
+    labels = connected_components(found.unionByName(verified(cross_pairs(left, classes, texts), classes, texts)))
     named = classes.join(labels, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("comp"), "id")
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
