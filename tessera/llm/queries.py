@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, near_dup, sharding
+from tessera.llm import decontaminate, exact_dedup, mixing, near_dup, sharding, toxicity
 from tessera.llm.common import table
 
 SHARDS = 16
@@ -30,6 +30,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = toxicity.in_fold(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = docs.select("doc_id", (fold == 0).alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return c.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    decontaminate.items_digest(F.col("items")).alias("items_sha256"),
+                    (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -41,4 +56,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_mixing, op7_near_dup, op9_exact_dedup)}
+    f.__name__: f for f in (op1_sharding, op3_mixing, op5_toxicity, op6_decontaminate, op7_near_dup, op9_exact_dedup)}
