@@ -42,6 +42,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """64-bit name of a row: a hash of its id and text. Repeated rows share it."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def hash60(key: Column, part: int = 0) -> Column:
     """60 bits of the MD5 of a string as a non-negative long; ``part`` 0 or 1 picks the half."""
     return F.conv(F.substring(F.md5(key), 1 + 16 * part, 15), 16, 10).cast("long")

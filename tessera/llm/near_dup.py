@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
-from tessera.llm.common import bitmap, checkpoint, in_bitmap
+from tessera.llm.common import bitmap, checkpoint, in_bitmap, row_key
 from tessera.llm.components import connected_components
 from tessera.llm.shingles import WIDTH, mix64, shingle_set
 
@@ -225,7 +225,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``df``.
+    """(id, key, n_shingles, component_id, kept) for every row of ``df``.
 
     Texts are linked when the sets of their distinct five-word shingles have a Jaccard similarity
     of 0.75 or more; ``component_id`` is the smallest id reachable. Texts of equal sets form one
@@ -239,7 +239,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``component_id`` unless the component has no other. Repeated rows of one id are kept or dropped
     alike. An empty table gives an empty result. Only the two columns are read.
     """
-    tk = F.xxhash64(F.col(id_col), F.col(text_col))
+    tk = row_key(id_col, text_col)
     rows = df.select(F.col(id_col).alias("id"), tk.alias("tk"), sketch(F.col(text_col)).alias("s"))
     rows = checkpoint(rows.select("id", "tk", "s.*"))
     grouped = rows.where("fp is not null").groupBy("fp").agg(
@@ -259,6 +259,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "fp", F.coalesce("component", "node").alias("comp"), "id")
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_class = named.select("fp", "comp").join(lowest, "comp").select("fp", "component_id")
-    linked = rows.where("fp is not null").select("id", "n_shingles", "fp").join(of_class, "fp").drop("fp")
-    alone = rows.where("fp is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    linked = rows.where("fp is not null").select("id", F.col("tk").alias("key"), "n_shingles", "fp").join(of_class, "fp").drop("fp")
+    alone = rows.where("fp is null").select("id", F.col("tk").alias("key"), "n_shingles", F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, mixing, near_dup, sharding, toxicity
+from tessera.llm import (chat, decontaminate, exact_dedup, language, mixing, near_dup, sharding, token_count, toxicity,
+                         url_filter)
 from tessera.llm.common import table
 
 SHARDS = 16
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +27,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = mixing.taken_words(table(spark, sf_dir, "documents"))
     return t.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = toxicity.in_fold(F.col("doc_id"), 5)
@@ -50,10 +61,24 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = toxicity.in_fold(F.col("doc_id"), 4)
+    return language.identify(docs, fold != 2).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_token_count(spark: SparkSession, sf_dir: str, vocabulary: str = token_count.DEFAULT_VOCABULARY) -> DataFrame:
+    tokens = token_count.read_vocabulary(spark, vocabulary)
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", token_count.token_counts(F.col("text"), tokens).alias("c")).select("doc_id", "c.*")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_mixing, op5_toxicity, op6_decontaminate, op7_near_dup, op9_exact_dedup)}
+    f.__name__: f for f in (
+        op1_sharding, op2_url_filter, op3_mixing, op4_chat, op5_toxicity, op6_decontaminate, op7_near_dup,
+        op8_language, op9_exact_dedup, op10_token_count)}

@@ -74,7 +74,7 @@ def log_count_ratios(sample: DataFrame) -> np.ndarray:
     return out
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 300, ridge: float = 0.02):
+def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 500, ridge: float = 0.005):
     """Weights of an L2-regularised logistic regression on scaled 0/1 features (accelerated descent)."""
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
