@@ -148,16 +148,12 @@ def may_link(n: Column, m: Column, common: Column) -> Column:
     return (100 + THRESHOLD) * common >= THRESHOLD * (n + m)
 
 
-def labelled(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    return posts.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-
-
 def star_pairs(posts: DataFrame, hub: Column) -> DataFrame:
     """Each class of a key paired with the key's class of smallest ``hub``: fewer pairs than postings."""
-    hubs = posts.groupBy("key").agg(F.min(F.struct(hub.alias("o"), "node", "n", "comp")).alias("h"))
+    hubs = posts.groupBy("key").agg(F.min(F.struct(hub.alias("o"), "node", "n")).alias("h"))
     fits = may_link(F.col("n"), F.col("h.n"), F.least("n", "h.n"))
-    pairs = posts.join(hubs, "key").where("comp <> h.comp").where(fits)
-    return pairs.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct()
+    pairs = posts.join(hubs, "key").where("node <> h.node").where(fits)
+    return pairs.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b"))
 
 
 def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -231,9 +227,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of 0.75 or more; ``component_id`` is the smallest id reachable. Texts of equal sets form one
     class. Each class posts the rarest ``PREFIX`` of its ``COORDS`` MinHash coordinates, which any
     pair with ``MATCHES`` collisions must share one of; collisions over the whole signature are
-    counted for the pairs found, and the full sets decide. Two rounds link the classes of a
-    posting to one hub; the third compares all pairs of a posting that lie in different
-    components, so a group of copies costs about as many pairs as it has members.
+    counted for the pairs found, and the full sets decide. The classes of a posting are first
+    linked with two of them, its hubs; then all pairs of a posting that lie in different
+    components are compared, so a group of copies costs about as many pairs as it has members.
 
     Null and empty texts have no shingles and are linked with nothing. A null id never becomes
     ``component_id`` unless the component has no other. Repeated rows of one id are kept or dropped
@@ -250,11 +246,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("first.id").alias("id"), F.col("first.tk").alias("tk")))
     texts = df.select(tk.alias("tk"), F.col(text_col).alias("text"))
     posts = postings(classes)
-    found = checkpoint(verified(star_pairs(posts.withColumn("comp", F.col("node")), F.col("node")), classes, texts))
-    again = labelled(posts, connected_components(found))
-    found = found.unionByName(checkpoint(verified(star_pairs(again, F.xxhash64("key", "node")), classes, texts)))
-    left = checkpoint(labelled(posts, connected_components(found)))
-    labels = connected_components(found.unionByName(verified(cross_pairs(left, classes, texts), classes, texts)))
+    hubs = star_pairs(posts, F.col("node")).unionByName(star_pairs(posts, F.xxhash64("key", "node"))).distinct()
+    stars = connected_components(checkpoint(verified(hubs, classes, texts)))
+    left = checkpoint(posts.join(stars, "node", "left").select(
+        "key", "node", "n", F.coalesce("component", "node").alias("comp")))
+    linked = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = connected_components(linked.unionByName(verified(cross_pairs(left, classes, texts), classes, texts)))
     named = classes.join(labels, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("comp"), "id")
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
