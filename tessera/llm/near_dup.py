@@ -185,19 +185,20 @@ def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> Dat
 def cross_pairs(posts: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs of classes in different components that share a key and could be similar.
 
-    Keys with many cross pairs hold texts that share a passage or a template; their classes are
-    paired by the rarity of their shingles instead of by the key.
+    Keys with many cross pairs hold texts that share a passage or a template. All pairs of such
+    crowded classes come from the exact shingle join, so no other key pairs two of them.
     """
     work = posts.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(
         F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
     heavy = F.expr(f"(s * s - q) / 2 > {PAIRS_PER_POSTING} * s")
     p = checkpoint(posts.join(work.select("key", heavy.alias("heavy")), "key"))
-    light = p.where("not heavy")
+    crowded = checkpoint(p.where("heavy").select("node", "comp", "n").distinct())
+    light = p.where("not heavy").join(crowded.select("node", F.lit(True).alias("by_shingles")), "node", "left")
     x, y = light.alias("x"), light.alias("y")
     fits = may_link(F.col("x.n"), F.col("y.n"), F.least("x.n", "y.n"))
-    met = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp") & fits)
+    met = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp "
+                           "and (x.by_shingles is null or y.by_shingles is null)") & fits)
     met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    crowded = p.where("heavy").select("node", "comp", "n").distinct()
     return met.unionByName(shingle_pairs(crowded, classes, texts)).distinct()
 
 
