@@ -29,7 +29,8 @@ def heavy_hitters(d: DataFrame, counters: int = COUNTERS, heavy: int = HEAVY) ->
     """
     parts = d.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("p")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {counters})").alias("s"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).where("s is not null")
+    # Grouped, although by one value: a partition without sketches must not add an empty one.
+    top = parts.groupBy((F.col("p") < 0).alias("one")).agg(F.expr(f"approx_top_k_combine(s, {counters})").alias("s")).where("s is not null")
     items = top.select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t"))
     return items.where("t.count > 1").select(F.col("t.item").alias("digest"))
 
