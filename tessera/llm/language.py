@@ -31,7 +31,8 @@ _LETTERS = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
 def suffix_automaton(text: np.ndarray, classes: int) -> np.ndarray:
-    """Transitions (state x class, -1: none) of the smallest automaton that reads every substring."""
+    """Transitions (state x class, -1: none) of the smallest automaton that reads every substring,
+    and a last state that has none."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -57,7 +58,7 @@ def suffix_automaton(text: np.ndarray, classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), classes), -1, np.int32)
+    table = np.full((len(nxt) + 1, classes), -1, np.int32)
     for state, edges in enumerate(nxt):
         for c, to in edges.items():
             table[state, c] = to
@@ -79,19 +80,20 @@ def parsers(corpus: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[np.
 
 def phrases(blocks: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Phrases of each row's longest-match parse; the rows stand by falling length, one step for all."""
-    classes = table.shape[1]
+    states, classes = table.shape
+    # After a byte that the language doesn't know, in a state without transitions, any byte is new.
     flat = table.ravel()
-    count = np.zeros(len(blocks), np.int32)
-    state = np.zeros(len(blocks), np.int64)
-    for i in range(int(lengths[0]) if len(lengths) else 0):
+    first = np.where(table[0] < 0, states - 1, table[0]).astype(np.int64)
+    count = np.ones(len(blocks), np.int32)
+    state = first[blocks[:, 0]]
+    for i in range(1, int(lengths[0]) if len(lengths) else 0):
         live = int(np.searchsorted(-lengths, -i, side="left"))
-        c, s = blocks[:live, i], state[:live]
-        to = flat[s * classes + c]
+        c = blocks[:live, i]
+        to = flat[state[:live] * classes + c]
         stop = to < 0
         count[:live] += stop
-        # The phrase ended before this byte; the next begins with it, or skips it if it is unknown.
-        state[:live] = np.where(stop, np.maximum(flat[c], 0), to)
-    return count + 1
+        state[:live] = np.where(stop, first[c], to)
+    return count
 
 
 def cross_parse(texts: list[bytes], corpus: tuple[tuple[str, bytes], ...]) -> np.ndarray:

@@ -214,8 +214,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
 
     met = with_side(with_side(pairs, "a"), "b").where(enough_collisions("low_a", "low_b"))
     met = checkpoint(met.select("a", "b", "tk_a", "tk_b"))
-    asked = met.select(F.explode(F.array("tk_a", "tk_b")).alias("tk")).distinct()
-    near = texts.where(in_bitmap(bitmap(asked, "tk"), F.col("tk")))
+    near = texts.where(in_bitmap(bitmap(met, "tk_a") | bitmap(met, "tk_b"), F.col("tk")))
     b = met.join(near.select(F.col("tk").alias("tk_b"), F.col("text").alias("text_b")), "tk_b")
     both = b.join(near.select(F.col("tk").alias("tk_a"), F.col("text").alias("text_a")), "tk_a")
     return both.where(similar("text_a", "text_b")).select("a", "b")
@@ -229,7 +228,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class. Each class posts the rarest ``PREFIX`` of its ``COORDS`` MinHash coordinates, which any
     pair with ``MATCHES`` collisions must share one of; collisions over the whole signature are
     counted for the pairs found, and the full sets decide. The classes of a posting are first
-    linked with its first and its last; then all pairs of a posting that lie in different
+    linked with two of them, its hubs; then all pairs of a posting that lie in different
     components are compared, so a group of copies costs about as many pairs as it has members.
 
     Null and empty texts have no shingles and are linked with nothing. A null id never becomes
@@ -247,7 +246,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("first.id").alias("id"), F.col("first.tk").alias("tk")))
     texts = df.select(tk.alias("tk"), F.col(text_col).alias("text"))
     posts = postings(classes)
-    hubs = star_pairs(posts, F.col("node")).unionByName(star_pairs(posts, -F.col("node"))).distinct()
+    hubs = star_pairs(posts, F.col("node")).unionByName(star_pairs(posts, F.xxhash64("key", "node"))).distinct()
     stars = connected_components(checkpoint(verified(hubs, classes, texts)))
     left = checkpoint(posts.join(stars, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("comp")))
