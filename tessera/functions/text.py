@@ -19,10 +19,11 @@ WORD_PATTERN = r"([\p{L}\p{N}_.+@-]+|\n+| +|(?s:.))( ?)"
 # E-mail, matched against a whole word ("\w" written as [\p{L}\p{N}_]).
 EMAIL_PATTERN = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 # Phone numbers, searched in the full text; group 1 is the number, a whitespace must follow.
-PHONE_PATTERN = r"(\(\d{3}\)\d{3}\-\d{4}[\p{L}\p{N}_]*|\d{3}\.\d{3}\.\d{4})" + WHITESPACE_CLASS
+# Digits are Unicode decimal digits.
+PHONE_PATTERN = r"(\(\p{Nd}{3}\)\p{Nd}{3}\-\p{Nd}{4}[\p{L}\p{N}_]*|\p{Nd}{3}\.\p{Nd}{3}\.\p{Nd}{4})" + WHITESPACE_CLASS
 # Same, also accepting one space after the area code: "(743) 555-3824".
 PHONE_PATTERN_EXTENDED = (
-    r"(\(\d{3}\) ?\d{3}\-\d{4}[\p{L}\p{N}_]*|\d{3}\.\d{3}\.\d{4})" + WHITESPACE_CLASS
+    r"(\(\p{Nd}{3}\) ?\p{Nd}{3}\-\p{Nd}{4}[\p{L}\p{N}_]*|\p{Nd}{3}\.\p{Nd}{3}\.\p{Nd}{4})" + WHITESPACE_CLASS
 )
 # Identity numbers of the silver labels: a word of sixteen digits.
 ID_NUM_PATTERN = r"\d{16}"

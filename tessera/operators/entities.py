@@ -123,11 +123,10 @@ def entity_f5_by_type(pred_ents: DataFrame, true_ents: DataFrame,
     c = count_matches(entity_match(pred_ents, true_ents), ["entity_type"])
     vocab_types = sorted({x[2:] for x in labels if x.startswith("B-")})
     spark = pred_ents.sparkSession
-    types = spark.createDataFrame([(t,) for t in vocab_types], "entity_type string")
-    all_types = types.unionByName(c.select("entity_type")).distinct()
-    j = all_types.join(c, "entity_type", "left").select(
-        "entity_type", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("tp", "n_pred", "n_true")])
-    return _metrics(j)
+    counts = ("tp", "n_pred", "n_true")
+    zero = spark.createDataFrame([(t, 0, 0, 0) for t in vocab_types], "entity_type string, tp long, n_pred long, n_true long")
+    both = c.select("entity_type", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in counts]).unionByName(zero)
+    return _metrics(both.groupBy("entity_type").agg(*[F.sum(x).alias(x) for x in counts]))
 
 
 def align_real_pred(real: DataFrame, preds: DataFrame) -> DataFrame:

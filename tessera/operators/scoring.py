@@ -119,22 +119,22 @@ def with_argmax(scores: DataFrame) -> DataFrame:
 def ensemble_scores(members: Sequence[tuple[DataFrame, float]]) -> DataFrame:
     """Weighted mean of several models' probabilities per ``(document, piece)``.
 
-    ``sum(w * p) / sum(w)``; all members must cover the same pieces (checked: a piece seen
-    by fewer members raises). One aggregate keyed by document first, partial on the map
+    ``sum(w * p) / sum(w)``; all members must cover the same pieces (checked: a piece that
+    is not in each member exactly once raises). One aggregate keyed by document first, partial on the map
     side, so it reuses the corpus layout.
     """
-    parts = [df.select("document", "piece", *PROB_COLS, F.lit(float(w)).alias("_w"))
-             for df, w in members]
+    parts = [df.select("document", "piece", *PROB_COLS, F.lit(float(w)).alias("_w"),
+                       F.lit(1 << i).cast("long").alias("_m")) for i, (df, w) in enumerate(members)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     agg = u.groupBy("document", "piece").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_sw"),
+        F.count(F.lit(1)).alias("_n"), F.bit_or("_m").alias("_seen"), F.sum("_w").alias("_sw"),
         *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in PROB_COLS],
     )
     checked = agg.withColumn(
         "_sw",
-        F.when(F.col("_n") == len(members), F.col("_sw")).otherwise(
+        F.when((F.col("_n") == len(members)) & (F.col("_seen") == (1 << len(members)) - 1), F.col("_sw")).otherwise(
             F.raise_error(F.lit("ensemble members disagree on piece boundaries"))),
     )
     return checked.select("document", "piece", *[(F.col(c) / F.col("_sw")).alias(c) for c in PROB_COLS])
@@ -149,16 +149,18 @@ def focal_loss(scores: DataFrame, labels: DataFrame, gamma: float = FOCAL_GAMMA,
     ``mean`` divides by the row count (0 when no row), ``sum`` adds, ``none`` returns rows.
     """
     if reduction not in ("mean", "sum", "none"):
-        raise ValueError('Reduction must be one of: "mean", "sum", "none".')
+        raise ValueError(f"unknown reduction {reduction!r}: give mean, sum or none")
     if alpha is None:
         alpha = [1.0] * NUM_LABELS
         alpha[O_ID] = FOCAL_ALPHA_O
     ps = [F.col(c) for c in PROB_COLS]
     y = F.col("label_id")
     p_y = pick(ps, y)
+    # ln(0) is null in SQL; a true class of probability 0 is an infinite loss, not a dropped row.
+    surprise = F.when(p_y > 0, -F.log(p_y)).otherwise(F.lit(float("inf")))
     a_y = F.element_at(F.array(*[F.lit(float(a)) for a in alpha]), y + 1)
     rows = scores.join(labels.where(F.col("label_id") != ignore_index), ["document", "piece"], "inner")
-    loss = a_y * F.pow(1.0 - p_y, F.lit(float(gamma))) * -F.log(p_y)
+    loss = a_y * F.pow(1.0 - p_y, F.lit(float(gamma))) * surprise
     per_row = rows.select("document", "piece", "label_id", loss.alias("loss"))
     if reduction == "none":
         return per_row

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detokenize, is_blank, match_has_space, match_word, word_matches
-from ..session import shuffle_partitions
 
 
-def layout_by_document(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Hash-partition rows on ``document`` (the one shuffle of the raw corpus)."""
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    return df.repartition(n, "document")
+def layout_by_document(df: DataFrame) -> DataFrame:
+    """Hash-partition rows on ``document`` (the one shuffle of the raw corpus).
+
+    Without a partition number, so adaptive execution sizes the partitions.
+    """
+    return df.repartition("document")
 
 
 def tokenize_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:

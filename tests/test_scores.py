@@ -1,6 +1,6 @@
 import math
 
-from pyspark.sql import functions as F
+import pytest
 
 from tessera.operators.scoring import ensemble_scores, focal_loss, softmax_scores, with_argmax
 from tessera.schema import LOGIT_COLS, PROB_COLS
@@ -38,4 +38,16 @@ def test_ensemble_of_one_is_identity(spark):
     b = {r.piece: [getattr(r, c) for c in PROB_COLS] for r in ens.collect()}
     for k in a:
         assert all(abs(x - y) < 1e-12 for x, y in zip(a[k], b[k]))
-    assert F is not None
+
+
+def test_focal_loss_keeps_rows_of_probability_zero(spark):
+    scores = softmax_scores(_logits(spark, [[0.0] + [2000.0] * 12]))
+    labels = spark.createDataFrame([(0, 0, 0)], "document long, piece int, label_id int")
+    got = focal_loss(scores, labels).first()
+    assert got.n_rows == 1 and math.isinf(got.loss)
+
+
+def test_ensemble_members_must_hold_each_piece_once(spark):
+    one = softmax_scores(_logits(spark, [[0.1] * 13]))
+    with pytest.raises(Exception, match="disagree"):
+        ensemble_scores([(one.unionByName(one), 1.0), (one.limit(0), 1.0)]).collect()
