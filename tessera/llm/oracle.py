@@ -2,4 +2,57 @@
 
 from __future__ import annotations
 
-LLM_ORACLE: dict[str, str] = {}
+from tessera.llm.common import LOWER, UPPER
+
+_FOLD = f"translate({{}}, '{UPPER}', '{LOWER}')"
+_WORDS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_CHAT = """
+WITH t AS (
+  SELECT conv_id, coalesce('#' || conv_id, '') c, turn, coalesce(turn, 4611686018427387904) o,
+         coalesce(role, 'unknown') speaker, coalesce(text, '') body FROM conversations),
+v AS (SELECT DISTINCT c, speaker AS view FROM t WHERE speaker <> 'system'),
+s AS (
+  SELECT conv_id, c, view, turn, o, speaker, body, (speaker = view)::INT mask,
+         CASE WHEN speaker = view THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+         CASE WHEN speaker <> view AND speaker <> 'system' THEN speaker END AS name
+  FROM t JOIN v USING (c)),
+g AS (
+  SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) || body || '<|im_end|>' || chr(10) AS segment FROM s),
+e AS (
+  SELECT *, (sum(length(segment)) OVER (PARTITION BY c, view ORDER BY o, speaker, body ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM g)
+SELECT conv_id, view, turn, role, name, segment, mask, upto - length(segment) AS start, upto AS "end" FROM e
+"""
+
+_CONTAMINATION = f"""
+WITH w AS (SELECT item_id, {_WORDS.format('text')} a FROM benchmark WHERE text IS NOT NULL),
+i AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') item, n, array_to_string(a[k:k + n - 1], ' ') win
+  FROM (SELECT item_id, a, least(10, len(a)) n, unnest(range(1, len(a) - least(10, len(a)) + 2)) k FROM w WHERE len(a) > 0)),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} a FROM documents),
+l AS (SELECT DISTINCT n FROM i),
+x AS (
+  SELECT doc_id, k, n, array_to_string(a[k:k + n - 1], ' ') win
+  FROM (SELECT doc_id, a, n, unnest(range(1, len(a) - n + 2)) k FROM d, l WHERE len(a) >= n)),
+m AS (SELECT doc_id, k, x.n, item FROM x JOIN i ON x.win = i.win AND x.n = i.n),
+h AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) p FROM m) GROUP BY 1),
+j AS (
+  SELECT doc_id, count(*) n_items, sha256(string_agg(item, ',' ORDER BY item)) digest
+  FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+SELECT doc_id, len(a)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+       coalesce(digest, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN j USING (doc_id)
+"""
+
+_EXACT = f"""
+WITH d AS (SELECT doc_id, {_FOLD.format("coalesce(text, '')")} t FROM documents),
+g AS (SELECT t, max(doc_id) keep_id, count(*) group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(d.t) text_sha256
+FROM d JOIN g ON d.t = g.t
+"""
+
+LLM_ORACLE: dict[str, str] = {
+    "op4_chat": _CHAT,
+    "op6_decontaminate": _CONTAMINATION,
+    "op9_exact_dedup": _EXACT,
+}
