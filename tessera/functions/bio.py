@@ -33,10 +33,6 @@ def label_id(label: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LABELS]), label).cast("int") - 1
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    return F.when(den != 0, num.cast("double") / den.cast("double"))
-
-
 def f_beta(precision: Column, recall: Column, beta: float = BETA) -> Column:
     """(1+b^2)PR / (b^2 P + R); null when both are zero or either is null."""
     b2 = float(beta) * float(beta)
@@ -51,7 +47,3 @@ def type_id_of(label_id_col: Column) -> Column:
 
 def is_begin_id(label_id_col: Column) -> Column:
     return F.element_at(F.array(*[F.lit(b) for b in IS_BEGIN_LABEL_ID]), label_id_col + 1)
-
-
-def type_name(type_id_col: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in ENTITY_TYPES]), type_id_col + 1)

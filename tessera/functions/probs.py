@@ -12,16 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def softmax_columns(logits: Sequence[Column], names: Sequence[str]) -> list[Column]:
-    """exp(z - max) / sum: one output column per input column."""
-    m = F.greatest(*logits)
-    exps = [F.exp(z - m) for z in logits]
-    total = exps[0]
-    for e in exps[1:]:
-        total = total + e
-    return [(e / total).alias(n) for e, n in zip(exps, names)]
-
-
 def argmax(cols: Sequence[Column], maximum: Column | None = None) -> Column:
     """Index of the largest value; ties go to the lowest index (NumPy's rule).
 

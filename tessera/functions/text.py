@@ -60,11 +60,6 @@ def match_word(m: Column) -> Column:
     return F.when(match_has_space(m), m.substr(F.lit(1), F.length(m) - 1)).otherwise(m)
 
 
-def tokenize(text: Column) -> Column:
-    """Words of a text as an array (the tokeniser's group 1)."""
-    return F.transform(word_matches(text), match_word)
-
-
 def detokenize(tokens: Column, trailing_whitespace: Column) -> Column:
     """Rebuild text: each token followed by one space where its flag is set."""
     return F.array_join(

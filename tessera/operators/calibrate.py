@@ -13,24 +13,23 @@ from .decode import PRED_COLS, decode_sweep, rules_plus_model, sweep_word_ids
 from .entities import _metrics, count_entity_matches, entity_spans_ids
 
 
+def threshold_grid(step: float) -> list[float]:
+    """The thresholds ``0, step, 2 * step, ...`` below 1."""
+    if not 0 < step <= 1:
+        raise ValueError("step must be above 0 and at most 1")
+    grid, i = [], 0
+    while round(i * step, 9) < 1:
+        grid.append(round(i * step, 9))
+        i += 1
+    return grid
+
+
 def per_threshold(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Repeat rows once per threshold (the grid is a parameter, not data)."""
     grid = F.array(*[F.lit(float(t)) for t in thresholds])
     return df.select(F.explode(grid).alias("threshold"), *df.columns)
 
 
-def sweep_predictions(cands: DataFrame, thresholds: Sequence[float], mode: int,
-                      rules: DataFrame | None = None, dedupe: bool = True) -> DataFrame:
-    """Word predictions at every threshold, with rule hits added when ``rules`` is given
-    (model output for the rule labels is then ignored)."""
-    ignored = RULE_LABELS if rules is not None else None
-    preds = decode_sweep(cands, thresholds, mode, ignored)
-    if rules is not None:
-        preds = rules_plus_model(preds, per_threshold(rules.select(*PRED_COLS), thresholds),
-                                 dedupe=dedupe, keys=["threshold"])
-    return preds
-
-
 def calibrate(cands: DataFrame, real_words: DataFrame, thresholds: Sequence[float] = THRESHOLDS,
               mode: int = 1, rules: DataFrame | None = None) -> DataFrame:
     """``(threshold, tp, n_pred, n_true, precision, recall, f5)`` for every threshold.

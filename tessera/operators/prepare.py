@@ -21,16 +21,6 @@ def truncate_left(word_rows: DataFrame, keep_last: int = TRUNCATE_LEFT_WORDS) ->
         "n_words", F.least(F.col("n_words"), F.lit(keep_last)).cast("int"))
 
 
-def truncate_left_arrays(corpus: DataFrame, keep_last: int = TRUNCATE_LEFT_WORDS,
-                         columns: tuple[str, ...] = ("tokens", "trailing_whitespace", "provided_labels")) -> DataFrame:
-    """Array form of :func:`truncate_left` on corpus rows (``slice`` of each array)."""
-    out = corpus
-    for c in columns:
-        n = F.size(F.col(c))
-        out = out.withColumn(c, F.slice(F.col(c), F.greatest(n - F.lit(keep_last), F.lit(0)) + 1, keep_last))
-    return out
-
-
 def document_shift(df: DataFrame, offset: int | Column) -> DataFrame:
     """Add a constant to document ids (the second copy of a training set)."""
     off = offset if isinstance(offset, Column) else F.lit(int(offset))

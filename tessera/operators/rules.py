@@ -55,27 +55,30 @@ def phone_targets(docs: DataFrame, text_col: str = "text",
 def find_spans(words: DataFrame, targets: DataFrame) -> DataFrame:
     """All occurrences of each target word sequence among a document's words.
 
-    Exact search, overlapping matches included. Every word position builds the array of
-    its next ``m`` words with ``lead`` (one window pass per distinct target length ``m``,
-    a handful), and that array is equi-joined to the distinct target sequences of the
-    document. Work is linear in the words and the output is exactly the matches: no word is
-    paired with every hit of its document. Returns ``(document, start, end)``.
+    Exact search, overlapping matches included. Every position of a document with targets
+    yields its next ``m`` words for each length ``m`` among the document's own targets, and
+    that array is equi-joined to the distinct target sequences of the document. No word is
+    paired with every hit of its document, no length is left out, and nothing runs before the
+    query does. Returns ``(document, start, end)``.
     """
     seqs = targets.groupBy("document", "hit", "target_len").agg(
         F.array_sort(F.collect_list(F.struct("k", "target_word"))).alias("_t")
     ).select("document", "target_len", F.transform("_t", lambda x: x["target_word"]).alias("_key")).distinct()
-    lengths = sorted(r[0] for r in seqs.select("target_len").distinct().collect())
-    w = Window.partitionBy("document").orderBy("token")
-    found = None
-    for m in lengths:
-        key = F.array(F.col("word"), *[F.lead("word", i).over(w) for i in range(1, m)])
-        grams = words.select("document", "token", key.alias("_key"), F.lit(m).alias("target_len"))
-        hits = grams.join(seqs.where(F.col("target_len") == m), ["document", "target_len", "_key"], "inner").select(
-            "document", F.col("token").alias("start"), (F.col("token") + m - 1).cast("int").alias("end"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return words.sparkSession.createDataFrame([], "document long, start int, end int")
-    return found
+    lengths = targets.groupBy("document").agg(F.collect_set("target_len").alias("_lengths"))
+    rows = words.select("document", "token", "word").join(lengths, "document").groupBy("document").agg(
+        F.array_sort(F.collect_list(F.struct("token", "word"))).alias("_w"), F.first("_lengths").alias("_lengths"))
+    # The arrays are built below the explode, so that the lambdas read stored columns.
+    arrays = rows.select("document", "_lengths", F.transform("_w", lambda x: x["word"]).alias("_words"),
+                         F.transform("_w", lambda x: x["token"]).alias("_tokens"))
+    per_length = arrays.select("document", "_words", "_tokens", F.explode("_lengths").alias("target_len")).where(
+        F.size("_words") >= F.col("target_len"))
+    m = F.col("target_len")
+    grams = F.transform(F.sequence(F.lit(0), F.size("_words") - m), lambda i: F.struct(
+        F.get("_tokens", i).alias("start"), F.slice("_words", i + 1, m).alias("_key")))
+    found = per_length.select("document", "target_len", F.explode(grams).alias("_g")).select(
+        "document", "target_len", F.col("_g.start").alias("start"), F.col("_g._key").alias("_key"))
+    return found.join(seqs, ["document", "target_len", "_key"]).select(
+        "document", F.col("start").cast("int").alias("start"), (F.col("start") + m - 1).cast("int").alias("end"))
 
 
 def span_word_labels(spans: DataFrame, words: DataFrame, entity: str) -> DataFrame:
@@ -105,9 +108,7 @@ def detect_phones(docs: DataFrame, words: DataFrame, text_col: str = "text",
     if greedy:
         spans = greedy_spans(words, targets)
     else:
-        # Only documents with a hit take part in the search.
-        hit_docs = targets.select("document").distinct()
-        spans = find_spans(words.join(hit_docs, "document", "left_semi"), targets)
+        spans = find_spans(words, targets)
     return span_word_labels(spans, words, "PHONE_NUM")
 
 

@@ -71,29 +71,33 @@ def score_pieces(pieces: DataFrame, scorer: Callable[[DataFrame], DataFrame] | N
     return softmax_scores(scorer(pieces))
 
 
-def score_with_model(pieces: DataFrame, predict: Callable[[pd.DataFrame], np.ndarray],
-                     feature_cols: Sequence[str], key_cols: Sequence[str] = ("document", "piece"),
-                     outputs_logits: bool = True) -> DataFrame:
-    """Pluggable batch scorer: ``predict(batch) -> [rows, 13]`` runs in ``mapInPandas``.
-
-    The model is whatever ``predict`` closes over (loaded once per Python worker); batches
-    arrive as Arrow record batches, so there is no per-row Python call. Returns logits
-    (``z*``) or probabilities (``p*``) next to the key columns.
+def score_with_model(pieces: DataFrame, load: Callable[[], Callable[[pd.DataFrame], np.ndarray]],
+                     feature_cols: Sequence[str], outputs_logits: bool = True) -> DataFrame:
+    """Pluggable scorer of whole documents: ``load()() -> [pieces, 13]`` runs in ``mapInPandas``.
+
+    ``load`` is called once per task and returns ``predict``; so a model travels as the recipe to
+    load it. The pieces of a document are gathered into one row, so ``predict`` always sees a
+    whole document, in piece order, with the columns ``piece, start, end, *feature_cols``. Returns
+    ``(document, piece, start, end, p0..p12)``; logits are softmaxed.
     """
     names = LOGIT_COLS if outputs_logits else PROB_COLS
-    fields = [pieces.schema[c] for c in key_cols]
-    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
-    keys = list(key_cols)
+    given = ["piece", "start", "end", *[c for c in feature_cols if c not in ("piece", "start", "end")]]
+    schema = T.StructType([pieces.schema[c] for c in ("document", "piece", "start", "end")]
+                          + [T.StructField(n, T.DoubleType()) for n in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = load()
         for batch in batches:
-            out = np.asarray(predict(batch[list(feature_cols)]), dtype="float64")
-            frame = batch[keys].reset_index(drop=True)
-            for i, n in enumerate(names):
-                frame[n] = out[:, i]
-            yield frame
-
-    scored = pieces.select(*keys, *[c for c in feature_cols if c not in keys]).mapInPandas(run, schema)
+            for document, rows in zip(batch["document"], batch["_pieces"]):
+                frame = pd.DataFrame(list(rows), columns=given)
+                out = np.asarray(predict(frame), dtype="float64")
+                if out.shape != (len(frame), len(names)):
+                    raise ValueError(f"the model gave {out.shape} scores for {len(frame)} pieces")
+                scored = frame[["piece", "start", "end"]].assign(document=document)
+                yield scored.assign(**{n: out[:, i] for i, n in enumerate(names)})[schema.fieldNames()]
+
+    docs = pieces.groupBy("document").agg(F.array_sort(F.collect_list(F.struct(*given))).alias("_pieces"))
+    scored = docs.mapInPandas(run, schema)
     return softmax_scores(scored) if outputs_logits else scored
 
 
@@ -166,7 +170,3 @@ def focal_loss(scores: DataFrame, labels: DataFrame, gamma: float = FOCAL_GAMMA,
         return per_row
     agg = F.sum("loss") if reduction == "sum" else F.avg("loss")
     return per_row.agg(F.coalesce(agg, F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
-
-
-def prob_array(scores: DataFrame) -> Column:
-    return F.array(*[F.col(c) for c in PROB_COLS])

@@ -9,8 +9,6 @@ bucket its offset, and ``row_number`` runs inside buckets only. Groups stay ~N/b
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,8 @@ from ..schema import (EVAL_FOLD, EVAL_FOLDS, EVAL_SEED, INNER_FOLD, INNER_FOLDS,
 # Hex digits of the hash used as bucket: 16^5 (about one million) buckets at most, so the
 # bucket table is bounded whatever the corpus size.
 BUCKET_HEX = 5
+# Buckets that the range of a numeric key is cut into, dense or sparse.
+RANGE_BUCKETS = 1 << 16
 
 
 def shuffle_key(seed: int, document: Column | None = None) -> Column:
@@ -50,6 +50,16 @@ def positions(df: DataFrame, key: Column, bucket: Column, tiebreak: str = "docum
     ).drop("_key", "_bucket", "_rn", "_offset")
 
 
+def range_bucket(df: DataFrame, key: Column) -> Column:
+    """Bucket of a numeric ``key`` for :func:`positions`: its range in ``df`` cut into
+    ``RANGE_BUCKETS`` equal parts, so the bucket table is bounded however sparse the ids are.
+    The range is a scalar subquery: nothing runs before the query does."""
+    low, high = F.min(key).cast("double"), F.max(key).cast("double")
+    width = F.greatest((high - low + 1) / RANGE_BUCKETS, F.lit(1.0))
+    cut = df.agg(F.struct(low.alias("low"), width.alias("width")).alias("cut")).scalar()
+    return F.least(F.floor((key.cast("double") - cut["low"]) / cut["width"]), F.lit(RANGE_BUCKETS - 1))
+
+
 def seeded_positions(docs: DataFrame, seed: int, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """Position of every document in the seeded shuffle order (documents made distinct)."""
     distinct = docs.select(*group_cols, "document").distinct()
@@ -109,7 +119,3 @@ def seeded_shuffle(docs: DataFrame, seed: int = 42) -> DataFrame:
 def test_documents(docs: DataFrame, fold_id: int = EVAL_FOLD, num_folds: int = EVAL_FOLDS,
                    seed: int = EVAL_SEED) -> DataFrame:
     return split_by_fold(docs, fold_id, num_folds, seed).where(F.col("split") == "test").select("document")
-
-
-def ceil_int(x: float) -> int:
-    return int(math.ceil(x))

@@ -20,16 +20,16 @@ from ..operators.entities import (align_real_pred, entity_f5_by_type, entity_f5_
                                   entity_spans, error_report, label_sequences)
 from ..operators.labels import class_encode, doc_target_counts, label_encode, label_vocab
 from ..operators.pieces import piece_labels, truncate_right
-from ..operators.prepare import doc_counts_by, double_truncate, filter_positive_docs, truncate_left
-from ..operators.rules import detect_emails, detect_rules, find_spans, phone_targets
+from ..operators.prepare import doc_counts_by, document_shift, double_truncate, filter_positive_docs, truncate_left
+from ..operators.rules import detect_rules, find_spans, phone_targets
 from ..operators.scoring import ensemble_scores, focal_loss, hash_logits, with_argmax
 from ..operators.splits import holdout_split, kfold_split, nested_split, seeded_shuffle, test_documents
 from ..operators.tokens import detokenized, token_explode
 from ..schema import (LOGIT_COLS, PROB_COLS, RULE_LABELS, TARGET_LABELS, TEST_MAX_PIECES, TRAIN_MAX_PIECES,
                       TRUNCATE_LEFT_WORDS, RewriteMode)
 from ..session import apply_conf
-from ..sources.corpus import chained_offsets, head_fraction, next_offset
-from .fixtures import Fixture
+from ..sources.corpus import chained_offsets, corpus_project, corpus_union, head_fraction, next_offset
+from .fixtures import Fixture, hold, release
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,7 @@ GATE_MODE = RewriteMode.REWRITE_STARTING_I
 
 def _fx(spark: SparkSession, sf_dir: str) -> Fixture:
     apply_conf(spark)
+    release(spark)
     return Fixture(spark, sf_dir)
 
 
@@ -71,8 +72,8 @@ def q_corpus_load(spark, sf_dir):
 
 
 def q_corpus_project(spark, sf_dir):
-    c = _fx(spark, sf_dir).corpus
-    return c.select("document", "full_text", F.size("tokens").cast("long").alias("n_tokens"))
+    raw = _fx(spark, sf_dir).corpus.withColumnRenamed("provided_labels", "labels")
+    return corpus_project(raw).select("document", "full_text", F.size("tokens").cast("long").alias("n_tokens"))
 
 
 def q_corpus_renumber(spark, sf_dir):
@@ -80,6 +81,7 @@ def q_corpus_renumber(spark, sf_dir):
 
 
 def q_next_offset(spark, sf_dir):
+    """Offsets of the training job's corpora: the last one after its cut, as surveyed."""
     raw = _fx(spark, sf_dir).loaded_raw
     stats = raw.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.max("document").alias("max_id"))
     return chained_offsets(stats).select("corpus", _long("n"), _long("offset"), _long("next_offset"))
@@ -91,7 +93,8 @@ def q_head_fraction(spark, sf_dir):
 
 
 def q_corpus_union(spark, sf_dir):
-    return _fx(spark, sf_dir).loaded.select("corpus", "document", F.length("text").cast("long").alias("n_chars"))
+    loaded = _fx(spark, sf_dir).loaded.select("corpus", "document", F.length("text").cast("long").alias("n_chars"))
+    return corpus_union([loaded.where("corpus = 0"), loaded.where("corpus > 0")])
 
 
 def q_kfold_split(spark, sf_dir):
@@ -124,7 +127,7 @@ def q_detokenize(spark, sf_dir):
 
 
 def q_char_spans(spark, sf_dir):
-    return _fx(spark, sf_dir).words.select("document", "token", "word", "char_start", "char_end")
+    return _fx(spark, sf_dir).char_words.select("document", "token", "word", "char_start", "char_end")
 
 
 def q_label_vocab(spark, sf_dir):
@@ -167,16 +170,14 @@ def q_truncate_right(spark, sf_dir):
     return truncate_right(_fx(spark, sf_dir).pieces, TEST_MAX_PIECES).select("document", "piece", "start", "end")
 
 
-def _offset_after(df: DataFrame) -> int:
-    # One scalar (max id + 1), as the original keeps it in a variable.
-    return int(next_offset(df).first()["offset"])
+def _offset_after(df: DataFrame) -> F.Column:
+    # One scalar (max id + 1), read as a subquery when the query runs.
+    return next_offset(df).scalar()
 
 
 def q_document_shift(spark, sf_dir):
     d = _fx(spark, sf_dir).doc_ids
-    off = _offset_after(d)
-    return d.select(F.col("document").alias("source_document"),
-                    (F.col("document") + F.lit(off)).cast("long").alias("document"))
+    return document_shift(d.withColumn("source_document", F.col("document")), _offset_after(d))
 
 
 def q_double_truncate(spark, sf_dir):
@@ -188,11 +189,11 @@ def q_double_truncate(spark, sf_dir):
 
 def q_prepare_training_set(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    loaded = fx.loaded.select("corpus", "source_document", "document")
+    loaded = fx.loaded_cut
     words = fx.silver.select("document", "token", "n_words", "label")
     base_docs = loaded.where(F.col("corpus") == 0).select("document")
-    train = nested_split(base_docs).where(F.col("split") == "train").select("document")
-    off = int(loaded.agg((F.max("document") + 1).alias("o")).first()["o"])
+    train = hold(nested_split(base_docs).where(F.col("split") == "train").select("document"))
+    off = _offset_after(loaded)
     base_words = words.join(train, "document", "left_semi")
     base = doc_counts_by(double_truncate(base_words, off, TRUNCATE_LEFT_WORDS), ("copy",))
     base = base.where(F.col("group") == 1).withColumn("origin", F.concat(F.lit("base_"), F.col("copy")))
@@ -202,8 +203,8 @@ def q_prepare_training_set(spark, sf_dir):
         F.col("_new").alias("document"), "token", "n_words", "label")
     extra = doc_counts_by(truncate_left(extra_words, TRUNCATE_LEFT_WORDS).withColumn("copy", F.lit("cut")),
                           ("copy",)).withColumn("origin", F.lit("extra"))
-    final = base.select("origin", "document", "n_words", "target_num", "group").unionByName(
-        extra.select("origin", "document", "n_words", "target_num", "group"))
+    final = hold(base.select("origin", "document", "n_words", "target_num", "group").unionByName(
+        extra.select("origin", "document", "n_words", "target_num", "group")))
     pos = seeded_shuffle(final.select("document"), 42)
     return final.join(pos, "document").select("origin", "document", "position", "n_words", "target_num", "group")
 
@@ -211,7 +212,7 @@ def q_prepare_training_set(spark, sf_dir):
 # ---- rules ----------------------------------------------------------------------------------
 
 def q_detect_emails(spark, sf_dir):
-    return detect_emails(_fx(spark, sf_dir).words).select(*PRED_COLS)
+    return _fx(spark, sf_dir).emails.select(*PRED_COLS)
 
 
 def q_detect_phones(spark, sf_dir):
@@ -220,14 +221,12 @@ def q_detect_phones(spark, sf_dir):
 
 def q_detect_rules(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return detect_rules(fx.docs, fx.words).select(*PRED_COLS)
+    return detect_rules(fx.scanned, fx.words).select(*PRED_COLS)
 
 
 def q_find_span(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    targets = phone_targets(fx.docs)
-    words = fx.words.join(targets.select("document").distinct(), "document", "left_semi")
-    return find_spans(words, targets).select("document", "start", "end").distinct()
+    return find_spans(fx.words, phone_targets(fx.scanned)).select("document", "start", "end").distinct()
 
 
 # ---- scores ---------------------------------------------------------------------------------
@@ -288,7 +287,7 @@ def q_decode_first_piece(spark, sf_dir):
 def q_rules_plus_model(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     model = decode(fx.cands, DECODE_THRESHOLD, GATE_MODE, RULE_LABELS)
-    rules = detect_rules(fx.docs, fx.words)
+    rules = detect_rules(fx.scanned, fx.words)
     return rounded(rules_plus_model(model, rules).select(*PRED_COLS))
 
 
@@ -358,7 +357,7 @@ def q_semi_join_test_docs(spark, sf_dir):
 def _calibrate(mode: int, rules: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx = _fx(spark, sf_dir)
-        rule_hits = detect_rules(fx.docs, fx.words) if rules else None
+        rule_hits = detect_rules(fx.scanned, fx.words) if rules else None
         return rounded(calibrate(fx.cands_sweep, fx.silver, mode=mode, rules=rule_hits).select(*CAL_COLS))
     return run
 

@@ -18,11 +18,28 @@ from ..operators.labels import silver_labels
 from ..operators.pieces import cut_pieces
 from ..operators.rules import detect_emails, detect_phones
 from ..operators.scoring import hash_logits, softmax_scores
-from ..operators.tokens import document_words, tokenize_documents, with_char_spans
+from ..operators.tokens import document_words, layout_by_document, tokenize_documents, with_char_spans
 from ..sources.corpus import head_fraction, renumber_chained
 from ..sources.tables import documents
 
 
+_held: list[tuple[str, DataFrame]] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a table that one query reads more than once, until :func:`release`."""
+    _held.append((df.sparkSession.sparkContext.applicationId, df))
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the tables held for the queries built before (they are recomputed if read again)."""
+    while _held:
+        app, df = _held.pop()
+        if app == spark.sparkContext.applicationId:
+            df.unpersist()
+
+
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -30,14 +47,23 @@ class Fixture:
 
     @cached_property
     def docs(self) -> DataFrame:
-        """``(document, text)``, laid out by document; kept for the query so the word and
-        phone branches share one shuffle of the raw text."""
-        return documents(self.spark, self.sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        """``(document, text)``, laid out by document."""
+        return layout_by_document(self.scanned)
+
+    @cached_property
+    def scanned(self) -> DataFrame:
+        """``(document, text)`` as read: for rules that look at one row alone."""
+        return self.table.select("document", "text")
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """The one read of the table; queries prune its columns."""
+        return documents(self.spark, self.sf_dir, extra=("source",), laid_out=False)
 
     @cached_property
     def doc_ids(self) -> DataFrame:
         """``(document)`` alone: the scan reads only the id column."""
-        return documents(self.spark, self.sf_dir, laid_out=False).select("document")
+        return self.table.select("document")
 
     @cached_property
     def raw_words(self) -> DataFrame:
@@ -47,20 +73,26 @@ class Fixture:
     def words(self) -> DataFrame:
         """``(document, token, word, trailing_whitespace, n_words, blank, prev_space,
         char_start, char_end)``."""
-        return with_char_spans(self.raw_words).persist(StorageLevel.MEMORY_AND_DISK)
+        return hold(self.char_words)
+
+    @cached_property
+    def char_words(self) -> DataFrame:
+        """``words`` for a query that reads them once."""
+        return with_char_spans(self.raw_words)
 
     @cached_property
     def phones(self) -> DataFrame:
-        return detect_phones(self.docs, self.words)
+        return detect_phones(self.scanned, self.words)
 
     @cached_property
     def emails(self) -> DataFrame:
-        return detect_emails(self.words)
+        """Row-local: on the words of the bare scan, without layout or character spans."""
+        return detect_emails(document_words(self.scanned))
 
     @cached_property
     def silver(self) -> DataFrame:
         """Words with their silver ``label``."""
-        return silver_labels(self.words, self.phones).persist(StorageLevel.MEMORY_AND_DISK)
+        return hold(silver_labels(self.words, self.phones))
 
     @cached_property
     def real(self) -> DataFrame:
@@ -109,18 +141,24 @@ class Fixture:
     @cached_property
     def doc_sources(self) -> DataFrame:
         """``(document, text, corpus)``: ``documents`` cut into four corpora by source."""
-        d = documents(self.spark, self.sf_dir, extra=("source",))
-        return d.select("document", "text", corpus_of_source(F.col("source")).alias("corpus"))
+        return self.table.select("document", "text", corpus_of_source(F.col("source")).alias("corpus"))
 
     @cached_property
     def loaded(self) -> DataFrame:
-        """The four corpora as loaded one after another: corpora 0-2 whole, corpus 3 cut
-        to its leading tenth, extras renumbered after the previous corpus."""
-        return renumber_chained(self.loaded_raw)
+        """The four whole corpora as loaded one after another, extras renumbered after the
+        previous corpus."""
+        return renumber_chained(self.doc_sources)
+
+    @cached_property
+    def loaded_cut(self) -> DataFrame:
+        """``(corpus, source_document, document)`` of the training job, which takes the leading
+        tenth of corpus 3 alone."""
+        return hold(renumber_chained(hold(self.loaded_raw.select("document", "corpus"))).select(
+            "corpus", "source_document", "document"))
 
     @cached_property
     def loaded_raw(self) -> DataFrame:
-        """``loaded`` before renumbering."""
+        """The corpora of the training job before renumbering: 0-2 whole, 3 cut."""
         d = self.doc_sources
         head3 = head_fraction(d.where(F.col("corpus") == 3), 10)
         return d.where(F.col("corpus") < 3).unionByName(head3)

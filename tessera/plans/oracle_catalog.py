@@ -35,6 +35,9 @@ CORPORA = [
                         AS BIGINT) AS document
                  FROM loaded_raw l JOIN offs o ON o.corpus = l.corpus"""),
 ]
+# The same chain over all rows of the four corpora.
+WHOLE_CORPORA = [(n, "SELECT document, text, corpus FROM src" if n == "loaded_raw" else sql)
+                 for n, sql in CORPORA if n != "c3"]
 
 SPLITS = [
     ("all_docs", "SELECT doc_id AS document FROM documents"),
@@ -138,13 +141,13 @@ ORACLE: dict[str, str] = {
     "corpus_project": with_chain([("sc", "SELECT document, count(*) AS n FROM words GROUP BY document")],
         """SELECT d.document, d.text AS full_text, CAST(coalesce(sc.n, 0) AS BIGINT) AS n_tokens
            FROM docs d LEFT JOIN sc ON sc.document = d.document"""),
-    "corpus_renumber": with_chain(CORPORA, "SELECT corpus, source_document, document FROM renum"),
+    "corpus_renumber": with_chain(WHOLE_CORPORA, "SELECT corpus, source_document, document FROM renum"),
     "next_offset": with_chain(CORPORA, """SELECT corpus, CAST(n AS BIGINT) AS n, CAST("offset" AS BIGINT) AS "offset",
         CAST(CASE WHEN corpus = 0 THEN max_id + 1 ELSE "offset" + n END AS BIGINT) AS next_offset FROM offs"""),
     "head_fraction": with_chain(CORPORA, """SELECT corpus, document FROM (
         SELECT corpus, document, row_number() OVER (PARTITION BY corpus ORDER BY document) - 1 AS pos,
                count(*) OVER (PARTITION BY corpus) AS n FROM src) WHERE pos < n // 10"""),
-    "corpus_union": with_chain(CORPORA, "SELECT corpus, document, CAST(length(text) AS BIGINT) AS n_chars FROM renum"),
+    "corpus_union": with_chain(WHOLE_CORPORA, "SELECT corpus, document, CAST(length(text) AS BIGINT) AS n_chars FROM renum"),
     "kfold_split": with_chain(SPLITS, f"""SELECT document, CAST(ntile(5) OVER (ORDER BY {_pos(42)}) - 1 AS INTEGER) AS fold
                                           FROM all_docs"""),
     "nested_split": with_chain(SPLITS, """SELECT document, 'test' AS split FROM outer_f WHERE fold = 9

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.splits import positions
+from ..operators.splits import positions, range_bucket
 
 RAW_SCHEMA = T.StructType([
     T.StructField("document", T.LongType()),
@@ -41,19 +41,18 @@ def corpus_project(raw: DataFrame) -> DataFrame:
                       F.col("labels").alias("provided_labels"))
 
 
-def renumber(corpus: DataFrame, offset: int | None, order_col: str = "document",
-             bucket_width: int = 1024) -> DataFrame:
+def renumber(corpus: DataFrame, offset: int | None, order_col: str = "document") -> DataFrame:
     """Replace ids by ``offset + position`` (position by the old id; input order does not
     survive a distributed read). ``offset`` 0 / None keeps the ids."""
     if offset is None or offset <= 0:
         return corpus
     key = F.col(order_col)
-    ranked = positions(corpus.withColumn("_old", key), key, F.floor(key / bucket_width), tiebreak="_old")
+    ranked = positions(corpus.withColumn("_old", key), key, range_bucket(corpus, key), tiebreak="_old")
     return ranked.withColumn("document", (F.lit(int(offset)) + F.col("position")).cast("long")).drop(
         "_old", "position", "n")
 
 
-def renumber_chained(docs: DataFrame, bucket_width: int = 1024) -> DataFrame:
+def renumber_chained(docs: DataFrame) -> DataFrame:
     """Renumber several corpora loaded one after another (``corpus`` column, 0 = base).
 
     The base keeps its ids; corpus ``i`` starts at the id after corpus ``i - 1``. Offsets
@@ -64,7 +63,7 @@ def renumber_chained(docs: DataFrame, bucket_width: int = 1024) -> DataFrame:
     stats = docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.max("document").alias("max_id"))
     offs = chained_offsets(stats).select("corpus", "offset")
     key = F.col("document")
-    ranked = positions(docs.withColumn("source_document", key), key, F.floor(key / bucket_width),
+    ranked = positions(docs.withColumn("source_document", key), key, range_bucket(docs, key),
                        tiebreak="source_document", group_cols=("corpus",))
     j = ranked.join(offs, "corpus", "inner")
     return j.withColumn(
@@ -79,11 +78,11 @@ def next_offset(corpus: DataFrame) -> DataFrame:
 
 
 def head_fraction(corpus: DataFrame, fraction_denominator: int = 10, order_col: str = "document",
-                  bucket_width: int = 1024, group_cols: tuple[str, ...] = ()) -> DataFrame:
+                  group_cols: tuple[str, ...] = ()) -> DataFrame:
     """Keep the leading ``n // d`` documents (by id order) of each group, as a slice of a
     list would."""
     key = F.col(order_col)
-    ranked = positions(corpus.withColumn("_old", key), key, F.floor(key / bucket_width), tiebreak="_old",
+    ranked = positions(corpus.withColumn("_old", key), key, range_bucket(corpus, key), tiebreak="_old",
                        group_cols=group_cols)
     return ranked.where(F.col("position") < F.floor(F.col("n") / fraction_denominator)).drop(
         "_old", "position", "n")

@@ -18,6 +18,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
+                sort_by: tuple[str, ...] = ("document", "token"), mode: str = "errorifexists") -> None:
+    """Result sink: parquet, one folder per value of ``partition_by`` (a threshold, say), rows
+    sorted by ``sort_by`` within each file. Sorting is local to a task: no global order, no
+    extra shuffle. ``mode`` as in ``DataFrameWriter``."""
+    df.sortWithinPartitions(*partition_by, *sort_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (),
               laid_out: bool = True) -> DataFrame:
     """``documents`` as ``(document, text, *extra)``, hash-partitioned on document."""

@@ -1,6 +1,9 @@
 """Whole-pipeline checks on the smallest driver table set (sf0.001)."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
@@ -8,8 +11,13 @@ from tessera.operators.calibrate import calibrate
 from tessera.operators.decode import decode_sweep
 from tessera.operators.entities import count_matches, entity_match, entity_spans
 from tessera.operators.calibrate import per_threshold
+from tessera.operators.splits import RANGE_BUCKETS, positions, range_bucket
+from tessera.operators.tokens import corpus_words
+from tessera.plans.catalog import QUERIES
 from tessera.plans.fixtures import Fixture
+from tessera.plans.oracle_catalog import ORACLE
 from tessera.schema import THRESHOLDS, RewriteMode
+from tessera.sources.corpus import corpus_project, corpus_union, load_corpus_json, renumber
 
 
 @pytest.fixture(scope="module")
@@ -41,13 +49,57 @@ def test_modes_0_and_1_score_alike(fx):
 def test_entry_smoke(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == len(THRESHOLDS)
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_every_query_builds(spark):
-    for name, q in entry.queries().items():
+def test_building_a_query_reads_schemas_only(spark):
+    """One job at most: the footer read of the table."""
+    sc = spark.sparkContext
+    for name, q in QUERIES.items():
+        sc.setJobGroup(f"build-{name}", name)
         df = q(spark, SF_SMALL)
         assert df.columns, name
+        assert len(sc.statusTracker().getJobIdsForGroup(f"build-{name}")) <= 1, name
+    sc.setJobGroup("tests", "tests")
+
+
+def test_no_fixed_partition_count(spark):
+    for name, q in QUERIES.items():
+        assert "REPARTITION_BY_NUM" not in _plan(q(spark, SF_SMALL)), name
+
+
+def test_sparse_ids_need_few_buckets(spark):
+    ids = spark.range(3000).select((F.col("id") * 10**14 - 10**17).alias("document"))
+    buckets = ids.select(range_bucket(ids, F.col("document")).alias("b"))
+    assert buckets.where(f"b < 0 or b >= {RANGE_BUCKETS}").isEmpty()
+    got = positions(ids, F.col("document"), range_bucket(ids, F.col("document")))
+    assert got.where("document <> position * 100000000000000 - 100000000000000000 or n <> 3000").isEmpty()
+    assert got.count() == 3000
+
+
+def test_renumber_and_union(spark):
+    c = spark.createDataFrame([(7, "a"), (900_000_000_000, "b"), (3, "c")], "document long, t string")
+    got = {r.t: r.document for r in renumber(c, 50).collect()}
+    assert got == {"c": 50, "a": 51, "b": 52}
+    assert renumber(c, 0) is c
+    both = corpus_union([c, c.select("t", F.col("document").cast("int"))])
+    assert both.columns == ["document", "t"] and both.count() == 6
+
+
+def test_json_corpus(spark, tmp_path):
+    rec = {"document": 4, "full_text": "a b", "tokens": ["a", "b"], "trailing_whitespace": [True, False],
+           "labels": ["O", "B-EMAIL"]}
+    (tmp_path / "array.json").write_text(json.dumps([rec, rec | {"document": 5, "labels": None}]))
+    (tmp_path / "lines.jsonl").write_text(json.dumps(rec) + "\n" + json.dumps(rec | {"document": 5, "labels": None}))
+    for name, lines in (("array.json", False), ("lines.jsonl", True)):
+        c = corpus_project(load_corpus_json(spark, str(tmp_path / name), lines)).orderBy("document").collect()
+        assert [(r.document, r.tokens, r.provided_labels) for r in c] == [
+            (4, ["a", "b"], ["O", "B-EMAIL"]), (5, ["a", "b"], None)]
+    words = corpus_words(corpus_project(load_corpus_json(spark, str(tmp_path / "array.json"))), with_labels=True)
+    assert [(r.token, r.word, r.trailing_whitespace, r.label, r.n_words)
+            for r in words.where("document = 4").orderBy("token").collect()] == [
+        (0, "a", True, "O", 2), (1, "b", False, "B-EMAIL", 2)]
 
 
 def _plan(df):

@@ -1,8 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 
-from tessera.operators.scoring import ensemble_scores, focal_loss, softmax_scores, with_argmax
+from tessera.operators.calibrate import threshold_grid
+from tessera.operators.scoring import ensemble_scores, focal_loss, score_with_model, softmax_scores, with_argmax
+from tessera.sources.tables import write_table
 from tessera.schema import LOGIT_COLS, PROB_COLS
 
 
@@ -51,3 +54,41 @@ def test_ensemble_members_must_hold_each_piece_once(spark):
     one = softmax_scores(_logits(spark, [[0.1] * 13]))
     with pytest.raises(Exception, match="disagree"):
         ensemble_scores([(one.unionByName(one), 1.0), (one.limit(0), 1.0)]).collect()
+
+
+def test_model_sees_whole_documents_once_loaded(spark):
+    """A model whose score depends on the whole sequence: the piece's rank from the end."""
+    pieces = spark.createDataFrame(
+        [(d, p, 4 * p, 4 * p + 4) for d, n in ((1, 3), (2, 5)) for p in range(n)],
+        "document long, piece int, start int, end int").repartition(3, "piece")
+
+    def load():
+        def predict(doc):
+            assert list(doc["piece"]) == list(range(len(doc)))
+            out = np.zeros((len(doc), 13))
+            out[:, 12] = len(doc) - 1 - np.arange(len(doc))
+            return out
+        return predict
+
+    got = {(r.document, r.piece): r.p12 for r in score_with_model(pieces, load, ["piece"]).collect()}
+    assert len(got) == 8
+    for d, n in ((1, 3), (2, 5)):
+        for p in range(n):
+            z = np.exp(n - 1 - p)
+            assert abs(got[d, p] - z / (z + 12)) < 1e-9
+
+
+def test_grid_from_a_step():
+    assert threshold_grid(0.25) == [0, 0.25, 0.5, 0.75]
+    assert len(threshold_grid(0.01)) == 100 and threshold_grid(1) == [0]
+    with pytest.raises(ValueError):
+        threshold_grid(0)
+
+
+def test_sink_partitions_and_sorts(spark, tmp_path):
+    rows = [(t, d, k) for t in (0.25, 0.5) for d in (2, 1) for k in (1, 0)]
+    write_table(spark.createDataFrame(rows, "threshold double, document long, token int").coalesce(1),
+                str(tmp_path / "out"), ("threshold",))
+    back = spark.read.parquet(str(tmp_path / "out" / "threshold=0.25")).collect()
+    assert [(r.document, r.token) for r in back] == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 8

@@ -51,4 +51,3 @@ def test_unequal_arrays_raise(spark):
 def test_words_keep_positions(spark):
     w = document_words(docs_df(spark, ["x y"])).orderBy("token").select("token", "word", "n_words").collect()
     assert [(r.token, r.word, r.n_words) for r in w] == [(0, "x", 2), (1, "y", 2)]
-    assert F is not None
