@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bio import bio_prefix, bio_type, label_name
@@ -98,6 +98,25 @@ def sweep_word_ids(cands: DataFrame, thresholds: Sequence[float],
     return stacked.select(*out)
 
 
+def _with_cont(word_preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_cont``: the previous emitted word is ``token - 1`` with the same type."""
+    w = Window.partitionBy(*keys, "document").orderBy("token")
+    typ = bio_type(F.col("label"))
+    return word_preds.withColumn("_cont", F.coalesce(
+        (F.lag("token").over(w) == F.col("token") - 1) & (F.lag(typ).over(w) == typ), F.lit(False)))
+
+
+def _repaired(mode: int) -> Column:
+    """The label under a rewrite mode, from ``label`` and ``_cont``."""
+    if mode == RewriteMode.NO_REWRITE:
+        return F.col("label")
+    prefix, typ = bio_prefix(F.col("label")), bio_type(F.col("label"))
+    new = F.when((prefix == "I") & ~F.col("_cont"), F.concat(F.lit("B-"), typ))
+    if mode == RewriteMode.REWRITE_BOTH:
+        new = new.when((prefix == "B") & F.col("_cont"), F.concat(F.lit("I-"), typ))
+    return new.otherwise(F.col("label"))
+
+
 def repair_bio(word_preds: DataFrame, mode: int, keys: Sequence[str] = ("threshold",)) -> DataFrame:
     """BIO repair over emitted (non-O) words in position order.
 
@@ -107,16 +126,15 @@ def repair_bio(word_preds: DataFrame, mode: int, keys: Sequence[str] = ("thresho
     """
     if mode == RewriteMode.NO_REWRITE:
         return word_preds
-    w = Window.partitionBy(*keys, "document").orderBy("token")
-    typ = bio_type(F.col("label"))
-    cont = F.coalesce(
-        (F.lag("token").over(w) == F.col("token") - 1) & (F.lag(typ).over(w) == typ), F.lit(False))
-    prefix = bio_prefix(F.col("label"))
-    new = F.when((prefix == "I") & ~F.col("_cont"), F.concat(F.lit("B-"), typ))
-    if mode == RewriteMode.REWRITE_BOTH:
-        new = new.when((prefix == "B") & F.col("_cont"), F.concat(F.lit("I-"), typ))
-    return word_preds.withColumn("_cont", cont).withColumn(
-        "label", new.otherwise(F.col("label"))).drop("_cont")
+    return _with_cont(word_preds, keys).withColumn("label", _repaired(mode)).drop("_cont")
+
+
+def repair_bio_modes(word_preds: DataFrame, modes: Sequence[int] = RewriteMode.ALL,
+                     keys: Sequence[str] = ("threshold",)) -> DataFrame:
+    """:func:`repair_bio` under several modes at once, one row per word and ``mode``: one window."""
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), _repaired(m).alias("label")) for m in modes])
+    rest = [c for c in word_preds.columns if c != "label"]
+    return _with_cont(word_preds, keys).select(*rest, F.inline(each))
 
 
 def decode_sweep(cands: DataFrame, thresholds: Sequence[float], mode: int,

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bio import bio_prefix, bio_type, f_beta, is_begin_id, type_id_of
+from ..functions.bio import ENTITY_TYPES, bio_prefix, bio_type, f_beta, is_begin_id, type_id_of
 from ..schema import LABELS, O_ID, O_LABEL
+from .scoring import with_argmax
 
 
 def entity_spans(word_labels: DataFrame, keys: Sequence[str] = (), label_col: str = "label") -> DataFrame:
@@ -129,6 +130,35 @@ def entity_f5_by_type(pred_ents: DataFrame, true_ents: DataFrame,
     return _metrics(both.groupBy("entity_type").agg(*[F.sum(x).alias(x) for x in counts]))
 
 
+def piece_metrics(scores: DataFrame, labels: DataFrame, ignore_index: int = -100) -> DataFrame:
+    """Entity metrics on pieces, as seen while training: ``(entity_type, tp, n_pred, n_true,
+    precision, recall, f5)``, one row per type of the vocabulary and one named ``micro``.
+
+    The arg-max label of each scored piece against ``labels(document, piece, label_id)``. Pieces
+    labelled ``ignore_index`` are dropped and the rest close up, so a chunk runs across them.
+    Predicted and true labels share one window pass, keyed by side.
+    """
+    best = with_argmax(scores).select("document", "piece", F.col("l_all").alias("_pred"))
+    kept = best.join(labels.where(F.col("label_id") != ignore_index), ["document", "piece"])
+    place = Window.partitionBy("document").orderBy("piece")
+    closed = kept.withColumn("token", F.row_number().over(place)).select("document", "token", F.explode(F.array(
+        F.struct(F.lit(1).alias("pred"), F.col("_pred").alias("label_id")),
+        F.struct(F.lit(0).alias("pred"), F.col("label_id")))).alias("_s"))
+    chunks = entity_spans_ids(closed.select(F.col("_s.pred").alias("pred"), "document", "token",
+                                            F.col("_s.label_id").alias("label_id")), ["pred"])
+    seen = chunks.groupBy("document", "type_id", "start", "end").agg(
+        F.max("pred").alias("_p"), F.max(1 - F.col("pred")).alias("_t"))
+    counts = seen.groupBy("type_id").agg(
+        F.sum(F.col("_p") * F.col("_t")).alias("tp"), F.sum("_p").alias("n_pred"), F.sum("_t").alias("n_true"))
+    zero = scores.sparkSession.createDataFrame(
+        [(i, 0, 0, 0) for i in range(len(ENTITY_TYPES))], "type_id int, tp long, n_pred long, n_true long")
+    rolled = counts.unionByName(zero).rollup("type_id").agg(
+        F.grouping("type_id").alias("_all"), *[F.sum(x).alias(x) for x in ("tp", "n_pred", "n_true")])
+    name = F.element_at(F.array(*[F.lit(t) for t in ENTITY_TYPES]), F.coalesce("type_id", F.lit(0)) + 1)
+    return _metrics(rolled.select(F.when(F.col("_all") == 1, "micro").otherwise(name).alias("entity_type"),
+                                  "tp", "n_pred", "n_true"))
+
+
 def align_real_pred(real: DataFrame, preds: DataFrame) -> DataFrame:
     """Full outer join of true word labels and predictions on ``(document, token)``.
 
@@ -151,6 +181,24 @@ def error_report(aligned: DataFrame) -> DataFrame:
     return aligned.where((F.col("label_pred") != F.col("label_real")) & (F.col("label_real") != O_LABEL))
 
 
+def error_report_sweep(real: DataFrame, preds: DataFrame, thresholds: Sequence[float],
+                       modes: Sequence[int]) -> DataFrame:
+    """:func:`error_report` for every rewrite mode and threshold.
+
+    ``preds``: the prediction schema with ``mode, threshold``. Only words whose truth is not
+    ``O`` are repeated over the grid; a word without a prediction is a miss, predicted ``O``.
+    """
+    grid = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(float(t)).alias("threshold"))
+                     for m in modes for t in thresholds])
+    wanted = real.where(F.col("label") != O_LABEL).select(
+        "document", "token", "token_value", F.col("label").alias("label_real"), F.inline(grid))
+    p = preds.select("mode", "threshold", "document", "token", F.col("label").alias("_pred"), "token_str", "score")
+    j = wanted.join(p, ["mode", "threshold", "document", "token"], "left").withColumn(
+        "label_pred", F.coalesce("_pred", F.lit(O_LABEL)))
+    return j.where("label_pred <> label_real").select(
+        "mode", "threshold", "document", "token", "token_value", "label_real", "label_pred", "token_str", "score")
+
+
 def label_sequences(aligned: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per document the ordered true and predicted label lists (for export)."""
     g = aligned.groupBy(*keys, "document").agg(

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import TRUNCATE_LEFT_WORDS
+from ..functions.bio import label_id
+from ..schema import TRAIN_MAX_PIECES, TRUNCATE_LEFT_WORDS
 from .labels import doc_target_counts
+from .pieces import cut_pieces, piece_labels, truncate_right
+from .tokens import with_char_spans
 
 
 def truncate_left(word_rows: DataFrame, keep_last: int = TRUNCATE_LEFT_WORDS) -> DataFrame:
@@ -57,3 +60,22 @@ def _counts_by(word_rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def doc_counts_by(word_rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return _counts_by(word_rows, keys)
+
+
+def training_examples(word_rows: DataFrame, max_length: int = TRAIN_MAX_PIECES) -> DataFrame:
+    """One training example per document: ``(document, pieces[], length, target_num, group)``.
+
+    ``word_rows``: ``document, token, word, trailing_whitespace, n_words, label``, already cut on
+    the left if wanted. Character spans start anew at the first word given. ``pieces`` holds
+    ``(piece, start, end, label_id)`` in order, specials as ``O``, at most ``max_length`` of them;
+    ``length`` is their number. ``target_num`` counts the target words before the right cut.
+    """
+    words = with_char_spans(word_rows.select("document", "token", "word", "trailing_whitespace", "n_words", "label"))
+    pieces = truncate_right(cut_pieces(words), max_length)
+    labels = piece_labels(pieces, words).select("document", "piece", label_id(F.col("label")).alias("label_id"))
+    rows = pieces.select("document", "piece", "start", "end").join(labels, ["document", "piece"])
+    each = rows.groupBy("document").agg(
+        F.array_sort(F.collect_list(F.struct("piece", "start", "end", "label_id"))).alias("pieces"))
+    counts = doc_target_counts(word_rows).select("document", "target_num", "group")
+    return each.join(counts, "document").select(
+        "document", "pieces", F.size("pieces").alias("length"), "target_num", "group")

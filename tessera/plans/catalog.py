@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions.bio import label_id, label_name
 from ..operators.calibrate import best_threshold, calibrate, quality_gate
-from ..operators.decode import (PRED_COLS, decode, repair_bio, rules_plus_model, sweep_word_ids, sweep_words,
-                                threshold_pick)
+from ..operators.decode import (PRED_COLS, decode, repair_bio, repair_bio_modes, rules_plus_model, sweep_word_ids,
+                                sweep_words, threshold_pick)
 from ..operators.entities import (align_real_pred, entity_f5_by_type, entity_f5_micro, entity_match,
-                                  entity_spans, error_report, label_sequences)
+                                  entity_spans, error_report, error_report_sweep, label_sequences, piece_metrics)
 from ..operators.labels import class_encode, doc_target_counts, label_encode, label_vocab
 from ..operators.pieces import piece_labels, truncate_right
-from ..operators.prepare import doc_counts_by, document_shift, double_truncate, filter_positive_docs, truncate_left
+from ..operators.prepare import (doc_counts_by, document_shift, double_truncate, filter_positive_docs,
+                                 training_examples, truncate_left)
 from ..operators.rules import detect_rules, find_spans, phone_targets
 from ..operators.scoring import ensemble_scores, focal_loss, hash_logits, with_argmax
 from ..operators.splits import holdout_split, kfold_split, nested_split, seeded_shuffle, test_documents
 from ..operators.tokens import detokenized, token_explode
-from ..schema import (LOGIT_COLS, PROB_COLS, RULE_LABELS, TARGET_LABELS, TEST_MAX_PIECES, TRAIN_MAX_PIECES,
-                      TRUNCATE_LEFT_WORDS, RewriteMode)
+from ..schema import (LOGIT_COLS, PROB_COLS, RULE_LABELS, TARGET_LABELS, TEST_MAX_PIECES, THRESHOLDS,
+                      TRAIN_MAX_PIECES, TRUNCATE_LEFT_WORDS, RewriteMode)
 from ..session import apply_conf
 from ..sources.corpus import chained_offsets, corpus_project, corpus_union, head_fraction, next_offset
 from .fixtures import Fixture, hold, release
@@ -209,6 +210,15 @@ def q_prepare_training_set(spark, sf_dir):
     return final.join(pos, "document").select("origin", "document", "position", "n_words", "target_num", "group")
 
 
+def q_training_examples(spark, sf_dir):
+    """Every document as a training example after the left cut, pieces as text."""
+    e = training_examples(truncate_left(_fx(spark, sf_dir).silver, TRUNCATE_LEFT_WORDS))
+    return e.select("document", F.array_join(F.col("pieces.label_id").cast("array<string>"), " ").alias("label_ids"),
+                    F.array_join(F.col("pieces.start").cast("array<string>"), " ").alias("starts"),
+                    F.array_join(F.col("pieces.end").cast("array<string>"), " ").alias("ends"),
+                    _long("length"), "target_num", "group")
+
+
 # ---- rules ----------------------------------------------------------------------------------
 
 def q_detect_emails(spark, sf_dir):
@@ -279,7 +289,6 @@ def _decode(mode: int, threshold: float = DECODE_THRESHOLD, ignored: tuple[str,
 
 
 def q_decode_first_piece(spark, sf_dir):
-    from ..schema import THRESHOLDS
     w = sweep_words(_fx(spark, sf_dir).cands, THRESHOLDS)
     return rounded(w.select("threshold", *PRED_COLS))
 
@@ -346,6 +355,21 @@ def q_error_report(spark, sf_dir):
     return rounded(error_report(_aligned(_fx(spark, sf_dir))))
 
 
+def q_error_report_sweep(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    preds = repair_bio_modes(sweep_words(fx.cands, THRESHOLDS), RewriteMode.ALL)
+    return rounded(error_report_sweep(fx.real, preds, THRESHOLDS, RewriteMode.ALL))
+
+
+def q_piece_metrics(spark, sf_dir):
+    """Arg-max pieces against the piece labels; specials are labelled -100."""
+    fx = _fx(spark, sf_dir)
+    real = piece_labels(fx.pieces.where("start + end > 0"), fx.silver)
+    labels = real.select("document", "piece", label_id(F.col("label")).alias("label_id")).unionByName(
+        fx.pieces.where("start + end = 0").select("document", "piece", F.lit(-100).alias("label_id")))
+    return rounded(piece_metrics(fx.scores, labels))
+
+
 def q_semi_join_test_docs(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     test = test_documents(fx.doc_ids)
@@ -395,6 +419,7 @@ QUERIES: dict[str, Query] = {
     "document_shift": q_document_shift,
     "double_truncate": q_double_truncate,
     "prepare_training_set": q_prepare_training_set,
+    "training_examples": q_training_examples,
     "detect_emails": q_detect_emails,
     "detect_phones": q_detect_phones,
     "detect_rules": q_detect_rules,
@@ -420,6 +445,8 @@ QUERIES: dict[str, Query] = {
     "label_sequences": q_label_sequences,
     "align_real_pred": q_align_real_pred,
     "error_report": q_error_report,
+    "error_report_sweep": q_error_report_sweep,
+    "piece_metrics": q_piece_metrics,
     "semi_join_test_docs": q_semi_join_test_docs,
     "calibrate_no_rewrite": _calibrate(RewriteMode.NO_REWRITE),
     "calibrate_rewrite_i": _calibrate(RewriteMode.REWRITE_STARTING_I),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..schema import (FOCAL_ALPHA_O, FOCAL_GAMMA, F5_GATE, NUM_LABELS, O_ID, RULE_LABELS, TEST_MAX_PIECES,
                       TRAIN_MAX_PIECES, TRUNCATE_LEFT_WORDS)
 from ..functions.text import EMAIL_PATTERN
-from .oracle import LABEL_LIST, _decode_ctes, calibrate_sql, decode_sql, q, with_chain
+from .oracle import LABEL_LIST, RUNNING, _decode_ctes, calibrate_sql, decode_sql, q, with_chain
 
 P = ", ".join(f"p{i}" for i in range(NUM_LABELS))
 RP = ", ".join(f"round(p{i}, 6) AS p{i}" for i in range(NUM_LABELS))
@@ -132,6 +132,66 @@ def _prepare() -> str:
         FROM final""")
 
 
+def _examples() -> str:
+    skip = f"greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0)"
+    last = TRAIN_MAX_PIECES - 1
+    label = """CASE WHEN start < char_end AND (NOT blank OR start + 1 < char_end) THEN label
+                    WHEN start < char_end AND trailing_whitespace THEN 'O' ELSE coalesce(next_label, 'O') END"""
+    return with_chain([
+        ("tw", f"""SELECT document, token - {skip} AS token, least(n_words, {TRUNCATE_LEFT_WORDS}) AS n_words, blank, label,
+                     trailing_whitespace, prev_space AND token > {skip} AS prev_space,
+                     CASE WHEN blank THEN 0 ELSE CAST(ceil(length(word) / 4.0) AS INTEGER) END AS k,
+                     char_start - min(char_start) OVER (PARTITION BY document) AS char_start,
+                     char_end - min(char_start) OVER (PARTITION BY document) AS char_end
+                   FROM silver WHERE token >= {skip}"""),
+        ("tc", f"""SELECT *, CAST(sum(k) OVER (PARTITION BY document ORDER BY token {RUNNING}) AS INTEGER) - k AS before,
+                     lead(label) OVER (PARTITION BY document ORDER BY token) AS next_label FROM tw"""),
+        ("tr", "SELECT document, before, char_start, char_end, prev_space, unnest(range(k)) AS j FROM tc WHERE k > 0"),
+        ("tp", f"""SELECT document, before + j + 1 AS piece, char_start + 4 * j - CASE WHEN j = 0 AND prev_space THEN 1 ELSE 0 END AS start,
+                     least(char_start + 4 * j + 4, char_end) AS "end" FROM tr WHERE before + j + 1 < {last}"""),
+        ("tl", f"""SELECT p.document, p.piece, p.start, p."end", {label} AS label
+                   FROM tp p ASOF JOIN tc w ON p.document = w.document AND p.start >= w.char_start
+                   UNION ALL SELECT document, 0, 0, 0, 'O' FROM tc WHERE token = 0
+                   UNION ALL SELECT document, least(before + k + 1, {last}), 0, 0, 'O' FROM tc WHERE token = n_words - 1"""),
+        ("tx", f"""SELECT document, string_agg(CAST(list_position({LABEL_LIST}, label) - 1 AS VARCHAR), ' ' ORDER BY piece) AS label_ids,
+                     string_agg(CAST(start AS VARCHAR), ' ' ORDER BY piece) AS starts,
+                     string_agg(CAST("end" AS VARCHAR), ' ' ORDER BY piece) AS ends, count(*) AS length FROM tl GROUP BY document"""),
+        ("tn", COUNTS.format(src="tw")),
+    ], """SELECT tx.*, target_num, "group" FROM tx JOIN tn ON tx.document = tn.document""")
+
+
+def _piece_metrics() -> str:
+    return with_chain(PIECE_LABELS + [
+        ("pm", f"""SELECT a.document, row_number() OVER (PARTITION BY a.document ORDER BY a.piece) AS pos,
+                     {LABEL_LIST}[a.l_all + 1] AS pred, l.label AS real
+                   FROM am a JOIN piece_labels l ON a.document = l.document AND a.piece = l.piece WHERE a.start + a."end" > 0"""),
+        ("ps", "SELECT 'p' AS side, document, pos, pred AS lab FROM pm UNION ALL SELECT 't', document, pos, real FROM pm"),
+        ("pb", "SELECT *, lag(lab, 1, 'O') OVER (PARTITION BY side, document ORDER BY pos) AS prev FROM ps"),
+        ("pg", f"""SELECT *, sum(CASE WHEN lab <> 'O' AND (lab LIKE 'B%' OR substr(prev, 3) <> substr(lab, 3)) THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY side, document ORDER BY pos {RUNNING}) AS grp FROM pb"""),
+        ("pe2", """SELECT side, document, substr(min(lab), 3) AS entity_type, min(pos) AS s, max(pos) AS e
+                   FROM pg WHERE lab <> 'O' GROUP BY side, document, grp"""),
+        ("pk", """SELECT document, entity_type, s, e, bool_or(side = 'p') AS p, bool_or(side = 't') AS t FROM pe2 GROUP BY ALL"""),
+        ("pt", f"""SELECT v.entity_type, count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p) AS n_pred,
+                     count(*) FILTER (WHERE t) AS n_true FROM {VOCAB_TYPES} LEFT JOIN pk ON pk.entity_type = v.entity_type GROUP BY 1"""),
+        ("c", """SELECT * FROM pt UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(n_pred) AS BIGINT),
+                 CAST(sum(n_true) AS BIGINT) FROM pt"""),
+    ], _metrics_sql("c", "entity_type"))
+
+
+def _report_sweep() -> str:
+    repaired = """CASE WHEN mode > 0 AND substr(raw_label, 1, 1) = 'I' AND NOT cont THEN 'B-' || substr(raw_label, 3)
+                       WHEN mode = 2 AND substr(raw_label, 1, 1) = 'B' AND cont THEN 'I-' || substr(raw_label, 3) ELSE raw_label END"""
+    return with_chain(GATE + [
+        ("modes", "SELECT * FROM (VALUES (0), (1), (2)) m(mode)"),
+        ("pm", f"SELECT mode, threshold, document, token, {repaired} AS label, token_str, score FROM cont CROSS JOIN modes"),
+        ("want", "SELECT mode, threshold, s.* FROM silver s CROSS JOIN modes CROSS JOIN grid WHERE label <> 'O'"),
+    ], """SELECT w.mode, w.threshold, w.document, w.token, w.word AS token_value, w.label AS label_real,
+                 coalesce(p.label, 'O') AS label_pred, p.token_str, round(p.score, 6) AS score
+          FROM want w LEFT JOIN pm p ON p.mode = w.mode AND p.threshold = w.threshold AND p.document = w.document AND p.token = w.token
+          WHERE coalesce(p.label, 'O') <> w.label""")
+
+
 ORACLE: dict[str, str] = {
     "corpus_load": with_chain([("sc", """SELECT document, count(*) AS n,
                                    count(*) FILTER (WHERE label <> 'O') AS t FROM silver GROUP BY document""")],
@@ -191,6 +251,7 @@ ORACLE: dict[str, str] = {
         ("cut_c", COUNTS.format(src="cutw")),
     ], "SELECT 'full' AS copy, * FROM full_c UNION ALL SELECT 'cut', * FROM cut_c"),
     "prepare_training_set": _prepare(),
+    "training_examples": _examples(),
     "detect_emails": with_chain([], f"""SELECT document, token, 'B-EMAIL' AS label, word AS token_str, 1.0 AS score
         FROM words WHERE regexp_full_match(word, {q(EMAIL_PATTERN)})"""),
     "detect_phones": with_chain([], """SELECT p.document, p.token, p.label, w.word AS token_str, 1.0 AS score
@@ -231,6 +292,8 @@ ORACLE: dict[str, str] = {
         FROM aligned_rp GROUP BY document"""),
     "align_real_pred": with_chain(ENT, "SELECT * FROM aligned_rp"),
     "error_report": with_chain(ENT, "SELECT * FROM aligned_rp WHERE label_pred <> label_real AND label_real <> 'O'"),
+    "error_report_sweep": _report_sweep(),
+    "piece_metrics": _piece_metrics(),
     "semi_join_test_docs": with_chain(SPLITS, """SELECT document, token, word AS token_value, label FROM silver
         WHERE document IN (SELECT document FROM test_fold)"""),
     "calibrate_no_rewrite": calibrate_sql(0),

@@ -1,8 +1,8 @@
 import random
 
 from tessera.operators.calibrate import best_threshold, quality_gate
-from tessera.operators.entities import entity_f5_micro, entity_spans
-from tessera.schema import LABELS
+from tessera.operators.entities import entity_f5_micro, entity_spans, error_report_sweep, piece_metrics
+from tessera.schema import LABELS, O_ID
 
 
 def _chunks(labels):
@@ -49,3 +49,27 @@ def test_best_threshold_ties_and_nulls(spark):
     none = spark.createDataFrame([(0.0, None)], "threshold double, f5 double")
     assert best_threshold(none).count() == 0
     assert LABELS[-1] == "O"
+
+
+def test_piece_metrics_close_up_ignored_pieces(spark):
+    """The ignored piece between B- and I- is dropped, so both make one entity."""
+    b, i = LABELS.index("B-NAME_STUDENT"), LABELS.index("I-NAME_STUDENT")
+    true, pred = [O_ID, b, -100, i, O_ID], [O_ID, b, O_ID, i, LABELS.index("B-EMAIL")]
+    scores = spark.createDataFrame(
+        [(1, k, *[1.0 if y == c else 0.0 for c in range(len(LABELS))]) for k, y in enumerate(pred)],
+        "document long, piece int, " + ", ".join(f"p{c} double" for c in range(len(LABELS))))
+    labels = spark.createDataFrame([(1, k, y) for k, y in enumerate(true)], "document long, piece int, label_id int")
+    got = {r.entity_type: (r.tp, r.n_pred, r.n_true) for r in piece_metrics(scores, labels).collect()}
+    assert got["NAME_STUDENT"] == (1, 1, 1) and got["EMAIL"] == (0, 1, 0) and got["USERNAME"] == (0, 0, 0)
+    assert got["micro"] == (1, 2, 1) and len(got) == 8
+    empty = {r.entity_type: (r.tp, r.f5) for r in piece_metrics(scores.limit(0), labels).collect()}
+    assert empty["micro"] == (0, None) and len(empty) == 8
+
+
+def test_error_report_sweep_counts_missing_predictions(spark):
+    real = spark.createDataFrame([(1, 0, "a", "B-EMAIL"), (1, 1, "b", "O"), (1, 2, "c", "B-ID_NUM")],
+                                 "document long, token int, token_value string, label string")
+    preds = spark.createDataFrame([(0, 0.5, 1, 0, "B-EMAIL", "a", 0.9), (0, 0.5, 1, 1, "B-EMAIL", "b", 0.8)],
+                                  "mode int, threshold double, document long, token int, label string, token_str string, score double")
+    got = sorted((r.mode, r.threshold, r.token, r.label_pred) for r in error_report_sweep(real, preds, [0.5], [0, 1]).collect())
+    assert got == [(0, 0.5, 2, "O"), (1, 0.5, 0, "O"), (1, 0.5, 2, "O")]
