@@ -119,15 +119,17 @@ def cross_parse(texts: list[bytes], corpus: tuple[tuple[str, bytes], ...]) -> np
 
 
 def training_text(df: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column) -> tuple:
-    """((language, folded text), ...): SNIPPETS texts per language, cut to SNIPPET_BYTES each.
+    """((language, folded text), ...): SNIPPETS texts per language, SNIPPET_BYTES of each.
 
     Of each hash class of the labelled rows, the text with the smallest hash; a grouped minimum,
-    so a language that holds most rows is folded in the map tasks.
+    so a language that holds most rows is folded in the map tasks. Where in a longer text its
+    snippet begins is drawn by the same hash.
     """
     h = F.xxhash64(id_col, text_col)
     rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    start = F.pmod(F.hash(h), F.greatest(F.char_length(text_col) - SNIPPET_BYTES, F.lit(0)) + 1) + 1
     rows = rows.select(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(SNIPPETS)).alias("b"), h.alias("h"),
-                       F.substring(text_col, 1, SNIPPET_BYTES).alias("t"))
+                       F.substr(F.col(text_col), start, F.lit(SNIPPET_BYTES)).alias("t"))
     best = checkpoint(rows.groupBy("lang", "b").agg(F.min(F.struct("h", "t")).alias("x")))
     text: dict[str, list[bytes]] = {}
     for lang, t in best.orderBy("lang", "b").select("lang", "x.t").collect():
