@@ -116,6 +116,32 @@ def test_stream_spans_sum_to_taken(spark, docs):
     assert mixing.mix(docs.limit(0)).isEmpty()
 
 
+def test_tiny_sources_beside_large_ones_get_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_BITS", 5)  # blocks of about 2,000 words, as in a mix 2**13 times as large
+    sizes = {"a": [5000] * 4, "b": [3, 4], "c": [1], "d": [9000, 1000], "e": [200] * 3, "f": [30_000], "h": [0, 2]}
+    data = [(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate((s, n) for s, v in sizes.items() for n in v)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    taken = mixing.taken_words(df).toPandas()
+    by = taken.groupby("g").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert ((by.taken - by.target).abs() < 1).all() and by.taken.sum() == by["size"].sum()
+    assert (taken.taken <= 3 * taken["size"]).all() and by.taken["0b"] == 21 and by.taken["0c"] == 3
+    stream = mixing.mix(df).toPandas()
+    stream["n"] = stream.to_word - stream.from_word
+    assert (stream.n > 0).all() and stream.slot.between(0, 31).all()
+    assert stream.groupby("id").n.sum().to_dict() == taken[taken.taken > 0].set_index("id").taken.to_dict()
+    once = stream.sort_values(["id", "pass", "from_word"]).groupby(["id", "pass"])
+    for _, g in once:  # no word of a pass twice
+        assert (g.from_word.to_numpy()[1:] == g.to_word.to_numpy()[:-1]).all()
+    halves = stream[stream.g == "0f"].groupby(stream.slot // 16).n.sum()
+    assert halves.max() - halves.min() <= 2 * by.taken["0f"] / stream[stream.g == "0f"].slot.nunique()
+
+
+def test_goals_of_many_small_sources_sum_to_all_words(spark):
+    sizes = spark.createDataFrame([(f"0{i:04}", 1) for i in range(800)], "g string, source_size long")
+    got = mixing.targets(sizes).toPandas()
+    assert got.goal.sum() == 800 and ((got.goal - got.target).abs() < 1).all()
+
+
 def test_views_of_a_dialogue(spark):
     t = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, None, None), (None, 1, "ann", "x")]
     v = chat.perspectives(spark.createDataFrame(t, "conv_id long, turn long, role string, text string"))
