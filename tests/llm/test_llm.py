@@ -169,6 +169,35 @@ def test_toxicity_learns_and_scores_every_row(spark):
     assert 0 <= none.score("x") <= 1
 
 
+def test_toxicity_of_texts_of_several_megabytes(spark):
+    rng = np.random.default_rng(5)
+    parts = ["".join(x) for x in itertools.product("bdfgklmnprstvz", "aeiou")]
+    prose = lambda n: " ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(n))
+    bad = ["vile scum", "utter filth"]
+    data = [(i, prose(rng.integers(200, 900)) + (f" {bad[i // 4 % 2]} " + prose(40) if i % 4 == 0 else ""), int(i % 4 == 0))
+            for i in range(480)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"), F.lit(True))
+    clean = " ".join(prose(300) for _ in range(1200))
+    assert len(clean) > 2_000_000 and model.score(clean) < 0.5 and model.score(prose(50)) < 0.5
+    for at in (0, len(clean) // 3, len(clean)):  # one toxic passage anywhere
+        assert model.score(f"{clean[:at]} {prose(20)} vile scum {prose(20)} {clean[at:]}") >= 0.5
+
+
+def test_toxicity_windows_see_every_kept_ngram_and_no_other():
+    text = "".join(np.random.default_rng(6).choice(list("abcdefgh é"), 100_000))
+    raw = toxicity.raw_bytes(text).tobytes()
+    name = lambda g: int.from_bytes(bytes([len(g)]) + g, "big")
+    kept = sorted({raw[i:i + n] for i in range(0, len(raw) - 5, 997) for n in toxicity.NGRAMS} | {b"zzz", b"xyzzy"})
+    vocabulary = toxicity.Vocabulary(np.array([name(g) for g in kept]))
+    windows = [set(w.tolist()) for w in vocabulary.windows(text)]
+    assert len(windows) == -(-len(raw) // toxicity.HALF) - 1
+    for k, got in enumerate(windows):
+        part = raw[k * toxicity.HALF:(k + 2) * toxicity.HALF + 4]
+        assert got == {j for j, g in enumerate(kept) if -1 < part.find(g) < 2 * toxicity.HALF}
+    assert [len(list(vocabulary.windows(t))) for t in ("a", "a" * toxicity.HALF, "a" * 3 * toxicity.HALF)] == [1, 1, 3]
+
+
 def brute_contamination(texts, items, size=10):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(t))
     wins = {}
