@@ -51,8 +51,66 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM d JOIN g ON d.t = g.t
 """
 
+_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') t, coalesce(source, '') part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') a FROM t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) good, bool_or(coalesce(toxic = 1, false)) toxic FROM labels GROUP BY 1),
+e AS (SELECT t, min(doc_id) low FROM t GROUP BY 1),
+r AS (
+  SELECT part, len(a) < 200 AS fa, 100 * len(list_distinct(a)) < 50 * len(a) AS fb,
+         100 * (length(w.t) - length(regexp_replace(w.t, '[A-Z]', '', 'g'))) > 2 * length(w.t) AS fc,
+         regexp_matches(w.t, '[#$%&*|]') AS fd, coalesce(w.doc_id > low, false) AS fe,
+         coalesce(good, false) good, coalesce(toxic, false) toxic
+  FROM w JOIN e ON w.t = e.t LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, concat(CASE WHEN fa THEN 'A' END, CASE WHEN fb THEN 'B' END, CASE WHEN fc THEN 'C' END,
+                          CASE WHEN fd THEN 'D' END, CASE WHEN fe THEN 'E' END) fails, good, toxic, count(*) n
+      FROM r GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) step, substr(filter_order, step, 1) letter, left(filter_order, step - 1) before
+      FROM o, range(1, 6) x(step)),
+x AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, fails, contains(fails, letter) hit,
+         before <> '' AND regexp_matches(fails, '[' || CASE WHEN before = '' THEN '-' ELSE before END || ']') gone
+  FROM m, s),
+g AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT removed,
+         coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT redundant,
+         coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT unique_fails,
+         coalesce(sum(n) FILTER (hit AND NOT gone AND good), 0)::BIGINT good_lost,
+         coalesce(sum(n) FILTER (hit AND NOT gone AND toxic), 0)::BIGINT toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT shapley FROM g
+"""
+
+_NEGATIVES = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id anchor_id, b.vec_id other, a.label = b.label same,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other positive_id, score positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other negative_id, positive_score, score negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 10
+"""
+
 LLM_ORACLE: dict[str, str] = {
     "op4_chat": _CHAT,
     "op6_decontaminate": _CONTAMINATION,
     "op9_exact_dedup": _EXACT,
+    "op12_filter_audit": _AUDIT,
+    "op13_hard_negatives": _NEGATIVES,
 }

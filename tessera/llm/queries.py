@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (chat, decontaminate, exact_dedup, language, mixing, near_dup, sharding, token_count, toxicity,
-                         url_filter)
+from tessera.llm import (chat, decontaminate, exact_dedup, filter_audit, hard_negatives, language, mixing, near_dup, sharding,
+                         token_count, toxicity, url_filter)
 from tessera.llm.common import table
 
 SHARDS = 16
@@ -78,7 +78,15 @@ def op10_token_count(spark: SparkSession, sf_dir: str, vocabulary: str = token_c
     return docs.select("doc_id", token_count.token_counts(F.col("text"), tokens).alias("c")).select("doc_id", "c.*")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_url_filter, op3_mixing, op4_chat, op5_toxicity, op6_decontaminate, op7_near_dup,
-        op8_language, op9_exact_dedup, op10_token_count)}
+        op8_language, op9_exact_dedup, op10_token_count, op12_filter_audit, op13_hard_negatives)}
