@@ -127,8 +127,7 @@ def _keys(block: int, place: int, score: np.ndarray, kind: int, rows: Block, at:
 def unpack(key: bytes) -> tuple[bytes, int, int, int | None]:
     """(anchor, score, kind, id) of a packed key."""
     _, _, down, kind, no_id, row = _PACKED.unpack(key)
-    signed = lambda x: ((x ^ _SIGN) + _SIGN & _MASK) - _SIGN
-    return key[:12], signed((~down & _MASK) ^ _SIGN), kind, None if no_id else signed(row ^ _SIGN)
+    return key[:12], (~down & _MASK) - _SIGN, kind, None if no_id else row - _SIGN
 
 
 def _firsts(order: np.ndarray, score: np.ndarray, rows: Block, n: int) -> np.ndarray:
