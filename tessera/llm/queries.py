@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (chat, decontaminate, exact_dedup, filter_audit, hard_negatives, language, mixing, near_dup, sharding,
-                         token_count, toxicity, url_filter)
+from tessera.llm import (chat, decontaminate, exact_dedup, filter_audit, hard_negatives, language, maxent, mixing, near_dup,
+                         sharding, token_count, toxicity, url_filter)
 from tessera.llm.common import table
 
 SHARDS = 16
@@ -78,6 +78,13 @@ def op10_token_count(spark: SparkSession, sf_dir: str, vocabulary: str = token_c
     return docs.select("doc_id", token_count.token_counts(F.col("text"), tokens).alias("c")).select("doc_id", "c.*")
 
 
+def op11_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = toxicity.in_fold(F.col("doc_id"), 7) == 2
+    scores = maxent.language_model_scores(table(spark, sf_dir, "documents"), ~held)
+    return scores.select(F.col("id").alias("doc_id"), (toxicity.in_fold(F.col("id"), 7) == 2).alias("held_out"), "n_tokens",
+                         "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,4 +96,4 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_url_filter, op3_mixing, op4_chat, op5_toxicity, op6_decontaminate, op7_near_dup,
-        op8_language, op9_exact_dedup, op10_token_count, op12_filter_audit, op13_hard_negatives)}
+        op8_language, op9_exact_dedup, op10_token_count, op11_maxent, op12_filter_audit, op13_hard_negatives)}
