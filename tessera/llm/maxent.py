@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
 from collections.abc import Iterable, Iterator
@@ -10,6 +11,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ ROW_BITS = 14
 #: The training documents are dealt over so many rounds of gradient updates.
 ROUNDS = 2
 BATCH = 4096
+#: Tasks' updates that one task of the summing tree adds up.
+FAN_IN = 16
 RATE = 0.5
 #: Logits are cut there, so that their powers stay finite.
 TOP = 60.0
@@ -369,6 +373,18 @@ def _merged(model: Model, sums: list[np.ndarray] | None) -> Model:
     return Model(model.vocabulary, *out)
 
 
+def tree_sum(parts: RDD) -> list[np.ndarray] | None:
+    """Sum of an RDD of lists of arrays, by a tree over the executors: a task sums ``FAN_IN`` of them at most,
+    and one reaches the driver, however many tasks there were."""
+    add = lambda a, b: [x + y for x, y in zip(a, b)]
+    n = parts.getNumPartitions()
+    while n > 1:
+        n = -(-n // FAN_IN)
+        parts = parts.mapPartitionsWithIndex(lambda i, it, n=n: ((i % n, x) for x in it)).reduceByKey(add, n).values()
+    got = parts.collect()
+    return functools.reduce(add, got) if got else None
+
+
 def train(texts: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS) -> Model:
     """A model that has seen every row of ``texts(deal, text)`` once: ``deal`` says in which round.
 
@@ -390,8 +406,7 @@ def train(texts: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS) -> Mo
             yield pd.DataFrame({"sums": [pickle.dumps(out, 5)]})
 
         mine = texts.where(F.col("deal") == turn).select("text").mapInPandas(steps, "sums binary").rdd
-        sums = mine.map(lambda r: pickle.loads(r.sums))
-        model = _merged(start, None if sums.isEmpty() else sums.treeReduce(lambda a, b: [x + y for x, y in zip(a, b)]))
+        model = _merged(start, tree_sum(mine.map(lambda r: pickle.loads(r.sums))))
     return model
 
 
