@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bucket_offsets, checkpoint, hash60, row_key
 
-#: The schedule has 2**SLOT_BITS slots at most, whatever the mix; how many words a slot holds follows from that.
-SLOT_BITS = 18
+#: Words of a block at least; a block holds fewer than twice as many. The number of slots follows from the mix.
+BLOCK = 512
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+#: Products of words and slots don't fit a long.
+WIDE = "cast({} as decimal(20, 0))".format
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,12 +58,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     t = t.withColumns({"left": F.round(F.sum(part).over(everyone)),
                        "turn": F.row_number().over(Window.orderBy(part.desc(), "g"))})
     t = t.withColumn("goal", (F.floor("target") + (F.col("turn") <= F.col("left")).cast("int")).cast("long"))
-    bits = F.least(F.lit(SLOT_BITS), F.length(F.bin(F.greatest("total", F.lit(1)))) - 1)
+    bits = F.length(F.bin(F.greatest(F.expr(f"total div {BLOCK}"), F.lit(1)))) - 1
     t = t.withColumn("bits", bits.cast("int")).withColumns({
         "n": F.expr("shiftleft(1L, bits)"),
         "upto": F.sum("goal").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)),
         "goals": F.greatest(F.sum("goal").over(everyone), F.lit(1))})
-    t = t.withColumns({"k0": F.expr("((upto - goal) * n + goals - 1) div goals"), "k1": F.expr("(upto * n + goals - 1) div goals")})
+    t = t.withColumns({"k0": F.expr(f"({WIDE('upto - goal')} * n + goals - 1) div goals"),
+                       "k1": F.expr(f"({WIDE('upto')} * n + goals - 1) div goals")})
     return t.select("g", "source_size", "target", "goal", "bits",
                     F.expr("if(k1 > k0, k0, k0 - 1)").alias("first"), F.expr("greatest(k1 - k0, 1)").alias("slots"))
 
@@ -72,14 +75,17 @@ def schedule(goals: DataFrame) -> DataFrame:
     Slot i stands at van der Corput's point i (its bits in reverse); the point picks the source in
     whose span of the cumulative goals it lies. The points of 2**m slots are the grid
     k / 2**m, so each source yields its own grid points and reverses their bits: no range join.
-    Any aligned run of 2**j slots holds each source's share of slots within one. At most
-    2**SLOT_BITS rows and one for each source.
+    Any aligned run of 2**j slots holds each source's share of slots within one. One row for every
+    ``BLOCK`` to 2 * ``BLOCK`` words of the mix and one for each source.
     """
     t = goals.where("goal > 0")
-    k = t.select("g", "bits", F.explode(F.expr("sequence(first, first + slots - 1)")).alias("k"))
+    run = t.select("g", "bits", "first", "slots", F.explode(F.expr("sequence(0L, shiftright(slots - 1, 16))")).alias("run"))
+    some = "sequence(first + run * 65536, first + least(slots, (run + 1) * 65536) - 1)"
+    k = run.select("g", "bits", F.explode(F.expr(some)).alias("k"))
     slot = F.conv(F.reverse(F.lpad(F.bin("k"), F.col("bits"), "0")), 2, 10).cast("long")
-    slots = k.select("g", F.when(F.col("bits") == 0, 0).otherwise(slot).alias("slot"))
-    slots = slots.withColumn("_b", F.shiftright("slot", 8).cast("int"))
+    slots = k.select("g", "bits", F.when(F.col("bits") == 0, 0).otherwise(slot).alias("slot"))
+    # 2**16 runs of slots at most, of 256 slots at least.
+    slots = slots.withColumn("_b", F.expr("shiftright(slot, greatest(8, bits - 16))").cast("int")).drop("bits")
     before = bucket_offsets(slots, ["g"], "_b", {"_before": F.count(F.lit(1))})
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("g", "_b").orderBy("slot")) - 1
     return slots.join(before, ["g", "_b"]).select("g", "slot", rank.alias("rank"))
@@ -109,15 +115,16 @@ def pieces(docs: DataFrame) -> DataFrame:
 
     A source gives its first ``goal`` words, read round and round: whole passes and a leading part
     of one more. Its slot of rank r holds words ceil(r * goal / slots) .. of these; ``lo``..``hi``-1
-    are those of the document. At most documents times passes plus slots rows.
+    are those of the document. At most documents times passes plus slots rows. A document of which the
+    mix takes nothing has one row, without a rank.
     """
-    t = docs.where("size > 0 and goal > 0")
-    t = t.withColumn("pass", F.explode(F.expr("sequence(0L, (goal - 1) div source_size)")))
+    passes = F.expr("if(size > 0 and goal > at, sequence(0L, (goal - at - 1) div source_size), null)")
+    t = docs.withColumn("pass", F.explode_outer(passes))
     t = t.withColumn("start", F.expr("pass * source_size + at")).withColumn("end", F.expr("least(start + size, goal)"))
-    t = t.where("start < end").withColumn(
-        "rank", F.explode(F.expr("sequence((start * slots) div goal, ((end - 1) * slots) div goal)")))
-    return t.withColumns({"lo": F.expr("greatest(start, (rank * goal + slots - 1) div slots)"),
-                          "hi": F.expr("least(end, ((rank + 1) * goal + slots - 1) div slots)")})
+    ranks = F.expr(f"sequence(({WIDE('start')} * slots) div goal, ({WIDE('end - 1')} * slots) div goal)")
+    t = t.withColumn("rank", F.explode_outer(F.when(F.col("pass").isNotNull(), ranks)))
+    return t.withColumns({"lo": F.expr(f"greatest(start, ({WIDE('rank')} * goal + slots - 1) div slots)"),
+                          "hi": F.expr(f"least(end, ({WIDE('rank + 1')} * goal + slots - 1) div slots)")})
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -139,11 +146,15 @@ def taken_words(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
                 weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """(id, key, g, size, source_size, target, taken) for every row: the words of it in the mixed stream.
 
-    What the pieces of ``mix`` sum to, settled without them: a document's words once for each whole
-    pass of its source's goal, and what of it lies in the leading part of the last one. Documents
-    that the mix leaves out have ``taken`` 0.
+    The spans of the mixed stream summed by document: every span lies in a slot of the schedule. Documents
+    that the mix leaves out have ``taken`` 0. Rows are told apart by where they stand in their source,
+    so repeated rows keep counts of their own; the words of a row don't leave its task.
     """
-    docs, _ = placed(df, id_col, F.col(source_col), text_col, weights, repeats)
-    whole = F.expr("goal div greatest(source_size, 1)")
-    part = F.expr("greatest(least(goal % greatest(source_size, 1) - at, size), 0)")
-    return docs.select("id", "key", "g", "size", "source_size", "target", (F.col("size") * whole + part).alias("taken"))
+    docs, goals = placed(df, id_col, F.col(source_col), text_col, weights, repeats)
+    spans = pieces(docs).join(schedule(goals).withColumn("filled", F.lit(True)), ["g", "rank"], "left")
+    words = F.when(F.col("filled"), F.col("hi") - F.col("lo")).otherwise(0)
+    own = ["id", "key", "g", "at", "size", "source_size", "target"]
+    # Documents without words may stand at one place; each of their rows counts.
+    with_words = spans.where("size > 0").groupBy(*own).agg(F.sum(words).alias("taken"))
+    without = docs.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
+    return with_words.unionByName(without).drop("at")

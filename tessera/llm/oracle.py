@@ -51,6 +51,27 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM d JOIN g ON d.t = g.t
 """
 
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END g,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size FROM documents),
+o AS (SELECT *, ('0x' || substr(md5(concat_ws(':', doc_id, size)), 1, 15))::BIGINT o FROM d),
+p AS (SELECT *, (sum(size) OVER (PARTITION BY g ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT place FROM o),
+s AS (SELECT g, sum(size)::BIGINT source_size FROM d GROUP BY g),
+w AS (SELECT g, source_size, [5, 2, 1][((row_number() OVER (ORDER BY g) - 1) % 3 + 1)::INT] w, 3 * source_size cap FROM s),
+v AS (
+  SELECT a.g, a.w, a.cap, ((SELECT sum(source_size) FROM s) - coalesce(sum(b.cap) FILTER (stopped), 0)) /
+         sum(b.w) FILTER (NOT stopped) AS level
+  FROM w a, LATERAL (SELECT *, (cap / w, g) < (a.cap / a.w, a.g) stopped FROM w) b GROUP BY ALL),
+l AS (SELECT max(level) level FROM v WHERE level * w <= cap),
+t AS (SELECT g, source_size, coalesce(least(level * w, cap), cap)::DOUBLE target FROM w, l),
+x AS (SELECT *, row_number() OVER (ORDER BY target - floor(target) DESC, g) turn, round(sum(target - floor(target)) OVER ()) spare FROM t),
+y AS (SELECT g, source_size, target, (floor(target) + (turn <= spare)::INT)::BIGINT goal FROM x)
+SELECT doc_id, size, source_size, target,
+       size * (goal // greatest(source_size, 1)) + greatest(least(goal % greatest(source_size, 1) - place, size), 0) taken
+FROM p JOIN y USING (g)
+"""
+
 _AUDIT = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') t, coalesce(source, '') part FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') a FROM t),
@@ -108,6 +129,7 @@ QUALIFY row_number() OVER w <= 10
 """
 
 LLM_ORACLE: dict[str, str] = {
+    "op3_mixing": _MIX,
     "op4_chat": _CHAT,
     "op6_decontaminate": _CONTAMINATION,
     "op9_exact_dedup": _EXACT,

@@ -65,6 +65,24 @@ def test_jump_moves_rows_only_to_the_new_shard():
         assert abs((a != b).mean() - 1 / (n + 1)) < 0.02
 
 
+def scalar_jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b, key = j, (key * 2862933555777941757 + 1) % 2 ** 64
+        j = int((b + 1) * (2 ** 31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_op1_shards_by_the_scalar_jump_hash(spark, folder):
+    for r in op1_sharding(spark, folder).collect():
+        key = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16)
+        assert (r.shard, r.grown_shard) == (scalar_jump(key, 16), scalar_jump(key, 17))
+
+
+def test_op1_of_an_empty_table(spark, docs):
+    assert sharding.with_slots(sharding.assign_shards(docs.limit(0), 16), "shard", F.lit(0).cast("long"), []).isEmpty()
+
+
 def test_op1_rows_sizes_and_slots(spark, folder):
     got = op1_sharding(spark, folder).toPandas()
     want = sorted((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows())
@@ -103,6 +121,24 @@ def test_mix_hits_targets(spark, folder):
     assert got[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
 
 
+def test_mix_takes_what_the_schedule_holds(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 500)
+    whole = mixing.taken_words(docs).toPandas().taken.sum()
+    full = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda goals: full(goals).where("slot % 2 = 0"))
+    half = mixing.taken_words(docs).toPandas().taken.sum()
+    assert 0.4 * whole < half < 0.6 * whole
+    assert mixing.taken_words(docs.limit(0)).isEmpty()
+
+
+def test_blocks_of_a_mix_hold_equal_words(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.pmod("id", F.lit(3))).alias("source"),
+                                  F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"))
+    got = mixing.mix(df).groupBy("slot", "g").agg(F.sum(F.expr("to_word - from_word")).alias("n")).toPandas()
+    assert got.slot.nunique() == 128 and (got.groupby("g").n.max() - got.groupby("g").n.min() <= 1).all()
+    assert got.n.max() - got.n.min() <= 0.1 * got.n.mean() and got.n.min() >= 512 * 0.95
+
+
 def test_targets_are_reshared(spark):
     sizes = spark.createDataFrame([("0a", 10), ("0b", 1000), ("0c", 90)], "g string, source_size long")
     got = {r.g: r.target for r in mixing.targets(sizes).collect()}
@@ -117,7 +153,7 @@ def test_stream_spans_sum_to_taken(spark, docs):
 
 
 def test_tiny_sources_beside_large_ones_get_their_targets(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SLOT_BITS", 5)  # blocks of about 2,000 words, as in a mix 2**13 times as large
+    monkeypatch.setattr(mixing, "BLOCK", 1500)  # 32 slots of about 2,000 words
     sizes = {"a": [5000] * 4, "b": [3, 4], "c": [1], "d": [9000, 1000], "e": [200] * 3, "f": [30_000], "h": [0, 2]}
     data = [(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate((s, n) for s, v in sizes.items() for n in v)]
     df = spark.createDataFrame(data, "doc_id long, source string, text string")
