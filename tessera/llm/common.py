@@ -33,7 +33,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    # The files of the shuffles that made it are of no more use: they are dropped now, not when the
+    # driver happens to collect its garbage. They belong to this frame's execution alone.
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
+    return kept
 
 
 def ascii_lower(text: Column) -> Column:

@@ -148,12 +148,14 @@ def may_link(n: Column, m: Column, common: Column) -> Column:
     return (100 + THRESHOLD) * common >= THRESHOLD * (n + m)
 
 
-def star_pairs(posts: DataFrame, hub: Column) -> DataFrame:
-    """Each class of a key paired with the key's class of smallest ``hub``: fewer pairs than postings."""
-    hubs = posts.groupBy("key").agg(F.min(F.struct(hub.alias("o"), "node", "n")).alias("h"))
-    fits = may_link(F.col("n"), F.col("h.n"), F.least("n", "h.n"))
-    pairs = posts.join(hubs, "key").where("node <> h.node").where(fits)
-    return pairs.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b"))
+def star_pairs(posts: DataFrame, hubs: list[Column]) -> DataFrame:
+    """Each class of a key paired with the key's classes of smallest value of each of ``hubs``: at most as
+    many pairs as postings, for each."""
+    least = [F.min(F.struct(hub.alias("o"), "node", "n")) for hub in hubs]
+    of_key = posts.groupBy("key").agg(F.array(*least).alias("hubs"))
+    met = posts.join(of_key, "key").select("node", "n", F.explode("hubs").alias("h"))
+    pairs = met.where("node <> h.node").where(may_link(F.col("n"), F.col("h.n"), F.least("n", "h.n")))
+    return pairs.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct()
 
 
 def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -165,7 +167,8 @@ def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> Dat
     classes is shuffled; counts are folded before the shuffle.
     """
     at = nodes.join(classes.select("node", "tk"), "node")
-    full = texts.where(in_bitmap(bitmap(at, "tk"), F.col("tk"))).join(at, "tk").dropDuplicates(["node"])
+    asked = texts.where(in_bitmap(bitmap(at, "tk"), F.col("tk")))
+    full = asked.groupBy("tk").agg(F.first("text").alias("text")).join(at, "tk")
     each = full.select("node", "comp", "n", F.explode(shingles_of("text")).alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = Window.partitionBy("node")
@@ -198,22 +201,29 @@ def cross_pairs(posts: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
     fits = may_link(F.col("x.n"), F.col("y.n"), F.least("x.n", "y.n"))
     met = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp "
                            "and (x.by_shingles is null or y.by_shingles is null)") & fits)
-    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return met.unionByName(shingle_pairs(crowded, classes, texts)).distinct()
+    met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # Pairs of the shingle join are exact candidates: their signatures have no say.
+    return colliding(met, classes).unionByName(shingle_pairs(crowded, classes, texts)).distinct()
+
+
+def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs with MATCHES collisions over all coordinates."""
+    def with_side(p: DataFrame, side: str) -> DataFrame:
+        return p.join(classes.select(F.col("node").alias(side), F.col("low").alias(f"low_{side}")), side)
+
+    return with_side(with_side(pairs, "a"), "b").where(enough_collisions("low_a", "low_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with MATCHES collisions over all coordinates whose full sets are similar.
+    """Pairs whose full sets are similar.
 
     ``texts(tk, text)`` is the whole input; a bitmap of the text keys in question keeps the other
     texts out of the shuffle.
     """
-    def with_side(p: DataFrame, side: str) -> DataFrame:
-        return p.join(classes.select(F.col("node").alias(side), F.col("low").alias(f"low_{side}"),
-                                     F.col("tk").alias(f"tk_{side}")), side)
+    def with_key(p: DataFrame, side: str) -> DataFrame:
+        return p.join(classes.select(F.col("node").alias(side), F.col("tk").alias(f"tk_{side}")), side)
 
-    met = with_side(with_side(pairs, "a"), "b").where(enough_collisions("low_a", "low_b"))
-    met = checkpoint(met.select("a", "b", "tk_a", "tk_b"))
+    met = checkpoint(with_key(with_key(pairs, "a"), "b").select("a", "b", "tk_a", "tk_b"))
     near = texts.where(in_bitmap(bitmap(met, "tk_a") | bitmap(met, "tk_b"), F.col("tk")))
     b = met.join(near.select(F.col("tk").alias("tk_b"), F.col("text").alias("text_b")), "tk_b")
     both = b.join(near.select(F.col("tk").alias("tk_a"), F.col("text").alias("text_a")), "tk_a")
@@ -246,8 +256,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("first.id").alias("id"), F.col("first.tk").alias("tk")))
     texts = df.select(tk.alias("tk"), F.col(text_col).alias("text"))
     posts = postings(classes)
-    hubs = star_pairs(posts, F.col("node")).unionByName(star_pairs(posts, F.xxhash64("key", "node"))).distinct()
-    stars = connected_components(checkpoint(verified(hubs, classes, texts)))
+    hubs = star_pairs(posts, [F.col("node"), F.xxhash64("key", "node")])
+    stars = connected_components(checkpoint(verified(colliding(hubs, classes), classes, texts)))
     left = checkpoint(posts.join(stars, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("comp")))
     linked = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
