@@ -176,6 +176,31 @@ def align_real_pred(real: DataFrame, preds: DataFrame) -> DataFrame:
     )
 
 
+def align_real_pred_sweep(real: DataFrame, preds: DataFrame, thresholds: Sequence[float],
+                          modes: Sequence[int]) -> DataFrame:
+    """:func:`align_real_pred` for every rewrite mode and threshold, by one outer join.
+
+    ``preds``: the prediction schema with ``mode, threshold``. A word's predictions are folded into one map keyed by
+    grid cell (at most ``modes * thresholds`` entries), the maps are joined to the true words once, and the grid is
+    spread out at the output. Output ``(mode, threshold, document, token, token_value, label_real, label_pred, token_str, score)``.
+    """
+    cells = [(m, float(t)) for m in modes for t in thresholds]
+    cell = F.coalesce(*[F.when((F.col("mode") == m) & (F.col("threshold") == t), i) for i, (m, t) in enumerate(cells)])
+    entry = F.struct(cell.alias("_cell"), F.struct("label", "token_str", "score").alias("_said"))
+    folded = preds.where(cell.isNotNull()).groupBy("document", "token").agg(F.map_from_entries(F.collect_list(entry)).alias("_by"))
+    r = real.select("document", "token", "token_value", F.col("label").alias("label_real"))
+    joined = r.join(folded, ["document", "token"], "full_outer")
+    grid = F.array(*[F.struct(F.lit(i).alias("_cell"), F.lit(m).alias("mode"), F.lit(t).alias("threshold"))
+                     for i, (m, t) in enumerate(cells)])
+    spread = joined.select("document", "token", "token_value", "label_real", "_by", F.inline(grid))
+    said = F.try_element_at("_by", F.col("_cell"))
+    spread = spread.select("mode", "threshold", "document", "token", "token_value", "label_real", said.alias("_said"))
+    return spread.select("mode", "threshold", "document", "token", "token_value",
+                         F.coalesce("label_real", F.lit(O_LABEL)).alias("label_real"),
+                         F.coalesce("_said.label", F.lit(O_LABEL)).alias("label_pred"),
+                         F.col("_said.token_str").alias("token_str"), F.col("_said.score").alias("score"))
+
+
 def error_report(aligned: DataFrame) -> DataFrame:
     """Misses and wrong types: ``label_pred <> label_real`` where the truth is not ``O``."""
     return aligned.where((F.col("label_pred") != F.col("label_real")) & (F.col("label_real") != O_LABEL))

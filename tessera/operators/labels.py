@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EMAIL_PATTERN, ID_NUM_PATTERN, full_match
 from ..schema import TARGET_LABELS
 
+#: Entries of a vocabulary that travels as one value.
+DICTIONARY_MAX = 10_000
+
 
 def silver_labels(words: DataFrame, phone_rows: DataFrame) -> DataFrame:
     """Deterministic word labels, first rule wins: e-mail word -> B-EMAIL; word inside a
@@ -44,24 +47,39 @@ def label_vocab(long_labels: DataFrame, label_col: str = "label") -> DataFrame:
     return distinct.select((F.row_number().over(w) - 1).cast("int").alias("label_id"), "label")
 
 
+def dictionary(vocab: DataFrame) -> Column:
+    """A vocabulary ``(label_id, label)`` as one map value, label -> id: a scalar subquery of the query that reads it.
+
+    A vocabulary is small by nature (a label set, a class column); one of more than ``DICTIONARY_MAX``
+    entries raises, and :func:`join_encode` is there for it.
+    """
+    entries = F.collect_list(F.struct("label", "label_id"))
+    many = F.raise_error(F.concat(F.lit("vocabulary too large for a dictionary: "), F.count(F.lit(1)).cast("string")))
+    whole = F.when(F.count(F.lit(1)) <= DICTIONARY_MAX, F.map_from_entries(entries)).otherwise(many)
+    return vocab.where(F.col("label").isNotNull()).agg(whole.alias("codes")).scalar()
+
+
 def label_encode(long_labels: DataFrame, vocab: DataFrame, label_col: str = "label") -> DataFrame:
     """Attach ``label_id``; a label missing from the vocabulary raises at run time.
 
-    The vocabulary side is tiny; AQE turns the join into a broadcast once it has measured
-    it, and keeps the shuffle join otherwise.
+    Codes come from a :func:`dictionary`, so rows stay where they are: no join and no shuffle by
+    label, however hot a label such as ``O`` is.
     """
-    j = long_labels.join(vocab.withColumnRenamed("label", label_col), label_col, "left")
-    return j.withColumn(
-        "label_id",
-        F.when(F.col("label_id").isNotNull() | F.col(label_col).isNull(), F.col("label_id"))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.col(label_col)))).cast("int"),
-    )
+    label = F.col(label_col)
+    code = F.try_element_at(dictionary(vocab), label)
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), label))
+    return long_labels.withColumn("label_id", F.when(label.isNull(), F.lit(None)).otherwise(F.coalesce(code, unknown)).cast("int"))
 
 
 def class_encode(df: DataFrame, column: str) -> DataFrame:
-    """Dictionary-encode a column: dense ids over its sorted distinct values."""
-    codes = label_vocab(df.select(F.col(column).alias("label")))
-    codes = codes.select(F.col("label").alias(column), F.col("label_id").alias(f"{column}_code"))
+    """Dictionary-encode a column: dense ids over its sorted distinct values, as ``<column>_code``; null stays null."""
+    codes = dictionary(label_vocab(df, column))
+    return df.withColumn(f"{column}_code", F.when(F.col(column).isNotNull(), F.try_element_at(codes, F.col(column))))
+
+
+def join_encode(df: DataFrame, column: str) -> DataFrame:
+    """:func:`class_encode` for a column of any number of values: by a join on the value."""
+    codes = label_vocab(df, column).select(F.col("label").alias(column), F.col("label_id").alias(f"{column}_code"))
     return df.join(codes, column, "left")
 
 

@@ -94,13 +94,14 @@ def align_pieces(pieces: DataFrame, words: DataFrame, carry: tuple[str, ...] = (
     )
 
 
-def piece_labels(pieces: DataFrame, word_labels: DataFrame) -> DataFrame:
+def labelled_pieces(pieces: DataFrame, word_labels: DataFrame) -> DataFrame:
     """Training label of every piece: special -> O; a piece starting on whitespace moves one
     character right; then the label of the word holding that character (a separator -> O).
 
     ``word_labels``: ``document, token, word, blank, trailing_whitespace, char_start,
-    char_end, label``. As-of lookup of the last word starting at or before the piece start.
-    Output ``(document, piece, label)``.
+    char_end, label``. As-of lookup of the last word starting at or before the piece start; specials
+    pass through it, so the result keeps the layout by document. Output ``(document, piece,
+    start, end, label)``.
     """
     nxt = Window.partitionBy("document").orderBy("token")
     wl = word_labels.withColumn("_next_label", F.lead("label").over(nxt))
@@ -109,12 +110,12 @@ def piece_labels(pieces: DataFrame, word_labels: DataFrame) -> DataFrame:
         F.col("char_start").alias("_pos"),
         F.lit(0).alias("_kind"),
         F.struct("char_end", "blank", "trailing_whitespace", "label", "_next_label").alias("_w"),
-        F.lit(None).cast("int").alias("piece"),
+        F.lit(None).cast("int").alias("piece"), F.lit(None).cast("int").alias("end"),
     )
-    ev_pieces = pieces.where(F.col("start") + F.col("end") > 0).select(
+    ev_pieces = pieces.select(
         "document", F.col("start").alias("_pos"), F.lit(1).alias("_kind"),
         F.lit(None).cast(ev_words.schema["_w"].dataType).alias("_w"),
-        "piece",
+        "piece", "end",
     )
     w = Window.partitionBy("document").orderBy(F.col("_pos").asc(), F.col("_kind").asc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -123,7 +124,8 @@ def piece_labels(pieces: DataFrame, word_labels: DataFrame) -> DataFrame:
     hit = F.col("_hit")
     inside = s < hit["char_end"]
     label = (
-        F.when(inside & ~hit["blank"], hit["label"])
+        F.when(s + F.col("end") == 0, F.lit("O"))
+        .when(inside & ~hit["blank"], hit["label"])
         # Piece starts in a blank word: one step right stays in it, or leaves it.
         .when(inside & (s + 1 < hit["char_end"]), hit["label"])
         .when(inside & hit["trailing_whitespace"], F.lit("O"))
@@ -131,10 +133,12 @@ def piece_labels(pieces: DataFrame, word_labels: DataFrame) -> DataFrame:
         # Piece starts on the separator after a word: one step right is the next word.
         .otherwise(F.coalesce(hit["_next_label"], F.lit("O")))
     )
-    real = found.where(F.col("_kind") == 1).select("document", "piece", label.alias("label"))
-    specials = pieces.where(F.col("start") + F.col("end") == 0).select(
-        "document", "piece", F.lit("O").alias("label"))
-    return real.unionByName(specials)
+    return found.where(F.col("_kind") == 1).select("document", "piece", s.alias("start"), "end", label.alias("label"))
+
+
+def piece_labels(pieces: DataFrame, word_labels: DataFrame) -> DataFrame:
+    """``(document, piece, label)`` of :func:`labelled_pieces`."""
+    return labelled_pieces(pieces, word_labels).select("document", "piece", "label")
 
 
 def truncate_right(pieces: DataFrame, max_length: int) -> DataFrame:

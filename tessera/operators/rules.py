@@ -52,33 +52,50 @@ def phone_targets(docs: DataFrame, text_col: str = "text",
     )
 
 
+def _word_hash(word: Column) -> Column:
+    """31 bits of a word's hash: sums over a document fit a long."""
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << 31) - 1))
+
+
 def find_spans(words: DataFrame, targets: DataFrame) -> DataFrame:
     """All occurrences of each target word sequence among a document's words.
 
-    Exact search, overlapping matches included. Every position of a document with targets
-    yields its next ``m`` words for each length ``m`` among the document's own targets, and
-    that array is equi-joined to the distinct target sequences of the document. No word is
-    paired with every hit of its document, no length is left out, and nothing runs before the
-    query does. Returns ``(document, start, end)``.
+    Exact search, overlapping matches included, by a rolling hash. Running sums over a document's word
+    hashes, plain and weighted by position, give the hash of any run of words from its two ends:
+    ``sum(h)`` and ``sum(k * (h mod 2**15))``. A word equal to a target's first word opens one run for each
+    length that targets beginning with it have; the run's end is looked up by position, its hash is
+    joined to the target hashes, and what is found is verified word by word. Every step is a row operation,
+    window or equi-join within the layout by document: no array of words or n-grams is built, and no word is
+    paired with every target. ``token`` must count a document's words from 0 without gaps. Returns
+    ``(document, start, end)``.
     """
-    seqs = targets.groupBy("document", "hit", "target_len").agg(
-        F.array_sort(F.collect_list(F.struct("k", "target_word"))).alias("_t")
-    ).select("document", "target_len", F.transform("_t", lambda x: x["target_word"]).alias("_key")).distinct()
-    lengths = targets.groupBy("document").agg(F.collect_set("target_len").alias("_lengths"))
-    rows = words.select("document", "token", "word").join(lengths, "document").groupBy("document").agg(
-        F.array_sort(F.collect_list(F.struct("token", "word"))).alias("_w"), F.first("_lengths").alias("_lengths"))
-    # The arrays are built below the explode, so that the lambdas read stored columns.
-    arrays = rows.select("document", "_lengths", F.transform("_w", lambda x: x["word"]).alias("_words"),
-                         F.transform("_w", lambda x: x["token"]).alias("_tokens"))
-    per_length = arrays.select("document", "_words", "_tokens", F.explode("_lengths").alias("target_len")).where(
-        F.size("_words") >= F.col("target_len"))
-    m = F.col("target_len")
-    grams = F.transform(F.sequence(F.lit(0), F.size("_words") - m), lambda i: F.struct(
-        F.get("_tokens", i).alias("start"), F.slice("_words", i + 1, m).alias("_key")))
-    found = per_length.select("document", "target_len", F.explode(grams).alias("_g")).select(
-        "document", "target_len", F.col("_g.start").alias("start"), F.col("_g._key").alias("_key"))
-    return found.join(seqs, ["document", "target_len", "_key"]).select(
-        "document", F.col("start").cast("int").alias("start"), (F.col("start") + m - 1).cast("int").alias("end"))
+    low = lambda h: h.bitwiseAND(F.lit((1 << 15) - 1))
+    t = targets.withColumn("_h", _word_hash(F.col("target_word")))
+    hashed = t.groupBy("document", "hit", "target_len").agg(
+        F.max(F.when(F.col("k") == 0, F.col("_h"))).alias("_first"), F.sum("_h").alias("_sum"),
+        F.sum(F.col("k") * low(F.col("_h"))).alias("_weighted"))
+    openings = hashed.select("document", "_first", "target_len").distinct()
+    asked = words.select("document", "token", "word").join(targets.select("document").distinct(), "document", "left_semi")
+    h, at = F.col("_h"), F.col("token").cast("long")
+    running = Window.partitionBy("document").orderBy("token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = asked.withColumn("_h", _word_hash(F.col("word"))).select(
+        "document", "token", "_h", F.sum(h).over(running).alias("_sum"), F.sum(low(h)).over(running).alias("_low"),
+        F.sum(at * low(h)).over(running).alias("_weighted"))
+    starts = sums.join(openings.withColumnRenamed("_first", "_h"), ["document", "_h"]).select(
+        "document", F.col("_h").alias("_first"), "target_len", F.col("token").alias("start"),
+        (F.col("token") + F.col("target_len") - 1).alias("token"), (F.col("_sum") - h).alias("_sum0"),
+        (F.col("_low") - low(h)).alias("_low0"), (F.col("_weighted") - at * low(h)).alias("_weighted0"))
+    runs = starts.join(sums.select("document", "token", "_sum", "_low", "_weighted"), ["document", "token"]).select(
+        "document", "_first", "target_len", "start", (F.col("_sum") - F.col("_sum0")).alias("_sum"),
+        (F.col("_weighted") - F.col("_weighted0") - F.col("start") * (F.col("_low") - F.col("_low0"))).alias("_weighted"))
+    found = runs.join(hashed, ["document", "_first", "target_len", "_sum", "_weighted"]).select(
+        "document", "hit", "start", "target_len")
+    spelled = found.join(targets.select("document", "hit", "k", "target_word"), ["document", "hit"]).select(
+        "document", "hit", "start", "target_len", "target_word", (F.col("start") + F.col("k")).alias("token"))
+    same = spelled.join(asked, ["document", "token"]).where(F.col("word") == F.col("target_word"))
+    spans = same.groupBy("document", "hit", "start", "target_len").agg(F.count(F.lit(1)).alias("_same")).where("_same = target_len")
+    return spans.select("document", F.col("start").cast("int").alias("start"),
+                        (F.col("start") + F.col("target_len") - 1).cast("int").alias("end")).distinct()
 
 
 def span_word_labels(spans: DataFrame, words: DataFrame, entity: str) -> DataFrame:

@@ -6,7 +6,9 @@ label id ``i`` (``O`` is id 12). Wide columns keep every step a plain codegen'd
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import itertools
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,20 +21,22 @@ from ..functions.probs import argmax, pick
 from ..schema import FOCAL_ALPHA_O, FOCAL_GAMMA, LOGIT_COLS, NUM_LABELS, O_ID, PROB_COLS
 
 
-def hash_logits(pieces: DataFrame, label_col: str = "word_label", salt: str | None = None) -> DataFrame:
+def hash_logits(pieces: DataFrame, label_col: str = "word_label", salt: str | None = None,
+                names: Sequence[str] = LOGIT_COLS, keep: Sequence[str] = ()) -> DataFrame:
     """The deterministic test scorer: logits from an md5 of ``doc:token:piece``.
 
     ``z_i = byte_i(md5) / 32 + 4 * [i is the piece's word label] + 2 * [i is O]``; every
     logit is a multiple of 1/32, so ties between labels are exact in any engine.
-    ``salt`` prefixes the key (``'b'`` gives the second ensemble member).
+    ``salt`` prefixes the key (``'b'`` gives the second ensemble member). ``names`` are those of the logit
+    columns, ``keep`` further columns to carry along.
     """
     key = F.concat_ws(":", F.col("document").cast("string"), F.col("token").cast("string"),
                       F.col("piece").cast("string"))
     if salt is not None:
         key = F.concat(F.lit(f"{salt}:"), key)
     lid = F.coalesce(label_id(F.coalesce(F.col(label_col), F.lit("O"))), F.lit(O_ID))
-    keep = [c for c in ("start", "end") if c in pieces.columns]
-    h = pieces.select("document", "piece", *keep, F.md5(key).alias("_h"), lid.alias("_y"))
+    carried = [c for c in ("start", "end") if c in pieces.columns] + list(keep)
+    h = pieces.select("document", "piece", *carried, F.md5(key).alias("_h"), lid.alias("_y"))
     # Bytes 0-6 and 7-12 of the hash as two integers (14 and 12 hex digits), so each byte
     # is a shift and a mask instead of one string conversion per label.
     h = h.select("*", F.conv(F.substring("_h", 1, 14), 16, 10).cast("long").alias("_a"),
@@ -44,25 +48,47 @@ def hash_logits(pieces: DataFrame, label_col: str = "word_label", salt: str | No
         z = byte / F.lit(32.0) + F.when(F.col("_y") == i, 4.0).otherwise(0.0)
         if i == O_ID:
             z = z + F.lit(2.0)
-        zs.append(z.alias(LOGIT_COLS[i]))
-    return h.select("document", "piece", *keep, *zs)
+        zs.append(z.alias(names[i]))
+    return h.select("document", "piece", *carried, *zs)
 
 
-def softmax_scores(logits: DataFrame) -> DataFrame:
-    """Logit columns ``z0..z12`` -> probability columns ``p0..p12``.
+def softmax_scores(logits: DataFrame, names: Sequence[str] = LOGIT_COLS, out: Sequence[str] = PROB_COLS) -> DataFrame:
+    """Logit columns ``z0..z12`` -> probability columns ``p0..p12``; all other columns are carried.
 
     Staged as small projections (max, exps, sum, ratios) so each generated expression stays
     small and every intermediate is computed once per row.
     """
-    keys = [c for c in logits.columns if c not in LOGIT_COLS]
+    keys = [c for c in logits.columns if c not in names]
     exps = [f"_e{i}" for i in range(NUM_LABELS)]
-    x = logits.select(*keys, *LOGIT_COLS, F.greatest(*[F.col(c) for c in LOGIT_COLS]).alias("_m"))
-    x = x.select(*keys, *[F.exp(F.col(z) - F.col("_m")).alias(e) for z, e in zip(LOGIT_COLS, exps)])
+    x = logits.select(*keys, *names, F.greatest(*[F.col(c) for c in names]).alias("_m"))
+    x = x.select(*keys, *[F.exp(F.col(z) - F.col("_m")).alias(e) for z, e in zip(names, exps)])
     total = F.col(exps[0])
     for e in exps[1:]:
         total = total + F.col(e)
     x = x.select(*keys, *exps, total.alias("_s"))
-    return x.select(*keys, *[(F.col(e) / F.col("_s")).alias(p) for e, p in zip(exps, PROB_COLS)])
+    return x.select(*keys, *[(F.col(e) / F.col("_s")).alias(p) for e, p in zip(exps, out)])
+
+
+def live_logits(logits: DataFrame, threshold: float, names: Sequence[str] = LOGIT_COLS) -> DataFrame:
+    """The pieces that can carry a label other than ``O`` at a threshold up to ``threshold``.
+
+    A piece fires if its best label isn't ``O`` or ``p_O < t``, and ``p_O < t`` is the same as
+    ``sum(exp(z_i - z_O)) > 1 / t - 1`` over the other labels: a test on the logits alone, before any softmax, alignment
+    or sort. It keeps a hair more than fires (a rounding error's worth); the decoder's own test on
+    probabilities stays the judge. Where even twelve times the largest term is too small, no power is taken.
+    """
+    others = [F.col(c) for i, c in enumerate(names) if i != O_ID]
+    best, o = F.greatest(*others), F.col(names[O_ID])
+    fires = best >= o
+    if threshold > 0:
+        need = (1.0 / threshold - 1.0) * (1 - 1e-9)
+        total = F.exp(others[0] - o)
+        for z in others[1:]:
+            total = total + F.exp(z - o)
+        if need <= 0:
+            return logits
+        fires = fires | ((best - o >= math.log(need / len(others)) - 1e-9) & (total >= need))
+    return logits.where(fires)
 
 
 def score_pieces(pieces: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -71,33 +97,59 @@ def score_pieces(pieces: DataFrame, scorer: Callable[[DataFrame], DataFrame] | N
     return softmax_scores(scorer(pieces))
 
 
-def score_with_model(pieces: DataFrame, load: Callable[[], Callable[[pd.DataFrame], np.ndarray]],
-                     feature_cols: Sequence[str], outputs_logits: bool = True) -> DataFrame:
-    """Pluggable scorer of whole documents: ``load()() -> [pieces, 13]`` runs in ``mapInPandas``.
+def score_with_model(pieces: DataFrame, load: Callable[[], Callable], feature_cols: Sequence[str],
+                     outputs_logits: bool = True, streaming: bool = False) -> DataFrame:
+    """Pluggable scorer of whole documents: ``load()`` gives ``predict``, run in ``mapInPandas``.
 
-    ``load`` is called once per task and returns ``predict``; so a model travels as the recipe to
-    load it. The pieces of a document are gathered into one row, so ``predict`` always sees a
-    whole document, in piece order, with the columns ``piece, start, end, *feature_cols``. Returns
-    ``(document, piece, start, end, p0..p12)``; logits are softmaxed.
+    ``load`` is called once per task, so a model travels as the recipe to load it. Pieces are dealt by
+    document and sorted inside a task; the batches of a document follow one another, and no row holds a
+    document. ``predict(frame)`` sees a whole document, in piece order, with the columns ``piece, start, end,
+    *feature_cols``, and gives ``[pieces, 13]``. With ``streaming`` it is ``predict(frames)`` instead: an iterator
+    of the document's frames in, an iterator of their scores out, so a document of any length passes in
+    bounded memory. Returns ``(document, piece, start, end, p0..p12)``; logits are softmaxed.
     """
     names = LOGIT_COLS if outputs_logits else PROB_COLS
     given = ["piece", "start", "end", *[c for c in feature_cols if c not in ("piece", "start", "end")]]
     schema = T.StructType([pieces.schema[c] for c in ("document", "piece", "start", "end")]
                           + [T.StructField(n, T.DoubleType()) for n in names])
 
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
+        for batch in batches:
+            ids = batch["document"].to_numpy()
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1 if len(ids) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                if hi > lo:
+                    yield ids[lo], batch[given].iloc[lo:hi].reset_index(drop=True)
+
+    def labelled(document: object, frame: pd.DataFrame, scores: np.ndarray) -> pd.DataFrame:
+        out = np.asarray(scores, dtype="float64")
+        if out.shape != (len(frame), len(names)):
+            raise ValueError(f"the model gave {out.shape} scores for {len(frame)} pieces")
+        scored = frame[["piece", "start", "end"]].assign(document=document)
+        return scored.assign(**{n: out[:, i] for i, n in enumerate(names)})[schema.fieldNames()]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = load()
-        for batch in batches:
-            for document, rows in zip(batch["document"], batch["_pieces"]):
-                frame = pd.DataFrame(list(rows), columns=given)
-                out = np.asarray(predict(frame), dtype="float64")
-                if out.shape != (len(frame), len(names)):
-                    raise ValueError(f"the model gave {out.shape} scores for {len(frame)} pieces")
-                scored = frame[["piece", "start", "end"]].assign(document=document)
-                yield scored.assign(**{n: out[:, i] for i, n in enumerate(names)})[schema.fieldNames()]
-
-    docs = pieces.groupBy("document").agg(F.array_sort(F.collect_list(F.struct(*given))).alias("_pieces"))
-    scored = docs.mapInPandas(run, schema)
+        for document, group in itertools.groupby(parts(batches), key=lambda x: x[0]):
+            frames = (frame for _, frame in group)
+            if not streaming:
+                whole = pd.concat(list(frames), ignore_index=True)
+                yield labelled(document, whole, predict(whole))
+                continue
+            fed: list[pd.DataFrame] = []
+
+            def feed() -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    fed.append(frame)
+                    yield frame
+
+            for scores in predict(feed()):
+                yield labelled(document, fed.pop(0), scores)
+            if fed or next(frames, None) is not None:
+                raise ValueError(f"the model left pieces of document {document} without scores")
+
+    dealt = pieces.select("document", *given).repartition("document").sortWithinPartitions("document", "piece")
+    scored = dealt.mapInPandas(run, schema)
     return softmax_scores(scored) if outputs_logits else scored
 
 
@@ -144,29 +196,77 @@ def ensemble_scores(members: Sequence[tuple[DataFrame, float]]) -> DataFrame:
     return checked.select("document", "piece", *[(F.col(c) / F.col("_sw")).alias(c) for c in PROB_COLS])
 
 
+def ensemble_columns(scores: DataFrame, members: Mapping[str, float]) -> DataFrame:
+    """Weighted mean of several models whose probabilities stand side by side on one piece row.
+
+    ``members`` maps a column prefix to a weight: model ``x`` has the columns ``x_p0..x_p12``. The terms are added in
+    the order of the prefixes, so the result doesn't depend on the order of the members, and no row is
+    shuffled. Output ``(document, piece, p0..p12)``.
+    """
+    if not members:
+        raise ValueError("an ensemble needs a member")
+    order = sorted(members)
+    total = float(sum(members[m] for m in order))
+
+    def mean(column: str) -> Column:
+        out = F.col(f"{order[0]}_{column}") * F.lit(float(members[order[0]]))
+        for m in order[1:]:
+            out = out + F.col(f"{m}_{column}") * F.lit(float(members[m]))
+        return out / F.lit(total)
+
+    return scores.select("document", "piece", *[mean(c).alias(c) for c in PROB_COLS])
+
+
+def _focal(p_y: Column, log_p_y: Column, miss: Column, y: Column, gamma: float, alpha: Sequence[float] | None) -> Column:
+    if alpha is None:
+        alpha = [1.0] * NUM_LABELS
+        alpha[O_ID] = FOCAL_ALPHA_O
+    a_y = F.element_at(F.array(*[F.lit(float(a)) for a in alpha]), y + 1)
+    return a_y * F.pow(miss, F.lit(float(gamma))) * -log_p_y
+
+
+def _reduced(rows: DataFrame, reduction: str) -> DataFrame:
+    if reduction not in ("mean", "sum", "none"):
+        raise ValueError(f"unknown reduction {reduction!r}: give mean, sum or none")
+    if reduction == "none":
+        return rows
+    agg = F.sum("loss") if reduction == "sum" else F.avg("loss")
+    return rows.agg(F.coalesce(agg, F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def focal_loss_logits(logits: DataFrame, labels: DataFrame, gamma: float = FOCAL_GAMMA,
+                      alpha: Sequence[float] | None = None, reduction: str = "mean",
+                      ignore_index: int = -100) -> DataFrame:
+    """:func:`focal_loss` from logits ``z0..z12``, by log-sum-exp: finite however unlikely the true label is.
+
+    ``ln p_y = z_y - max - ln(sum(exp(z_i - max)))``; ``1 - p_y`` is taken as ``-expm1(ln p_y)``, so it keeps its digits
+    where ``p_y`` is nearly 1.
+    """
+    rows = logits.join(labels.where(F.col("label_id") != ignore_index), ["document", "piece"], "inner")
+    zs = [F.col(c) for c in LOGIT_COLS]
+    rows = rows.select("document", "piece", "label_id", *zs, F.greatest(*zs).alias("_m"))
+    total = F.exp(zs[0] - F.col("_m"))
+    for z in zs[1:]:
+        total = total + F.exp(z - F.col("_m"))
+    log_p = pick(zs, F.col("label_id")) - F.col("_m") - F.log(total)
+    rows = rows.select("document", "piece", "label_id", log_p.alias("_log_p"))
+    log_p = F.col("_log_p")
+    loss = _focal(F.exp(log_p), log_p, -F.expm1(log_p), F.col("label_id"), gamma, alpha)
+    return _reduced(rows.select("document", "piece", "label_id", loss.alias("loss")), reduction)
+
+
 def focal_loss(scores: DataFrame, labels: DataFrame, gamma: float = FOCAL_GAMMA,
                alpha: Sequence[float] | None = None, reduction: str = "mean",
                ignore_index: int = -100) -> DataFrame:
     """Focal loss ``alpha[y] * (1 - p_y)^gamma * -ln(p_y)`` of scored pieces.
 
     ``labels``: ``(document, piece, label_id)``; rows labelled ``ignore_index`` are dropped.
-    ``mean`` divides by the row count (0 when no row), ``sum`` adds, ``none`` returns rows.
+    ``mean`` divides by the row count (0 when no row), ``sum`` adds, ``none`` returns rows. Where a probability
+    may have been rounded to 0, take :func:`focal_loss_logits`.
     """
-    if reduction not in ("mean", "sum", "none"):
-        raise ValueError(f"unknown reduction {reduction!r}: give mean, sum or none")
-    if alpha is None:
-        alpha = [1.0] * NUM_LABELS
-        alpha[O_ID] = FOCAL_ALPHA_O
-    ps = [F.col(c) for c in PROB_COLS]
-    y = F.col("label_id")
-    p_y = pick(ps, y)
+    p_y = pick([F.col(c) for c in PROB_COLS], F.col("label_id"))
     # ln(0) is null in SQL; a true class of probability 0 is an infinite loss, not a dropped row.
-    surprise = F.when(p_y > 0, -F.log(p_y)).otherwise(F.lit(float("inf")))
-    a_y = F.element_at(F.array(*[F.lit(float(a)) for a in alpha]), y + 1)
+    log_p = F.when(p_y > 0, F.log(p_y)).otherwise(F.lit(float("-inf")))
     rows = scores.join(labels.where(F.col("label_id") != ignore_index), ["document", "piece"], "inner")
-    loss = a_y * F.pow(1.0 - p_y, F.lit(float(gamma))) * surprise
-    per_row = rows.select("document", "piece", "label_id", loss.alias("loss"))
-    if reduction == "none":
-        return per_row
-    agg = F.sum("loss") if reduction == "sum" else F.avg("loss")
-    return per_row.agg(F.coalesce(agg, F.lit(0.0)).alias("loss"), F.count(F.lit(1)).alias("n_rows"))
+    loss = _focal(p_y, log_p, 1.0 - p_y, F.col("label_id"), gamma, alpha)
+    return _reduced(rows.select("document", "piece", "label_id", loss.alias("loss")), reduction)

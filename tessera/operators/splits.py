@@ -60,11 +60,23 @@ def range_bucket(df: DataFrame, key: Column) -> Column:
     return F.least(F.floor((key.cast("double") - cut["low"]) / cut["width"]), F.lit(RANGE_BUCKETS - 1))
 
 
-def seeded_positions(docs: DataFrame, seed: int, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Position of every document in the seeded shuffle order (documents made distinct)."""
-    distinct = docs.select(*group_cols, "document").distinct()
+def unique_documents(docs: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The documents, one row each; an id that occurs more than once raises when the query runs.
+
+    The check is part of the plan: the rows are grouped by id and the id itself is what raises, so no
+    consumer can read past it and nothing runs while a query is built.
+    """
+    counted = docs.groupBy(*group_cols, "document").agg(F.count(F.lit(1)).alias("_times"))
+    twice = F.raise_error(F.concat(F.lit("document id occurs more than once: "), F.col("document").cast("string")))
+    return counted.select(*group_cols, F.when(F.col("_times") == 1, F.col("document")).otherwise(twice).alias("document"))
+
+
+def seeded_positions(docs: DataFrame, seed: int, group_cols: tuple[str, ...] = (), unique: bool = True) -> DataFrame:
+    """Position of every document in the seeded shuffle order. Ids must be unique (checked when the
+    query runs); with ``unique=False`` repeated ids, such as those of word rows, count once."""
+    ids = unique_documents(docs, group_cols) if unique else docs.select(*group_cols, "document").distinct()
     key = shuffle_key(seed)
-    return positions(distinct, key, F.substring(key, 1, BUCKET_HEX), group_cols=group_cols)
+    return positions(ids, key, F.substring(key, 1, BUCKET_HEX), group_cols=group_cols)
 
 
 def fold_of(position: Column, n: Column, k: int) -> Column:
@@ -77,11 +89,11 @@ def fold_of(position: Column, n: Column, k: int) -> Column:
 
 
 def kfold_split(docs: DataFrame, num_folds: int = EVAL_FOLDS, seed: int = EVAL_SEED,
-                group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """``(document, fold)``: seeded, shuffled K-fold over distinct documents."""
+                group_cols: tuple[str, ...] = (), unique: bool = True) -> DataFrame:
+    """``(document, fold)``: seeded, shuffled K-fold over documents, whose ids must be unique."""
     if num_folds < 2:
         raise ValueError("num_folds must be at least 2")
-    p = seeded_positions(docs, seed, group_cols)
+    p = seeded_positions(docs, seed, group_cols, unique)
     return p.select(*group_cols, "document", fold_of(F.col("position"), F.col("n"), num_folds).alias("fold"))
 
 
@@ -119,3 +131,22 @@ def seeded_shuffle(docs: DataFrame, seed: int = 42) -> DataFrame:
 def test_documents(docs: DataFrame, fold_id: int = EVAL_FOLD, num_folds: int = EVAL_FOLDS,
                    seed: int = EVAL_SEED) -> DataFrame:
     return split_by_fold(docs, fold_id, num_folds, seed).where(F.col("split") == "test").select("document")
+
+
+def chained_offsets(counts: DataFrame) -> DataFrame:
+    """Offsets of corpora loaded one after another.
+
+    ``counts``: ``(corpus, n, max_id)`` per corpus (corpus 0 keeps its ids). Corpus ``i > 0``
+    is renumbered from ``offset_i = previous max + 1``; the table gives ``offset`` per corpus
+    and ``next_offset`` (the id after the last corpus). Tiny (one row per corpus).
+    """
+    w = Window.orderBy("corpus").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.first(F.when(F.col("corpus") == 0, F.col("max_id") + 1), ignorenulls=True).over(
+        Window.orderBy("corpus").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    extra_before = F.coalesce(F.sum(F.when(F.col("corpus") > 0, F.col("n"))).over(w), F.lit(0))
+    out = counts.withColumn("_base", base).withColumn(
+        "offset", F.when(F.col("corpus") == 0, F.lit(0)).otherwise(F.col("_base") + extra_before).cast("long"))
+    return out.withColumn(
+        "next_offset",
+        F.when(F.col("corpus") == 0, F.col("max_id") + 1).otherwise(F.col("offset") + F.col("n")).cast("long"),
+    ).select("corpus", "n", "offset", "next_offset")

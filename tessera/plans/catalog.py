@@ -20,17 +20,18 @@ from ..operators.entities import (align_real_pred, entity_f5_by_type, entity_f5_
                                   entity_spans, error_report, error_report_sweep, label_sequences, piece_metrics)
 from ..operators.labels import class_encode, doc_target_counts, label_encode, label_vocab
 from ..operators.pieces import piece_labels, truncate_right
-from ..operators.prepare import (doc_counts_by, document_shift, double_truncate, filter_positive_docs,
-                                 training_examples, truncate_left)
+from ..operators.prepare import (TrainingSet, cut_counts, doc_counts_by, document_shift, double_truncate,
+                                 filter_positive_docs, planned_examples, positive_rows, training_examples, training_plan,
+                                 truncate_left)
 from ..operators.rules import detect_rules, find_spans, phone_targets
-from ..operators.scoring import ensemble_scores, focal_loss, hash_logits, with_argmax
+from ..operators.scoring import ensemble_columns, focal_loss_logits, hash_logits, with_argmax
 from ..operators.splits import holdout_split, kfold_split, nested_split, seeded_shuffle, test_documents
 from ..operators.tokens import detokenized, token_explode
 from ..schema import (LOGIT_COLS, PROB_COLS, RULE_LABELS, TARGET_LABELS, TEST_MAX_PIECES, THRESHOLDS,
                       TRAIN_MAX_PIECES, TRUNCATE_LEFT_WORDS, RewriteMode)
-from ..session import apply_conf
+from ..session import configured
 from ..sources.corpus import chained_offsets, corpus_project, corpus_union, head_fraction, next_offset
-from .fixtures import Fixture, hold, release
+from .fixtures import Fixture, owning
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,9 +41,7 @@ GATE_MODE = RewriteMode.REWRITE_STARTING_I
 
 
 def _fx(spark: SparkSession, sf_dir: str) -> Fixture:
-    apply_conf(spark)
-    release(spark)
-    return Fixture(spark, sf_dir)
+    return Fixture(configured(spark), sf_dir)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -94,7 +93,8 @@ def q_head_fraction(spark, sf_dir):
 
 
 def q_corpus_union(spark, sf_dir):
-    loaded = _fx(spark, sf_dir).loaded.select("corpus", "document", F.length("text").cast("long").alias("n_chars"))
+    fx = _fx(spark, sf_dir)
+    loaded = fx.hold(fx.loaded.select("corpus", "document", F.length("text").cast("long").alias("n_chars")))
     return corpus_union([loaded.where("corpus = 0"), loaded.where("corpus > 0")])
 
 
@@ -161,6 +161,10 @@ def q_filter_positive_docs(spark, sf_dir):
     return filter_positive_docs(_fx(spark, sf_dir).silver).select("document", "n_words", "target_num", "group")
 
 
+def q_positive_rows(spark, sf_dir):
+    return positive_rows(_fx(spark, sf_dir).silver).select("document", "token", F.col("word").alias("token_value"), "label")
+
+
 def q_truncate_left(spark, sf_dir):
     s = _fx(spark, sf_dir).silver
     t = truncate_left(s, TRUNCATE_LEFT_WORDS)
@@ -188,35 +192,40 @@ def q_double_truncate(spark, sf_dir):
     return doc_counts_by(doubled, ("copy",)).select("copy", "document", "n_words", "target_num", "group")
 
 
+def _training_plan(fx: Fixture, settings: TrainingSet = TrainingSet()) -> DataFrame:
+    return training_plan(fx.doc_sources.select("corpus", "document"), cut_counts(fx.silver, settings.keep_last), settings, fx.hold)
+
+
 def q_prepare_training_set(spark, sf_dir):
+    """The ledger of the training set: which documents, under which ids, at which places."""
+    plan = _training_plan(_fx(spark, sf_dir)).where("split = 'train'")
+    return plan.select("origin", "document", "position", "n_words", "target_num", "group")
+
+
+def _texts(pieces: str) -> list[F.Column]:
+    return [F.array_join(F.col(f"{pieces}.{c}").cast("array<string>"), " ").alias(name)
+            for c, name in (("label_id", "label_ids"), ("start", "starts"), ("end", "ends"))]
+
+
+def q_training_set(spark, sf_dir):
+    """The training and validation examples themselves, pieces as text."""
     fx = _fx(spark, sf_dir)
-    loaded = fx.loaded_cut
-    words = fx.silver.select("document", "token", "n_words", "label")
-    base_docs = loaded.where(F.col("corpus") == 0).select("document")
-    train = hold(nested_split(base_docs).where(F.col("split") == "train").select("document"))
-    off = _offset_after(loaded)
-    base_words = words.join(train, "document", "left_semi")
-    base = doc_counts_by(double_truncate(base_words, off, TRUNCATE_LEFT_WORDS), ("copy",))
-    base = base.where(F.col("group") == 1).withColumn("origin", F.concat(F.lit("base_"), F.col("copy")))
-    extra_map = loaded.where(F.col("corpus") == 1).select(
-        F.col("source_document").alias("_src"), F.col("document").alias("_new"))
-    extra_words = words.join(extra_map, words["document"] == extra_map["_src"], "inner").select(
-        F.col("_new").alias("document"), "token", "n_words", "label")
-    extra = doc_counts_by(truncate_left(extra_words, TRUNCATE_LEFT_WORDS).withColumn("copy", F.lit("cut")),
-                          ("copy",)).withColumn("origin", F.lit("extra"))
-    final = hold(base.select("origin", "document", "n_words", "target_num", "group").unionByName(
-        extra.select("origin", "document", "n_words", "target_num", "group")))
-    pos = seeded_shuffle(final.select("document"), 42)
-    return final.join(pos, "document").select("origin", "document", "position", "n_words", "target_num", "group")
+    e = planned_examples(fx.silver, _training_plan(fx))
+    return e.select("split", "origin", "document", "position", *_texts("pieces"), _long("length"), "n_words", "target_num", "group")
+
+
+def q_training_set_all_corpora(spark, sf_dir):
+    """Every corpus added, the base cut but not doubled, documents without target words kept."""
+    fx = _fx(spark, sf_dir)
+    settings = TrainingSet(extras=(1, 2, 3), double=False, positives_only=False)
+    e = planned_examples(fx.silver, _training_plan(fx, settings), settings)
+    return e.select("split", "origin", "document", "position", *_texts("pieces"), _long("length"), "n_words", "target_num", "group")
 
 
 def q_training_examples(spark, sf_dir):
     """Every document as a training example after the left cut, pieces as text."""
     e = training_examples(truncate_left(_fx(spark, sf_dir).silver, TRUNCATE_LEFT_WORDS))
-    return e.select("document", F.array_join(F.col("pieces.label_id").cast("array<string>"), " ").alias("label_ids"),
-                    F.array_join(F.col("pieces.start").cast("array<string>"), " ").alias("starts"),
-                    F.array_join(F.col("pieces.end").cast("array<string>"), " ").alias("ends"),
-                    _long("length"), "target_num", "group")
+    return e.select("document", *_texts("pieces"), _long("length"), "target_num", "group")
 
 
 # ---- rules ----------------------------------------------------------------------------------
@@ -256,14 +265,13 @@ def q_argmax_label(spark, sf_dir):
 
 
 def q_ensemble_scores(spark, sf_dir):
-    fx = _fx(spark, sf_dir)
-    return rounded(ensemble_scores([(fx.scores, 1.0), (fx.scores_b, 2.0)]))
+    return rounded(ensemble_columns(_fx(spark, sf_dir).member_scores, {"a": 1.0, "b": 2.0}))
 
 
 def q_focal_loss(spark, sf_dir):
     fx = _fx(spark, sf_dir)
     labels = piece_labels(fx.pieces, fx.silver).select("document", "piece", label_id(F.col("label")).alias("label_id"))
-    return rounded(focal_loss(fx.scores, labels).select("loss", _long("n_rows")))
+    return rounded(focal_loss_logits(fx.logits, labels).select("loss", _long("n_rows")))
 
 
 def q_threshold_pick(spark, sf_dir):
@@ -284,18 +292,18 @@ def q_piece_labels(spark, sf_dir):
 def _decode(mode: int, threshold: float = DECODE_THRESHOLD, ignored: tuple[str, ...] = ()) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx = _fx(spark, sf_dir)
-        return rounded(decode(fx.cands, threshold, mode, ignored).select(*PRED_COLS))
+        return rounded(decode(fx.live(threshold), threshold, mode, ignored).select(*PRED_COLS))
     return run
 
 
 def q_decode_first_piece(spark, sf_dir):
-    w = sweep_words(_fx(spark, sf_dir).cands, THRESHOLDS)
+    w = sweep_words(_fx(spark, sf_dir).live(max(THRESHOLDS)), THRESHOLDS)
     return rounded(w.select("threshold", *PRED_COLS))
 
 
 def q_rules_plus_model(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    model = decode(fx.cands, DECODE_THRESHOLD, GATE_MODE, RULE_LABELS)
+    model = decode(fx.live(DECODE_THRESHOLD), DECODE_THRESHOLD, GATE_MODE, RULE_LABELS)
     rules = detect_rules(fx.scanned, fx.words)
     return rounded(rules_plus_model(model, rules).select(*PRED_COLS))
 
@@ -303,12 +311,12 @@ def q_rules_plus_model(spark, sf_dir):
 # ---- entities and metrics -------------------------------------------------------------------
 
 def _preds(fx: Fixture) -> DataFrame:
-    return decode(fx.cands, DECODE_THRESHOLD, GATE_MODE)
+    return decode(fx.live(DECODE_THRESHOLD), DECODE_THRESHOLD, GATE_MODE)
 
 
 def _pred_labels(fx: Fixture) -> DataFrame:
     """Predicted word labels only (no word strings or scores): what entity metrics need."""
-    ids = sweep_word_ids(fx.cands_sweep, [DECODE_THRESHOLD])
+    ids = sweep_word_ids(fx.live(DECODE_THRESHOLD, with_token_str=False), [DECODE_THRESHOLD])
     return repair_bio(ids.select("threshold", "document", "token", label_name(F.col("label_id")).alias("label")),
                       GATE_MODE)
 
@@ -357,7 +365,7 @@ def q_error_report(spark, sf_dir):
 
 def q_error_report_sweep(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    preds = repair_bio_modes(sweep_words(fx.cands, THRESHOLDS), RewriteMode.ALL)
+    preds = repair_bio_modes(sweep_words(fx.live(max(THRESHOLDS)), THRESHOLDS), RewriteMode.ALL)
     return rounded(error_report_sweep(fx.real, preds, THRESHOLDS, RewriteMode.ALL))
 
 
@@ -382,7 +390,7 @@ def _calibrate(mode: int, rules: bool = False) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx = _fx(spark, sf_dir)
         rule_hits = detect_rules(fx.scanned, fx.words) if rules else None
-        return rounded(calibrate(fx.cands_sweep, fx.silver, mode=mode, rules=rule_hits).select(*CAL_COLS))
+        return rounded(calibrate(fx.live(max(THRESHOLDS), with_token_str=False), fx.silver, mode=mode, rules=rule_hits).select(*CAL_COLS))
     return run
 
 
@@ -394,7 +402,7 @@ def q_quality_gate(spark, sf_dir):
     return quality_gate(q_best_threshold(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {
+QUERIES: dict[str, Query] = {name: owning(query) for name, query in {
     "corpus_load": q_corpus_load,
     "corpus_project": q_corpus_project,
     "corpus_renumber": q_corpus_renumber,
@@ -414,12 +422,15 @@ QUERIES: dict[str, Query] = {
     "doc_target_counts": q_doc_target_counts,
     "doc_piece_length": q_doc_piece_length,
     "filter_positive_docs": q_filter_positive_docs,
+    "positive_rows": q_positive_rows,
     "truncate_left": q_truncate_left,
     "truncate_right": q_truncate_right,
     "document_shift": q_document_shift,
     "double_truncate": q_double_truncate,
     "prepare_training_set": q_prepare_training_set,
     "training_examples": q_training_examples,
+    "training_set": q_training_set,
+    "training_set_all_corpora": q_training_set_all_corpora,
     "detect_emails": q_detect_emails,
     "detect_phones": q_detect_phones,
     "detect_rules": q_detect_rules,
@@ -454,5 +465,4 @@ QUERIES: dict[str, Query] = {
     "calibrate_with_rules": _calibrate(RewriteMode.REWRITE_STARTING_I, rules=True),
     "best_threshold": q_best_threshold,
     "quality_gate": q_quality_gate,
-}
-
+}.items()}

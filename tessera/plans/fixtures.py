@@ -7,6 +7,11 @@ computed until a query runs, and each query only pulls the parts it needs.
 
 from __future__ import annotations
 
+import functools
+import weakref
+from collections import Counter
+from collections.abc import Callable
+from contextvars import ContextVar
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -17,34 +22,64 @@ from ..operators.decode import candidates
 from ..operators.labels import silver_labels
 from ..operators.pieces import cut_pieces
 from ..operators.rules import detect_emails, detect_phones
-from ..operators.scoring import hash_logits, softmax_scores
+from ..operators.scoring import hash_logits, live_logits, softmax_scores
+from ..schema import LOGIT_COLS, PROB_COLS
 from ..operators.tokens import document_words, layout_by_document, tokenize_documents, with_char_spans
 from ..sources.corpus import head_fraction, renumber_chained
 from ..sources.tables import documents
 
 
-_held: list[tuple[str, DataFrame]] = []
+#: Tables cached for the query that is being built.
+_building: ContextVar[list[DataFrame] | None] = ContextVar("tables of the query", default=None)
+#: How many living results read a cached table (by application and plan).
+_readers: Counter = Counter()
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """Keep a table that one query reads more than once, until :func:`release`."""
-    _held.append((df.sparkSession.sparkContext.applicationId, df))
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _let_go(tables: list[tuple[tuple[str, int], DataFrame]]) -> None:
+    for name, df in tables:
+        _readers[name] -= 1
+        if _readers[name] <= 0:
+            del _readers[name]
+            if df.sparkSession.sparkContext._jsc is not None:  # a stopped session has let go already
+                df.unpersist()
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the tables held for the queries built before (they are recomputed if read again)."""
-    while _held:
-        app, df = _held.pop()
-        if app == spark.sparkContext.applicationId:
-            df.unpersist()
+def owning(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` whose cached tables live as long as its result, whatever other queries are built meanwhile.
+
+    A table that two living results read stays until both are gone. A frame derived from a result
+    whose result is gone computes the tables anew.
+    """
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _building.set([])
+        try:
+            result = query(spark, sf_dir)
+            tables = [((spark.sparkContext.applicationId, df.semanticHash()), df) for df in _building.get()]
+        finally:
+            _building.reset(token)
+        _readers.update(name for name, _ in tables)
+        if tables:
+            weakref.finalize(result, _let_go, tables).atexit = False
+        return result
+    return run
 
 
 class Fixture:
+    """The derivations of one query."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Cache a table that a query reads more than once; outside a query (no owner) it isn't cached."""
+        tables = _building.get()
+        if tables is None:
+            return df
+        tables.append(df)
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def docs(self) -> DataFrame:
         """``(document, text)``, laid out by document."""
@@ -73,7 +108,7 @@ class Fixture:
     def words(self) -> DataFrame:
         """``(document, token, word, trailing_whitespace, n_words, blank, prev_space,
         char_start, char_end)``."""
-        return hold(self.char_words)
+        return self.hold(self.char_words)
 
     @cached_property
     def char_words(self) -> DataFrame:
@@ -92,7 +127,7 @@ class Fixture:
     @cached_property
     def silver(self) -> DataFrame:
         """Words with their silver ``label``."""
-        return hold(silver_labels(self.words, self.phones))
+        return self.hold(silver_labels(self.words, self.phones))
 
     @cached_property
     def real(self) -> DataFrame:
@@ -114,18 +149,24 @@ class Fixture:
         return softmax_scores(self.logits)
 
     @cached_property
-    def scores_b(self) -> DataFrame:
-        """Second ensemble member (salted hash)."""
-        return softmax_scores(hash_logits(self.pieces, salt="b"))
+    def member_scores(self) -> DataFrame:
+        """Both ensemble members side by side on each piece: ``a_p0.. b_p0..`` (the second is salted)."""
+        raw = [f"{m}_{z}" for m in "ab" for z in LOGIT_COLS]
+        first, second = raw[:len(LOGIT_COLS)], raw[len(LOGIT_COLS):]
+        x = hash_logits(self.pieces, names=first, keep=("token", "word_label"))
+        x = hash_logits(x, salt="b", names=second, keep=first)
+        for m, names in (("a", first), ("b", second)):
+            x = softmax_scores(x, names, [f"{m}_{p}" for p in PROB_COLS])
+        return x
 
     @cached_property
     def cands(self) -> DataFrame:
+        """Every piece aligned to its word."""
         return candidates(self.scores, self.words)
 
-    @cached_property
-    def cands_sweep(self) -> DataFrame:
-        """Candidates for the threshold sweep (word strings are not carried)."""
-        return candidates(self.scores, self.words, with_token_str=False)
+    def live(self, threshold: float, with_token_str: bool = True) -> DataFrame:
+        """The candidates that can fire at thresholds up to ``threshold``: the others are dropped as logits."""
+        return candidates(softmax_scores(live_logits(self.logits, threshold)), self.words, with_token_str=with_token_str)
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -149,13 +190,6 @@ class Fixture:
         previous corpus."""
         return renumber_chained(self.doc_sources)
 
-    @cached_property
-    def loaded_cut(self) -> DataFrame:
-        """``(corpus, source_document, document)`` of the training job, which takes the leading
-        tenth of corpus 3 alone."""
-        return hold(renumber_chained(hold(self.loaded_raw.select("document", "corpus"))).select(
-            "corpus", "source_document", "document"))
-
     @cached_property
     def loaded_raw(self) -> DataFrame:
         """The corpora of the training job before renumbering: 0-2 whole, 3 cut."""

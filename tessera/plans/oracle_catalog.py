@@ -108,42 +108,58 @@ def _focal() -> str:
     ], "SELECT round(coalesce(avg(loss), 0.0), 6) AS loss, CAST(count(*) AS BIGINT) AS n_rows FROM fl2")
 
 
-def _prepare() -> str:
-    ctes = CORPORA + [
+def _plan_ctes(extras: tuple[int, ...] = (1,), double: bool = True, positives_only: bool = True) -> list[tuple[str, str]]:
+    """The rows of a training set: ``tplan`` (split, origin, source_document, document, skip, n_words, target_num, group)."""
+    cut = f"greatest(s.n_words - {TRUNCATE_LEFT_WORDS}, 0)"
+    full = """SELECT 'train' AS split, 'base_full' AS origin, document AS source_document, document, false AS cut
+              FROM i42 WHERE fold <> 5 UNION ALL """ if double else ""
+    wanted = """WHERE "group" = 1 OR origin IN ('val', 'extra')""" if positives_only else ""
+    return CORPORA + [
         ("base_docs", "SELECT document FROM renum WHERE corpus = 0"),
         ("o77", f"SELECT document, ntile(10) OVER (ORDER BY {_pos(77)}) - 1 AS fold FROM base_docs"),
         ("i42", f"SELECT document, ntile(10) OVER (ORDER BY {_pos(42)}) - 1 AS fold FROM o77 WHERE fold <> 9"),
-        ("train_docs", "SELECT document FROM i42 WHERE fold <> 5"),
-        ("final_off", "SELECT max(document) + 1 AS o FROM renum"),
-        ("bw", "SELECT s.* FROM silver s WHERE s.document IN (SELECT document FROM train_docs)"),
-        ("bw_cut", f"""SELECT document + (SELECT o FROM final_off) AS document, label FROM bw
-                       WHERE token >= greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0)"""),
-        ("base_full", COUNTS.format(src="bw")),
-        ("base_cut", COUNTS.format(src="bw_cut")),
-        ("ew", f"""SELECT r.document, s.label FROM silver s JOIN renum r ON r.source_document = s.document
-                   WHERE r.corpus = 1 AND s.token >= greatest(s.n_words - {TRUNCATE_LEFT_WORDS}, 0)"""),
-        ("extra", COUNTS.format(src="ew")),
-        ("final", """SELECT 'base_full' AS origin, * FROM base_full WHERE "group" = 1
-                     UNION ALL SELECT 'base_cut', * FROM base_cut WHERE "group" = 1
-                     UNION ALL SELECT 'extra', * FROM extra"""),
+        ("tcopies", f"""{full}SELECT 'train' AS split, 'base_cut' AS origin, document AS source_document,
+                       document + (SELECT max(document) + 1 FROM renum) AS document, true AS cut FROM i42 WHERE fold <> 5
+                     UNION ALL SELECT 'val', 'val', document, document, true FROM i42 WHERE fold = 5
+                     UNION ALL SELECT 'train', 'extra', source_document, document, true FROM renum
+                               WHERE corpus IN ({", ".join(map(str, extras))})"""),
+        ("tsized", f"""SELECT c.split, c.origin, c.source_document, c.document, c.cut,
+                        CAST(count(s.token) AS INTEGER) AS n_words,
+                        CAST(count(s.token) FILTER (WHERE s.label <> 'O') AS INTEGER) AS target_num,
+                        CASE WHEN count(s.token) FILTER (WHERE s.label <> 'O') > 0 THEN 1 ELSE 0 END AS "group"
+                      FROM tcopies c LEFT JOIN silver s ON s.document = c.source_document
+                        AND (NOT c.cut OR s.token >= {cut}) GROUP BY ALL"""),
+        ("tplan", f"""SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY {_pos(42)}) - 1 AS BIGINT) AS position
+                      FROM tsized {wanted}"""),
     ]
-    return with_chain(ctes, f"""SELECT origin, document,
-        CAST(row_number() OVER (ORDER BY {_pos(42)}) - 1 AS BIGINT) AS position, n_words, target_num, "group"
-        FROM final""")
 
 
-def _examples() -> str:
-    skip = f"greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0)"
+def _prepare() -> str:
+    return with_chain(_plan_ctes(), """SELECT origin, document, position, n_words, target_num, "group"
+        FROM tplan WHERE split = 'train'""")
+
+
+def _training_set(**settings) -> str:
+    words = f"""SELECT p.document, s.token, s.n_words, s.word, s.blank, s.label, s.trailing_whitespace, s.prev_space,
+                       s.char_start, s.char_end, CASE WHEN p.cut THEN greatest(s.n_words - {TRUNCATE_LEFT_WORDS}, 0) ELSE 0 END AS skip
+                FROM silver s JOIN tplan p ON p.source_document = s.document"""
+    return with_chain(_plan_ctes(**settings) + _example_ctes(words), """SELECT split, origin, tx.document, position, label_ids, starts,
+        ends, length, n_words, target_num, "group" FROM tx JOIN tplan ON tx.document = tplan.document""")
+
+
+def _example_ctes(words: str) -> list[tuple[str, str]]:
+    """``tx``: the pieces of each example as text, from ``words`` with the number of words to ``skip``."""
     last = TRAIN_MAX_PIECES - 1
     label = """CASE WHEN start < char_end AND (NOT blank OR start + 1 < char_end) THEN label
                     WHEN start < char_end AND trailing_whitespace THEN 'O' ELSE coalesce(next_label, 'O') END"""
-    return with_chain([
-        ("tw", f"""SELECT document, token - {skip} AS token, least(n_words, {TRUNCATE_LEFT_WORDS}) AS n_words, blank, label,
-                     trailing_whitespace, prev_space AND token > {skip} AS prev_space,
+    return [
+        ("te", words),
+        ("tw", """SELECT document, token - skip AS token, n_words - skip AS n_words, blank, label,
+                     trailing_whitespace, prev_space AND token > skip AS prev_space,
                      CASE WHEN blank THEN 0 ELSE CAST(ceil(length(word) / 4.0) AS INTEGER) END AS k,
                      char_start - min(char_start) OVER (PARTITION BY document) AS char_start,
                      char_end - min(char_start) OVER (PARTITION BY document) AS char_end
-                   FROM silver WHERE token >= {skip}"""),
+                   FROM te WHERE token >= skip"""),
         ("tc", f"""SELECT *, CAST(sum(k) OVER (PARTITION BY document ORDER BY token {RUNNING}) AS INTEGER) - k AS before,
                      lead(label) OVER (PARTITION BY document ORDER BY token) AS next_label FROM tw"""),
         ("tr", "SELECT document, before, char_start, char_end, prev_space, unnest(range(k)) AS j FROM tc WHERE k > 0"),
@@ -156,8 +172,14 @@ def _examples() -> str:
         ("tx", f"""SELECT document, string_agg(CAST(list_position({LABEL_LIST}, label) - 1 AS VARCHAR), ' ' ORDER BY piece) AS label_ids,
                      string_agg(CAST(start AS VARCHAR), ' ' ORDER BY piece) AS starts,
                      string_agg(CAST("end" AS VARCHAR), ' ' ORDER BY piece) AS ends, count(*) AS length FROM tl GROUP BY document"""),
-        ("tn", COUNTS.format(src="tw")),
-    ], """SELECT tx.*, target_num, "group" FROM tx JOIN tn ON tx.document = tn.document""")
+    ]
+
+
+def _examples() -> str:
+    words = f"""SELECT document, token, n_words, word, blank, label, trailing_whitespace, prev_space, char_start, char_end,
+                       greatest(n_words - {TRUNCATE_LEFT_WORDS}, 0) AS skip FROM silver"""
+    return with_chain(_example_ctes(words) + [("tn", COUNTS.format(src="tw"))],
+                      """SELECT tx.*, target_num, "group" FROM tx JOIN tn ON tx.document = tn.document""")
 
 
 def _piece_metrics() -> str:
@@ -252,6 +274,10 @@ ORACLE: dict[str, str] = {
     ], "SELECT 'full' AS copy, * FROM full_c UNION ALL SELECT 'cut', * FROM cut_c"),
     "prepare_training_set": _prepare(),
     "training_examples": _examples(),
+    "training_set": _training_set(),
+    "training_set_all_corpora": _training_set(extras=(1, 2, 3), double=False, positives_only=False),
+    "positive_rows": with_chain([], """SELECT document, token, word AS token_value, label FROM silver
+        WHERE document IN (SELECT document FROM silver WHERE label <> 'O')"""),
     "detect_emails": with_chain([], f"""SELECT document, token, 'B-EMAIL' AS label, word AS token_str, 1.0 AS score
         FROM words WHERE regexp_full_match(word, {q(EMAIL_PATTERN)})"""),
     "detect_phones": with_chain([], """SELECT p.document, p.token, p.label, w.word AS token_str, 1.0 AS score

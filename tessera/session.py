@@ -39,18 +39,28 @@ def build_session(master: str | None = None, app: str = "tessera",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    apply_conf(spark)
+    for k, v in settings.items():  # of a session that was there before
+        if spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
     return spark
 
 
-def apply_conf(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to an existing session (e.g. one the driver made)."""
-    for k, v in DEFAULT_CONF.items():
-        if k.startswith("spark.sql."):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # pragma: no cover - static conf on some deployments
-                pass
+def configured(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the library's SQL settings; the caller's stays as it is.
+
+    A session that has them already is used as it is. Settings the caller made for shuffles, broadcasts and
+    files are taken over.
+    """
+    wanted = {k: v for k, v in DEFAULT_CONF.items() if k.startswith("spark.sql.")}
+    if all(spark.conf.get(k, None) == v for k, v in wanted.items()):
+        return spark
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    for k, v in wanted.items():
+        own.conf.set(k, v)
+    return own
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

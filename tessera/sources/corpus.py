@@ -5,13 +5,14 @@ A corpus is ``(document, full_text, tokens, trailing_whitespace, provided_labels
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.splits import positions, range_bucket
+from ..operators.splits import chained_offsets, positions, range_bucket
 
 RAW_SCHEMA = T.StructType([
     T.StructField("document", T.LongType()),
@@ -23,16 +24,52 @@ RAW_SCHEMA = T.StructType([
 CORPUS_COLS = ("document", "full_text", "tokens", "trailing_whitespace", "provided_labels")
 
 
-def load_corpus_json(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+def load_corpus_json(spark: SparkSession, path: str, json_lines: bool = False, split: bool = True) -> DataFrame:
     """Read raw corpus files with an explicit schema (no inference).
 
-    A file holding one JSON array is read with ``multiLine`` (one task per file, so ingest
-    once and keep parquet); JSON Lines split across tasks.
+    JSON Lines split across tasks by themselves. A file holding one JSON array is cut into records by
+    :func:`array_records`, so many tasks read one file; ``split=False`` reads each file in one task.
     """
     reader = spark.read.schema(RAW_SCHEMA)
-    if not json_lines:
-        reader = reader.option("multiLine", True)
-    return reader.json(path)
+    if json_lines:
+        return reader.json(path)
+    if not split:
+        return reader.option("multiLine", True).json(path)
+    parsed = F.from_json("record", RAW_SCHEMA, {"mode": "FAILFAST"})
+    return array_records(spark, path, RAW_SCHEMA.fieldNames()).select(parsed.alias("r")).select("r.*")
+
+
+def array_records(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """``(record)``: the text of each object of files that hold one JSON array of flat objects.
+
+    The files are read as text cut at ``{``, which Spark splits by byte ranges. A piece opens a record if it
+    begins with one of the record's ``fields`` as a key: a quote inside a JSON string is escaped, so no text can
+    look like that. Any other piece follows a brace inside a string and is glued to the record that it belongs to,
+    also across the ranges; a range's pieces are numbered by its own task, and only one row per range is
+    ordered over the file. Fails on text before the first record that isn't an opening bracket.
+    """
+    keys = "|".join(re.escape(f) for f in fields)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"))
+    pieces = spark.read.option("lineSep", "{").text(path).select(place.alias("p"), F.monotonically_increasing_id().alias("n"), "value")
+    pieces = pieces.select("p.file", "p.range", "n", "value", F.col("value").rlike(rf'^\s*"(?:{keys})"\s*:').alias("opens"))
+    order = Window.partitionBy("file", "range").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = pieces.withColumn("record_no", F.sum(F.col("opens").cast("long")).over(order))
+    ranges = numbered.groupBy("file", "range").agg(F.max("record_no").alias("last"))
+    earlier = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    owner = F.last(F.when(F.col("last") > 0, F.struct("range", "last")), ignorenulls=True).over(earlier)
+    owned = numbered.join(ranges.select("file", "range", owner.alias("owner")), ["file", "range"])
+    late = (F.col("record_no") == 0)
+    glued = owned.select(
+        "file", F.when(late, F.col("owner.range")).otherwise(F.col("range")).alias("of_range"),
+        F.when(late, F.col("owner.last")).otherwise(F.col("record_no")).alias("no"), "range", "n", "value")
+    whole = glued.groupBy("file", "of_range", "no").agg(F.array_sort(F.collect_list(F.struct("range", "n", "value"))).alias("parts"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform("parts", lambda x: x["value"]), "{"))
+    head = F.array_join(F.transform("parts", lambda x: x["value"]), "{")
+    stray = F.raise_error(F.concat(F.lit("not a JSON array of objects: "), F.substring(head, 1, 60)))
+    # Before the first record there is a bracket alone; after each a comma or the closing bracket.
+    record = F.when(F.col("no").isNotNull(), F.regexp_replace(text, r"[\s,\]]+$", "")).when(
+        head.rlike(r"^\x{FEFF}?\s*(\[\s*(\]\s*)?)?$"), F.lit(None)).otherwise(stray)
+    return whole.select(record.alias("record")).where("record is not null")
 
 
 def corpus_project(raw: DataFrame) -> DataFrame:
@@ -95,22 +132,3 @@ def corpus_union(corpora: Sequence[DataFrame]) -> DataFrame:
     for c in corpora[1:]:
         out = out.unionByName(c.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in first.schema.fields]))
     return out
-
-
-def chained_offsets(counts: DataFrame) -> DataFrame:
-    """Offsets of corpora loaded one after another.
-
-    ``counts``: ``(corpus, n, max_id)`` per corpus (corpus 0 keeps its ids). Corpus ``i > 0``
-    is renumbered from ``offset_i = previous max + 1``; the table gives ``offset`` per corpus
-    and ``next_offset`` (the id after the last corpus). Tiny (one row per corpus).
-    """
-    w = Window.orderBy("corpus").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.first(F.when(F.col("corpus") == 0, F.col("max_id") + 1), ignorenulls=True).over(
-        Window.orderBy("corpus").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    extra_before = F.coalesce(F.sum(F.when(F.col("corpus") > 0, F.col("n"))).over(w), F.lit(0))
-    out = counts.withColumn("_base", base).withColumn(
-        "offset", F.when(F.col("corpus") == 0, F.lit(0)).otherwise(F.col("_base") + extra_before).cast("long"))
-    return out.withColumn(
-        "next_offset",
-        F.when(F.col("corpus") == 0, F.col("max_id") + 1).otherwise(F.col("offset") + F.col("n")).cast("long"),
-    ).select("corpus", "n", "offset", "next_offset")

@@ -26,6 +26,25 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
     df.sortWithinPartitions(*partition_by, *sort_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, partition_by: tuple[str, ...] = ("threshold",), buckets: int = 32,
+                   bucket_by: str = "document", sort_by: tuple[str, ...] = ("document", "token")) -> None:
+    """Result sink as a table of the catalog: bucketed by document, sorted inside a bucket, partitioned by, say,
+    threshold.
+
+    A run replaces the partitions that it holds and no others, so a threshold can be run again alone. Joins of such
+    tables by document read co-located buckets: no exchange. Rows are dealt by bucket before writing, so each
+    bucket of a partition is one file. The first run makes the table; later ones must have its columns.
+    """
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, bucket_by)
+    if not spark.catalog.tableExists(table):
+        (dealt.write.partitionBy(*partition_by).bucketBy(buckets, bucket_by).sortBy(*sort_by)
+         .option("partitionOverwriteMode", "dynamic").format("parquet").saveAsTable(table))
+        return
+    columns = spark.table(table).columns
+    dealt.select(*columns).write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+
+
 def documents(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (),
               laid_out: bool = True) -> DataFrame:
     """``documents`` as ``(document, text, *extra)``, hash-partitioned on document."""

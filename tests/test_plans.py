@@ -1,6 +1,8 @@
 """Whole-pipeline checks on the smallest driver table set (sf0.001)."""
 
+import gc
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +13,16 @@ from tessera.operators.calibrate import calibrate
 from tessera.operators.decode import decode_sweep
 from tessera.operators.entities import count_matches, entity_match, entity_spans
 from tessera.operators.calibrate import per_threshold
+from tessera.operators import labels
+from tessera.operators.labels import class_encode, join_encode, label_encode, label_vocab
+from tessera.operators.scoring import live_logits, softmax_scores, with_argmax
 from tessera.operators.splits import RANGE_BUCKETS, positions, range_bucket
 from tessera.operators.tokens import corpus_words
+from tessera.plans import fixtures
 from tessera.plans.catalog import QUERIES
 from tessera.plans.fixtures import Fixture
 from tessera.plans.oracle_catalog import ORACLE
-from tessera.schema import THRESHOLDS, RewriteMode
+from tessera.schema import LOGIT_COLS, O_ID, THRESHOLDS, RewriteMode
 from tessera.sources.corpus import corpus_project, corpus_union, load_corpus_json, renumber
 
 
@@ -36,13 +42,13 @@ def _dense_calibration(fx, mode):
 
 @pytest.mark.parametrize("mode", RewriteMode.ALL)
 def test_sweep_equals_dense_path(fx, mode):
-    fast = {r.threshold: (r.tp, r.n_pred, r.n_true) for r in calibrate(fx.cands_sweep, fx.silver, mode=mode).collect()}
+    fast = {r.threshold: (r.tp, r.n_pred, r.n_true) for r in calibrate(fx.live(max(THRESHOLDS), False), fx.silver, mode=mode).collect()}
     assert fast == _dense_calibration(fx, mode)
 
 
 def test_modes_0_and_1_score_alike(fx):
-    a = calibrate(fx.cands_sweep, fx.silver, mode=0).orderBy("threshold").collect()
-    b = calibrate(fx.cands_sweep, fx.silver, mode=1).orderBy("threshold").collect()
+    a = calibrate(fx.live(max(THRESHOLDS), False), fx.silver, mode=0).orderBy("threshold").collect()
+    b = calibrate(fx.live(max(THRESHOLDS), False), fx.silver, mode=1).orderBy("threshold").collect()
     assert [(r.tp, r.n_pred, r.f5) for r in a] == [(r.tp, r.n_pred, r.f5) for r in b]
 
 
@@ -107,7 +113,7 @@ def _plan(df):
 
 
 def test_no_single_partition_exchange(fx):
-    for df in (calibrate(fx.cands_sweep, fx.silver, mode=2), decode_sweep(fx.cands, THRESHOLDS, 1)):
+    for df in (calibrate(fx.live(max(THRESHOLDS), False), fx.silver, mode=2), decode_sweep(fx.cands, THRESHOLDS, 1)):
         assert "SinglePartition" not in _plan(df)
 
 
@@ -115,3 +121,83 @@ def test_scan_prunes_columns(spark):
     df = entry.queries()["kfold_split"](spark, SF_SMALL)
     plan = _plan(df)
     assert "ReadSchema: struct<doc_id:bigint>" in plan or "struct<doc_id:bigint>" in plan
+
+
+def test_pieces_that_cannot_fire_are_dropped_below_the_alignment(spark, fx):
+    """The test on logits stands under the window that aligns and sorts; it drops most pieces."""
+    lines = _plan(fx.live(0.25)).splitlines()
+    window = next(i for i, line in enumerate(lines) if "Window [last(" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|*()0123456789"))
+    below = [line for line in lines[window + 1:] if depth(line) > depth(lines[window])]
+    assert any("Filter" in line and "EXP(" in line for line in below)
+    every, live = fx.cands.count(), fx.live(0.25).count()
+    fires = fx.cands.where(f"l_all <> {O_ID} or p_o < 0.25").count()
+    assert fires == live < every / 2
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.25, 0.5, 0.75, 1.0])
+def test_live_pieces_are_those_that_can_fire(spark, threshold):
+    rng = random.Random(3)
+    rows = [[rng.choice([0.0, 1.0, 2.0, 5.0, -3.0, 600.0, -700.0]) + rng.choice([0.0, rng.random()]) for _ in range(13)] for _ in range(3000)]
+    z = spark.createDataFrame([(0, i, *r) for i, r in enumerate(rows)], "document long, piece int, " + ", ".join(f"{c} double" for c in LOGIT_COLS))
+    scored = with_argmax(softmax_scores(z)).where(f"l_all <> {O_ID} or p_o < {threshold}")
+    kept = {r.piece for r in live_logits(z, threshold).collect()}
+    fires = {r.piece for r in scored.collect()}
+    assert fires <= kept and len(kept - fires) <= 3 + (threshold == 1.0) * len(rows)
+
+
+def test_codes_need_no_exchange_by_label(spark):
+    rows = spark.createDataFrame([(i, "O" if i % 3 else f"L{i % 5}") for i in range(50)] + [(99, None)], "document long, label string")
+    vocab = label_vocab(rows)
+    got = label_encode(rows, vocab)
+    assert "Join" not in _plan(got)
+    codes = {r.label: r.label_id for r in vocab.collect()}
+    assert all(r.label_id == codes.get(r.label) for r in got.collect()) and got.count() == 51
+    with pytest.raises(Exception, match="unknown label: L"):
+        label_encode(rows, vocab.where("label = 'O'")).collect()
+    both = class_encode(rows, "label").join(join_encode(rows, "label").withColumnRenamed("label_code", "other"), "document")
+    assert "Join" not in _plan(class_encode(rows, "label")) and both.where("not label_code <=> other").isEmpty()
+
+
+def test_too_large_a_vocabulary_raises(spark, monkeypatch):
+    monkeypatch.setattr(labels, "DICTIONARY_MAX", 3)
+    rows = spark.createDataFrame([(i, f"L{i}") for i in range(5)], "document long, label string")
+    with pytest.raises(Exception, match="too large for a dictionary: 5"):
+        class_encode(rows, "label").collect()
+
+
+def test_cached_tables_belong_to_their_query(spark):
+    a = QUERIES["label_encode"](spark, SF_SMALL)
+    cached = lambda: "InMemoryTableScan" in _plan(a.select("*"))
+    assert cached()
+    b = QUERIES["detect_rules"](spark, SF_SMALL)
+    c = QUERIES["label_encode"](spark, SF_SMALL)
+    assert cached()
+    del b, c
+    gc.collect()
+    assert cached() and a.count() > 0
+    del a
+    gc.collect()
+    assert not fixtures._readers
+
+
+def test_queries_leave_the_callers_session_alone(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    own.conf.set("spark.sql.shuffle.partitions", "3")
+    df = QUERIES["kfold_split"](own, SF_SMALL)
+    assert own.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert df.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false" and df.count() == 200
+
+
+def test_training_set_plan_is_small(spark):
+    plan = _plan(QUERIES["training_set"](spark, SF_SMALL))
+    outer, hidden = 0, None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = depth if "InMemoryRelation" in line else None
+        outer += "Exchange" in line
+    assert outer < 20
