@@ -49,7 +49,9 @@ def hash_logits(pieces: DataFrame, label_col: str = "word_label", salt: str | No
         if i == O_ID:
             z = z + F.lit(2.0)
         zs.append(z.alias(names[i]))
-    return h.select("document", "piece", *carried, *zs)
+    # As from a generator, the logits are values to whatever comes next: no later filter or projection is
+    # rewritten in terms of the hash.
+    return h.select("document", "piece", *carried, F.inline(F.array(F.struct(*zs))))
 
 
 def softmax_scores(logits: DataFrame, names: Sequence[str] = LOGIT_COLS, out: Sequence[str] = PROB_COLS) -> DataFrame:
@@ -199,22 +201,31 @@ def ensemble_scores(members: Sequence[tuple[DataFrame, float]]) -> DataFrame:
 def ensemble_columns(scores: DataFrame, members: Mapping[str, float]) -> DataFrame:
     """Weighted mean of several models whose probabilities stand side by side on one piece row.
 
-    ``members`` maps a column prefix to a weight: model ``x`` has the columns ``x_p0..x_p12``. The terms are added in
-    the order of the prefixes, so the result doesn't depend on the order of the members, and no row is
-    shuffled. Output ``(document, piece, p0..p12)``.
+    ``members`` maps a column to a weight: the column holds a model's probabilities as an array (:func:`side_by_side`).
+    The terms are added in the order of the column names, so the result doesn't depend on the order of
+    the members, and no row is shuffled. Output ``(document, piece, p0..p12)``.
     """
     if not members:
         raise ValueError("an ensemble needs a member")
     order = sorted(members)
     total = float(sum(members[m] for m in order))
 
-    def mean(column: str) -> Column:
-        out = F.col(f"{order[0]}_{column}") * F.lit(float(members[order[0]]))
+    def mean(i: int) -> Column:
+        out = F.col(order[0])[i] * F.lit(float(members[order[0]]))
         for m in order[1:]:
-            out = out + F.col(f"{m}_{column}") * F.lit(float(members[m]))
+            out = out + F.col(m)[i] * F.lit(float(members[m]))
         return out / F.lit(total)
 
-    return scores.select("document", "piece", *[mean(c).alias(c) for c in PROB_COLS])
+    return scores.select("document", "piece", *[mean(i).alias(c) for i, c in enumerate(PROB_COLS)])
+
+
+def side_by_side(scores: DataFrame, member: str) -> DataFrame:
+    """``scores`` with the columns ``p0..p12`` folded into one array column ``member``.
+
+    The array comes from a generator, so that a member's softmax is done before the next one's begins and
+    isn't merged with what reads it.
+    """
+    return scores.select(*[c for c in scores.columns if c not in PROB_COLS], F.explode(F.array(F.array(*PROB_COLS))).alias(member))
 
 
 def _focal(p_y: Column, log_p_y: Column, miss: Column, y: Column, gamma: float, alpha: Sequence[float] | None) -> Column:

@@ -16,7 +16,7 @@ from ..functions.bio import label_id, label_name
 from ..operators.calibrate import best_threshold, calibrate, quality_gate
 from ..operators.decode import (PRED_COLS, decode, repair_bio, repair_bio_modes, rules_plus_model, sweep_word_ids,
                                 sweep_words, threshold_pick)
-from ..operators.entities import (align_real_pred, entity_f5_by_type, entity_f5_micro, entity_match,
+from ..operators.entities import (align_real_pred, align_real_pred_sweep, entity_f5_by_type, entity_f5_micro, entity_match,
                                   entity_spans, error_report, error_report_sweep, label_sequences, piece_metrics)
 from ..operators.labels import class_encode, doc_target_counts, label_encode, label_vocab
 from ..operators.pieces import piece_labels, truncate_right
@@ -45,10 +45,14 @@ def _fx(spark: SparkSession, sf_dir: str) -> Fixture:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (engines differ in the last bits of exp / sums)."""
-    cols = [F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
-            for f in df.schema.fields]
-    return df.select(*cols)
+    """Round every double column (engines differ in the last bits of exp / sums), halves up.
+
+    By scaling, as the other engine does: no decimal is built for every value.
+    """
+    scale = F.lit(float(10 ** digits))
+    half_up = lambda c: F.floor(F.col(c) * scale + F.lit(0.5)).cast("double") / scale
+    return df.select(*[half_up(f.name).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+                       for f in df.schema.fields])
 
 
 def _long(c: str) -> F.Column:
@@ -355,6 +359,15 @@ def q_label_sequences(spark, sf_dir):
                     F.array_join("labels_pred", " ").alias("labels_pred"))
 
 
+def q_label_sequences_sweep(spark, sf_dir):
+    """True and predicted label lists of every document at every rewrite mode and threshold."""
+    fx = _fx(spark, sf_dir)
+    preds = repair_bio_modes(sweep_words(fx.live(max(THRESHOLDS)), THRESHOLDS), RewriteMode.ALL)
+    s = label_sequences(align_real_pred_sweep(fx.real, preds, THRESHOLDS, RewriteMode.ALL), ("mode", "threshold"))
+    return s.select("mode", "threshold", "document", F.size("labels_real").cast("long").alias("n_tokens"),
+                    F.array_join("labels_real", " ").alias("labels_real"), F.array_join("labels_pred", " ").alias("labels_pred"))
+
+
 def q_align_real_pred(spark, sf_dir):
     return rounded(_aligned(_fx(spark, sf_dir)))
 
@@ -454,6 +467,7 @@ QUERIES: dict[str, Query] = {name: owning(query) for name, query in {
     "entity_f5_micro": q_entity_f5_micro,
     "entity_f5_by_type": q_entity_f5_by_type,
     "label_sequences": q_label_sequences,
+    "label_sequences_sweep": q_label_sequences_sweep,
     "align_real_pred": q_align_real_pred,
     "error_report": q_error_report,
     "error_report_sweep": q_error_report_sweep,

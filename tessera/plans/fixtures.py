@@ -22,8 +22,7 @@ from ..operators.decode import candidates
 from ..operators.labels import silver_labels
 from ..operators.pieces import cut_pieces
 from ..operators.rules import detect_emails, detect_phones
-from ..operators.scoring import hash_logits, live_logits, softmax_scores
-from ..schema import LOGIT_COLS, PROB_COLS
+from ..operators.scoring import hash_logits, live_logits, side_by_side, softmax_scores
 from ..operators.tokens import document_words, layout_by_document, tokenize_documents, with_char_spans
 from ..sources.corpus import head_fraction, renumber_chained
 from ..sources.tables import documents
@@ -150,14 +149,10 @@ class Fixture:
 
     @cached_property
     def member_scores(self) -> DataFrame:
-        """Both ensemble members side by side on each piece: ``a_p0.. b_p0..`` (the second is salted)."""
-        raw = [f"{m}_{z}" for m in "ab" for z in LOGIT_COLS]
-        first, second = raw[:len(LOGIT_COLS)], raw[len(LOGIT_COLS):]
-        x = hash_logits(self.pieces, names=first, keep=("token", "word_label"))
-        x = hash_logits(x, salt="b", names=second, keep=first)
-        for m, names in (("a", first), ("b", second)):
-            x = softmax_scores(x, names, [f"{m}_{p}" for p in PROB_COLS])
-        return x
+        """Both ensemble members side by side on each piece, as arrays ``a`` and ``b`` (the second is salted)."""
+        x = hash_logits(self.pieces, keep=("token", "word_label"))
+        x = side_by_side(softmax_scores(x), "a")
+        return side_by_side(softmax_scores(hash_logits(x, salt="b", keep=("a",))), "b")
 
     @cached_property
     def cands(self) -> DataFrame:

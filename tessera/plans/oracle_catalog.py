@@ -66,7 +66,32 @@ PIECE_LABELS = [
                         UNION ALL SELECT document, piece, 'O' FROM pieces WHERE start + "end" = 0"""),
 ]
 
+def _member_sql(m: str, key: str) -> list[tuple[str, str]]:
+    """Probabilities of one ensemble member as a list per piece."""
+    z = ", ".join(f"CAST(('0x' || substr({m}h, {2 * i + 1}, 2)) AS INTEGER) / 32.0 + CASE WHEN y = {i} THEN 4.0 ELSE 0.0 END"
+                  + (" + 2.0" if i == O_ID else "") for i in range(NUM_LABELS))
+    return [(f"{m}z", f"SELECT document, piece, [{z}] AS z FROM (SELECT document, piece, md5({key}) AS {m}h, y FROM py)"),
+            (f"{m}e", f"SELECT document, piece, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM {m}z"),
+            (f"{m}p", f"SELECT document, piece, e, list_sum(e) AS s FROM {m}e")]
+
+
 GATE = _decode_ctes(1)
+#: The gate's word predictions at threshold 0.25 alone: no grid, no repeated chain.
+GATE_025 = [
+    ("pick1", f"""SELECT document, token, token_str, piece, CASE WHEN p_o < 0.25 THEN l_no ELSE l_all END AS lid,
+                    CASE WHEN p_o < 0.25 THEN p_no ELSE p_all END AS score FROM
+                    (SELECT document, token, token_str, piece, l_all, l_no, p_o, greatest({", ".join(f"p{i}" for i in range(NUM_LABELS))}) AS p_all,
+                       greatest({", ".join(f"p{i}" for i in range(NUM_LABELS) if i != O_ID)}) AS p_no FROM aligned)"""),
+    ("word1", f"""SELECT document, token, arg_min(token_str, piece) AS token_str, {LABEL_LIST}[arg_min(lid, piece) + 1] AS raw_label,
+                    arg_min(score, piece) AS score FROM pick1 WHERE lid <> {O_ID} GROUP BY document, token"""),
+    ("cont1", """SELECT *, COALESCE(lag(token) OVER d = token - 1 AND substr(lag(raw_label) OVER d, 3) = substr(raw_label, 3), false) AS cont
+                 FROM word1 WINDOW d AS (PARTITION BY document ORDER BY token)"""),
+    ("aligned_rp", """SELECT r.document, r.token, r.word AS token_value, r.label AS label_real,
+                        CASE WHEN p.raw_label IS NULL THEN 'O' WHEN substr(p.raw_label, 1, 1) = 'I' AND NOT p.cont
+                             THEN 'B-' || substr(p.raw_label, 3) ELSE p.raw_label END AS label_pred,
+                        p.token_str, round(p.score, 6) AS score
+                      FROM silver r LEFT JOIN cont1 p ON r.document = p.document AND r.token = p.token"""),
+]
 GATE_RULES = _decode_ctes(1, RULE_LABELS, rules=True)
 
 
@@ -201,6 +226,19 @@ def _piece_metrics() -> str:
     ], _metrics_sql("c", "entity_type"))
 
 
+def _sequences_sweep() -> str:
+    repaired = """CASE WHEN mode > 0 AND substr(raw_label, 1, 1) = 'I' AND NOT cont THEN 'B-' || substr(raw_label, 3)
+                       WHEN mode = 2 AND substr(raw_label, 1, 1) = 'B' AND cont THEN 'I-' || substr(raw_label, 3) ELSE raw_label END"""
+    return with_chain(GATE + [
+        ("modes", "SELECT * FROM (VALUES (0), (1), (2)) m(mode)"),
+        ("pm", f"SELECT mode, threshold, document, token, {repaired} AS label FROM cont CROSS JOIN modes"),
+    ], """SELECT g.mode, g.threshold, s.document, count(*) AS n_tokens, string_agg(s.label, ' ' ORDER BY s.token) AS labels_real,
+                 string_agg(coalesce(p.label, 'O'), ' ' ORDER BY s.token) AS labels_pred
+          FROM (SELECT mode, threshold FROM modes CROSS JOIN grid) g CROSS JOIN silver s
+          LEFT JOIN pm p ON p.mode = g.mode AND p.threshold = g.threshold AND p.document = s.document AND p.token = s.token
+          GROUP BY g.mode, g.threshold, s.document""")
+
+
 def _report_sweep() -> str:
     repaired = """CASE WHEN mode > 0 AND substr(raw_label, 1, 1) = 'I' AND NOT cont THEN 'B-' || substr(raw_label, 3)
                        WHEN mode = 2 AND substr(raw_label, 1, 1) = 'B' AND cont THEN 'I-' || substr(raw_label, 3) ELSE raw_label END"""
@@ -288,9 +326,12 @@ ORACLE: dict[str, str] = {
     "softmax_scores": with_chain([], f"SELECT document, piece, {RP} FROM scores"),
     "argmax_label": with_chain([], f"""SELECT document, piece, l_all, l_no, {LABEL_LIST}[l_all + 1] AS label_all,
         {LABEL_LIST}[l_no + 1] AS label_no FROM am"""),
-    "ensemble_scores": with_chain([], "SELECT a.document, a.piece, "
-                                  + ", ".join(f"round((a.p{i} * 1.0 + b.p{i} * 2.0) / 3.0, 6) AS p{i}" for i in range(NUM_LABELS))
-                                  + " FROM scores a JOIN scores_b b ON a.document = b.document AND a.piece = b.piece"),
+    "ensemble_scores": with_chain([("py", f"""SELECT document, token, piece, concat_ws(':', document, token, piece) AS k,
+                                                 list_position({LABEL_LIST}, word_label) - 1 AS y FROM pieces""")]
+                                  + _member_sql("a", "k") + _member_sql("b", "'b:' || k"),
+                                  "SELECT a.document, a.piece, "
+                                  + ", ".join(f"round((a.e[{i + 1}] / a.s * 1.0 + b.e[{i + 1}] / b.s * 2.0) / 3.0, 6) AS p{i}" for i in range(NUM_LABELS))
+                                  + " FROM ap a JOIN bp b ON a.document = b.document AND a.piece = b.piece"),
     "focal_loss": _focal(),
     "threshold_pick": with_chain([], "SELECT document, piece, CASE WHEN p_o < 0.25 THEN l_no ELSE l_all END AS label_id FROM am"),
     "align_pieces": with_chain([], "SELECT document, piece, token, token_str FROM aligned"),
@@ -316,8 +357,9 @@ ORACLE: dict[str, str] = {
     "label_sequences": with_chain(ENT, """SELECT document, CAST(count(*) AS BIGINT) AS n_tokens,
         string_agg(label_real, ' ' ORDER BY token) AS labels_real, string_agg(label_pred, ' ' ORDER BY token) AS labels_pred
         FROM aligned_rp GROUP BY document"""),
-    "align_real_pred": with_chain(ENT, "SELECT * FROM aligned_rp"),
-    "error_report": with_chain(ENT, "SELECT * FROM aligned_rp WHERE label_pred <> label_real AND label_real <> 'O'"),
+    "label_sequences_sweep": _sequences_sweep(),
+    "align_real_pred": with_chain(GATE_025, "SELECT * FROM aligned_rp"),
+    "error_report": with_chain(GATE_025, "SELECT * FROM aligned_rp WHERE label_pred <> label_real AND label_real <> 'O'"),
     "error_report_sweep": _report_sweep(),
     "piece_metrics": _piece_metrics(),
     "semi_join_test_docs": with_chain(SPLITS, """SELECT document, token, word AS token_value, label FROM silver

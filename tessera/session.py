@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     # instead of re-shuffling on every key. A single document is one input row, so the
     # largest co-partitioned group is bounded by one row's size.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # HotSpot leaves larger methods interpreted; beyond it a stage falls back to compiled expressions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
