@@ -47,8 +47,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """64-bit name of a row: a hash of its id and text. Repeated rows share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """Name of a row: two 64-bit hashes ``a`` and ``b`` of its id and text. Repeated rows share it."""
+    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("a"), F.xxhash64(F.col(text_col), F.col(id_col)).alias("b"))
 
 
 def hash60(key: Column, part: int = 0) -> Column:

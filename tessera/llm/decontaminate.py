@@ -112,7 +112,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     widths = sorted(r[0] for r in shingles.select(F.least("len", F.lit(SHINGLE))).distinct().collect())
     find = find_tokens(bitmap(shingles, "token"), widths, size)
 
-    key = [row_key(id_col, text_col).alias("k1"), F.xxhash64(text_col, id_col).alias("k2")]
+    key = [row_key(id_col, text_col)["a"].alias("k1"), row_key(id_col, text_col)["b"].alias("k2")]
     found = docs.select(F.col(id_col).alias("id"), *key, find(F.col(text_col)).alias("f"))
     found = checkpoint(found.select("id", "k1", "k2", "f.*"))
     hits = found.select("k1", "k2", "n_words", F.explode(F.arrays_zip("pos", "token", "lead", "ctx")).alias("z")).select(
@@ -138,7 +138,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         F.array_sort(F.collect_set("item")).alias("items"))
     out = found.select("id", "k1", "k2", "n_words").join(words.join(of, ["k1", "k2"]), ["k1", "k2"], "left")
     none = F.array().cast("array<string>")
-    return out.select("id", F.col("k1").alias("key"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+    return out.select("id", F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")).alias("key"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                       F.coalesce("items", none).alias("items"), "spans")
 
 

@@ -167,7 +167,7 @@ def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> Dat
     classes is shuffled; counts are folded before the shuffle.
     """
     at = nodes.join(classes.select("node", "tk"), "node")
-    asked = texts.where(in_bitmap(bitmap(at, "tk"), F.col("tk")))
+    asked = texts.where(in_bitmap(bitmap(at, "tk.a"), F.col("tk.a")))
     full = asked.groupBy("tk").agg(F.first("text").alias("text")).join(at, "tk")
     each = full.select("node", "comp", "n", F.explode(shingles_of("text")).alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
         return p.join(classes.select(F.col("node").alias(side), F.col("tk").alias(f"tk_{side}")), side)
 
     met = checkpoint(with_key(with_key(pairs, "a"), "b").select("a", "b", "tk_a", "tk_b"))
-    near = texts.where(in_bitmap(bitmap(met, "tk_a") | bitmap(met, "tk_b"), F.col("tk")))
+    near = texts.where(in_bitmap(bitmap(met, "tk_a.a") | bitmap(met, "tk_b.a"), F.col("tk.a")))
     b = met.join(near.select(F.col("tk").alias("tk_b"), F.col("text").alias("text_b")), "tk_b")
     both = b.join(near.select(F.col("tk").alias("tk_a"), F.col("text").alias("text_a")), "tk_a")
     return both.where(similar("text_a", "text_b")).select("a", "b")

@@ -367,6 +367,20 @@ def test_token_counts_by_brute_force(spark):
     assert token_count.LongestMatch(tokens).count(b"az") == 1
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark, folder):
+    data = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 2), (1, "another text", "en", "s", 3),
+            (2, "", "en", "s", 4), (2, "", "en", None, 5), (None, None, None, None, 6), (None, None, None, None, 6), (3, LONG, "en", "s", 7)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, folder).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, {(d, t) for d, t, *_ in data}))
+
+
+def test_pipeline_shards_alone(spark, folder, docs):
+    got = corpus_pipeline.shard(spark, docs, folder).toPandas()
+    assert len(got) == len(rows()) and got.groupby(got.doc_id.fillna(-1)).shard.nunique().max() == 1
+    assert "grown_shard" not in got and got.shard.between(0, 15).all()
+
+
 def test_pipeline(spark, folder, docs):
     d = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
