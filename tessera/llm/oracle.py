@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import url_filter
 from tessera.llm.common import LOWER, UPPER
 
 _FOLD = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -51,6 +52,60 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM d JOIN g ON d.t = g.t
 """
 
+def _host(url: str) -> str:
+    return f"translate(coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _tags(tag: str, wanted: str, at: str) -> str:
+    quoted = [x.replace("'", "''") for x in (tag, wanted, at)]
+    return (f"list_transform(list_filter(regexp_extract_all(html, '{quoted[0]}'), lambda x: regexp_matches(x, '{quoted[1]}')), "
+            f"lambda x: regexp_extract(x, '{quoted[2]}', 1))")
+
+
+def url_verdicts(rules: list[tuple[str, str]]) -> str:
+    """The closure over alias links by recursion; dots are folded one at a time."""
+    values = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for v, r in rules)
+    return rf"""
+WITH RECURSIVE rules(rule_host, rule_path, rule, says) AS (VALUES {values}),
+l AS (
+  SELECT DISTINCT url a, {_host('url')} host, {_path('url')} path, regexp_replace(unnest(list_concat(
+    {_tags(url_filter.LINK, url_filter.IS_CANONICAL, url_filter.HREF)},
+    {_tags(url_filter.META, url_filter.IS_REFRESH, url_filter.TARGET)})), '&amp;', '&', 'gi') link
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+e AS (
+  SELECT a, CASE WHEN link = '' OR link LIKE '#%' THEN NULL WHEN regexp_matches(link, '(?i)^https?://') THEN link
+      WHEN link LIKE '//%' THEN 'x:' || link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN link LIKE '/%' THEN 'x://' || host || link WHEN link LIKE '?%' THEN 'x://' || host || path || link
+      ELSE 'x://' || host || CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '(?s)^(.*/)', 1) ELSE '/' END || link END b FROM l),
+u AS (
+  SELECT url, {_host('url')} host, {_path('url')} path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') query
+  FROM (SELECT url FROM pages UNION SELECT a FROM e UNION SELECT b FROM e) WHERE url IS NOT NULL),
+f AS (
+  SELECT url, host, CASE WHEN path = '' THEN '/' ELSE path END path, query, 0 step FROM u
+  UNION ALL
+  SELECT url, host, CASE WHEN regexp_matches(path, '/\.(/|$)') THEN regexp_replace(path, '/\.(/|$)', '/')
+      WHEN regexp_matches(path, '^/\.\.(/|$)') THEN regexp_replace(path, '^/\.\.(/|$)', '/')
+      ELSE regexp_replace(path, '/[^/]*/\.\.(/|$)', '/') END, query, step + 1
+  FROM f WHERE regexp_matches(path, '/\.\.?(/|$)')),
+n AS (SELECT url, arg_max(path, step) path, any_value(host) host, CASE WHEN any_value(host) <> '' THEN any_value(host) || arg_max(path, step) || any_value(query) END node
+      FROM f GROUP BY url),
+m AS (
+  SELECT u.url, arg_min(rule, (-length(rule), says, rule)) rule, arg_min(says, (-length(rule), says, rule)) says
+  FROM u JOIN rules ON ('.' || u.host) LIKE ('%.' || rule_host) AND starts_with(u.path, rule_path) WHERE u.host <> '' GROUP BY u.url),
+g AS (
+  SELECT x.node a, y.node b FROM e JOIN n x ON x.url = e.a JOIN n y ON y.url = e.b WHERE x.node IS NOT NULL AND y.node IS NOT NULL),
+d AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
+r(node, other) AS (SELECT node, node FROM n WHERE node IS NOT NULL UNION SELECT r.node, d.b FROM r JOIN d ON d.a = r.other),
+c AS (SELECT r.node, min(m.says) says FROM r JOIN n ON n.node = r.other JOIN m ON m.url = n.url GROUP BY r.node)
+SELECT page_id, {_host('p.url')} host, {_path('p.url')} path, m.rule, coalesce(m.says, c.says, 'allow') verdict
+FROM pages p LEFT JOIN m ON m.url = p.url LEFT JOIN n ON n.url = p.url LEFT JOIN c ON c.node = n.node
+"""
+
+
 _MIX = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END g,
@@ -129,6 +184,7 @@ QUALIFY row_number() OVER w <= 10
 """
 
 LLM_ORACLE: dict[str, str] = {
+    "op2_url_filter": url_verdicts([("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]),
     "op3_mixing": _MIX,
     "op4_chat": _CHAT,
     "op6_decontaminate": _CONTAMINATION,

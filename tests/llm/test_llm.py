@@ -16,7 +16,8 @@ import corpus_pipeline
 from tessera.llm import chat, decontaminate, exact_dedup, language, mixing, near_dup, sharding, token_count, url_filter
 from tessera.llm import toxicity
 from tessera.llm.components import connected_components
-from tessera.llm.queries import op1_sharding, op3_mixing, op9_exact_dedup
+from tessera.llm.oracle import LLM_ORACLE
+from tessera.llm.queries import op1_sharding, op2_url_filter, op3_mixing, op9_exact_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, shard string"
 LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(30_000))
@@ -110,6 +111,81 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
+def judged(spark, pages, rules):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: r.verdict for r in url_filter.judge(df, rules).collect()}
+
+
+@pytest.mark.parametrize("page,link,there,alias", [
+    ("http://c.com/y", "http://b.net", "http://b.net/", True),  # a home page with and without its slash
+    ("http://c.com/d/e/y", "../../x/./z/", "https://c.com/x/z/", True),
+    ("http://c.com/d/y", "../../../q", "http://c.com/q", True),
+    ("http://c.com/p", "?q=1", "http://c.com/p?q=1", True),
+    ("http://c.com", "?q=1", "http://c.com/?q=1", True),
+    ("http://c.com/p", "/a?x=1&amp;y=2", "http://c.com/a?x=1&y=2", True),
+    ("http://c.com/p#f", "http://C.COM/p2#g", "http://c.com/p2", True),
+    ("http://c.com/d/..", "z", "http://c.com/d/z", True),
+    ("http://c.com/p", "/a?x=1", "http://c.com/a?x=2", False),
+    ("http://c.com/p", "mailto:x@c.com", "http://c.com/x@c.com", False),
+    ("http://c.com/p", "#top", "http://c.com/other", False),
+])
+def test_alias_forms(spark, page, link, there, alias):
+    tag = f'<LINK rel="canonical" href="{link}">'
+    pages = [(1, page, f'<link rel=icon href="/i">{tag}'), (2, there, None), (3, there, f'<link rel="canonical" href="http://bad.net/x">')]
+    got = judged(spark, pages, [("block", "bad.net/")])
+    assert got[2] == got[3] == "block" and got[1] == ("block" if alias else "allow")
+
+
+def test_verdicts_equal_a_recursive_closure(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    hosts = ["a.net", "b.com", "x.example.net", "c.org", "Example.com"]
+    paths = ["", "/", "/p", "/d/q", "/en/a", "/d/../p", "/fr/./1", "/de/z", "/../p"]
+    url = lambda: f"http{'s' * int(rng.integers(2))}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '', '?q=1', '#f'])}"
+    links = ["../p", "?q=1", "/p", "//b.com", "x/../y", "#x", "mailto:a@b", "/p?a=1&amp;b=2"]
+    pages = []
+    for i in range(120):
+        target = rng.choice([url(), rng.choice(links)])
+        tag = [None, "", f'<link rel="canonical" href="{target}">', f"<META http-equiv=refresh content='0; url={target}'>"][int(rng.integers(4))]
+        pages.append((i, [url(), url(), url(), "no url", None][int(rng.integers(5))], tag))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.sql(LLM_ORACLE["op2_url_filter"]).fetchall()
+    got = [tuple(r) for r in op2_url_filter(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {v for *_, rule, v in got if rule is None} == {"allow", "block"}
+
+
+def test_all_links_of_a_page_count(spark):
+    html = ('<link href="http://one.com/" rel="canonical"><link rel="canonical" href="http://two.com/">'
+            '<meta http-equiv="refresh" content="0; url=http://three.com/"><meta content="5;URL=http://four.com/" http-equiv=refresh>')
+    pages = [(0, "http://zero.com/", html), *[(i, f"http://{n}.com/", None) for i, n in enumerate(("one", "two", "three", "four"), 1)]]
+    for bad in ("one", "two", "three", "four"):
+        assert set(judged(spark, pages, [("block", f"{bad}.com/")]).values()) == {"block"}
+    got = judged(spark, pages, [("block", "one.com/"), ("allow", "four.com/")])
+    assert got == {0: "allow", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
+def test_very_long_hosts_and_paths(spark):
+    host, path = "a." * 500_000 + "net", "/x" * 300_000
+    pages = [(1, f"http://{host}/", None), (2, f"http://b.org{path}", None), (3, f"http://b.org{path}/..", None), (4, "http:///p", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(df, [("block", "net/"), ("block", "b.org/x/x/")]).collect()}
+    assert got[1].verdict == "block" and got[1].host == host and got[2].verdict == got[3].verdict == "block"
+    assert got[2].path == path and (got[4].host, got[4].path, got[4].verdict) == ("", "/p", "allow")
+
+
+def test_ties_of_rules_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://x.example.net/en/a", "", "kept", "kept", "gone")] * 2,
+                               "page_id long, url string, html string, class string, _url string, rule string")
+    # Equally long rules of one url: allow goes first. The longer rule wins whatever it says.
+    got = url_filter.judge(df, [("block", "example.net/en/"), ("allow", "x.example.net/e"), ("block", "net/")]).collect()
+    assert [(r.rule, r.verdict, r["class"], r["_url"]) for r in got] == [("x.example.net/e", "allow", "kept", "kept")] * 2
+    assert [r.verdict for r in url_filter.judge(df, []).collect()] == ["allow", "allow"]
+
+
 def test_mix_hits_targets(spark, folder):
     got = op3_mixing(spark, folder).toPandas()
     sizes = sorted(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows())
@@ -323,9 +399,31 @@ def test_automaton_phrases():
 
     rng = np.random.default_rng(1)
     train = bytes(rng.choice(list(b"abc"), 300).tolist())
-    texts = [bytes(rng.choice(list(b"abcz"), n).tolist()) for n in (1, 7, 400)]
-    got = language.cross_parse(texts, (("x", train),))[:, 0] * [len(t) for t in texts]
-    assert got.round().astype(int).tolist() == [brute(t, train) for t in texts]
+    # Long texts run over many blocks; copies of the training text make phrases longer than a block.
+    texts = [bytes(rng.choice(list(b"abcz"), n).tolist()) for n in (1, 7, 400, 511, 512, 513, 1024, 5000)]
+    texts += [train * 9, train[7:] + train * 5 + b"zz" + train, b"z" * 2000, b"a" * 3000]
+    for t in (train, train * 8 + b"ab"):
+        got = language.cross_parse(texts, (("x", t),))[:, 0] * [len(x) for x in texts]
+        assert got.round().astype(int).tolist() == [brute(x, t) for x in texts]
+
+
+def test_shares_of_a_budget():
+    assert language.shares([10, 10_000, 3, 10_000], 1013) == [10, 500, 3, 500]
+    assert language.shares([5, 6], 100) == [5, 6] and language.shares([], 9) == []
+
+
+def test_language_of_few_texts_and_other_scripts(spark):
+    ru, el = "быстрая лиса прыгает через ленивую собаку ", "η γρήγορη αλεπού πηδάει πάνω από το σκυλί "
+    data = [(1, ru * 3000, "ru"), (2, el, "el"), (3, "", "el"), (4, None, "ru")] + [(i, "the quick fox jumps over it ", "en") for i in range(10, 90)]
+    df = spark.createDataFrame([*data, data[0], (5, ru[5:30], None), (6, el[4:30], None), (7, "quick fox", None)],
+                               "doc_id long, text string, lang string").withColumn("_g", F.lit(1)).withColumn("score", F.lit("clash"))
+    sizes = {lang: len(t) for lang, t in language.training_text(df, "doc_id", "text", "lang", F.lit(True))}
+    assert sizes["ru"] > 0.9 * language.BUDGET and 60 < sizes["el"] < 100 and sizes["en"] < 48 * 30
+    got = language.identify(df, F.lit(True))
+    assert got.columns == [*df.columns, "lang_pred"]
+    by = {r.doc_id: r.lang_pred for r in got.collect()}
+    assert (by[5], by[6], by[7], by[3], by[4]) == ("ru", "el", "en", "und", "und")
+    assert language.identify(df.limit(0), F.lit(True)).isEmpty()
 
 
 def test_exact_duplicates(spark, folder):
