@@ -1,7 +1,7 @@
 import random
 
 from tessera.operators.calibrate import best_threshold, quality_gate
-from tessera.operators.entities import entity_f5_micro, entity_spans, error_report_sweep, piece_metrics
+from tessera.operators.entities import align_real_pred, align_real_pred_sweep, entity_f5_micro, entity_spans, error_report_sweep, piece_metrics
 from tessera.schema import LABELS, O_ID
 
 
@@ -73,3 +73,21 @@ def test_error_report_sweep_counts_missing_predictions(spark):
                                   "mode int, threshold double, document long, token int, label string, token_str string, score double")
     got = sorted((r.mode, r.threshold, r.token, r.label_pred) for r in error_report_sweep(real, preds, [0.5], [0, 1]).collect())
     assert got == [(0, 0.5, 2, "O"), (1, 0.5, 0, "O"), (1, 0.5, 2, "O")]
+
+
+def test_aligned_grid_equals_one_alignment_per_cell(spark):
+    rng = random.Random(2)
+    real = spark.createDataFrame([(d, k, f"w{k}", rng.choice(["O", "B-EMAIL"])) for d in range(3) for k in range(8)],
+                                 "document long, token int, token_value string, label string")
+    rows = [(m, t, d, k, rng.choice(["B-EMAIL", "I-ID_NUM"]), f"w{k}", rng.random()) for m in (0, 1, 2) for t in (0.0, 0.5)
+            for d in range(4) for k in range(9) if rng.random() < 0.4]  # document 3 and word 8 have no true label
+    preds = spark.createDataFrame(rows, "mode int, threshold double, document long, token int, label string, token_str string, score double")
+    grid = align_real_pred_sweep(real, preds, [0.0, 0.5], [0, 2])
+    assert grid._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    every = {(r.document, r.token) for r in preds.where("mode in (0, 2)").collect()} | {(d, k) for d in range(3) for k in range(8)}
+    for m in (0, 2):
+        for t in (0.0, 0.5):
+            one = {(r.document, r.token): tuple(r) for r in align_real_pred(real, preds.where(f"mode = {m} and threshold = {t}")).collect()}
+            cell = {(r.document, r.token): tuple(r)[2:] for r in grid.where(f"mode = {m} and threshold = {t}").collect()}
+            # A word that only another cell predicts is an O on both sides here.
+            assert cell == {k: one.get(k, (*k, None, "O", "O", None, None)) for k in every}

@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from conftest import docs_df
 from tessera.functions.text import PHONE_PATTERN
+from tessera.operators import rules
 from tessera.operators.rules import detect_emails, detect_phones, find_span_array, find_spans
 from tessera.operators.tokens import document_words
 
@@ -71,3 +74,36 @@ def test_ngram_join_matches_array_search(spark):
                                     "document long, hit int, k int, target_word string, target_len int")
     got = sorted((r.start, r.end) for r in find_spans(words, targets).collect())
     assert got == [(0, 1), (1, 2), (2, 3), (4, 5)]
+
+
+def _targets(spark, seqs):
+    rows = [(d, h, k, w, len(t)) for d, h, t in seqs for k, w in enumerate(t)]
+    return spark.createDataFrame(rows, "document long, hit int, k int, target_word string, target_len int")
+
+
+def test_span_search_by_brute_force(spark):
+    rng = random.Random(5)
+    docs = {d: [rng.choice("abc") for _ in range(rng.randint(0, 60))] for d in range(12)}
+    seqs = [(d, h, [rng.choice("abc") for _ in range(rng.randint(1, 6))]) for d in range(10) for h in range(6)] + [(77, 0, ["a"])]
+    words = spark.createDataFrame([(d, i, w) for d, ws in docs.items() for i, w in enumerate(ws)], "document long, token int, word string")
+    want = {(d, i, i + len(t) - 1) for d, _, t in seqs for i in range(len(docs.get(d, [])) - len(t) + 1) if docs[d][i:i + len(t)] == t}
+    got = [(r.document, r.start, r.end) for r in find_spans(words, _targets(spark, seqs)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_spans_of_equal_hash_are_told_apart(spark, monkeypatch):
+    """With a hash that is the same for every word, the check word by word decides alone."""
+    monkeypatch.setattr(rules, "_word_hash", lambda word: F.lit(7).cast("long"))
+    words = spark.createDataFrame([(0, i, w) for i, w in enumerate("abcabdabc")], "document long, token int, word string")
+    got = find_spans(words, _targets(spark, [(0, 0, list("abc")), (0, 1, list("bd"))]))
+    assert sorted((r.start, r.end) for r in got.collect()) == [(0, 2), (4, 5), (6, 8)]
+
+
+def test_span_search_builds_no_array_of_words(spark):
+    """A document of a million words: every step is a row, a window or a join."""
+    words = spark.range(1_000_000).selectExpr("0L as document", "cast(id as int) as token", "concat('w', id % 1000) as word")
+    seqs = [(0, h, [f"w{(i + h) % 1000}" for i in range(3 + h)]) for h in range(4)] + [(0, 9, ["w5", "w5"])]
+    found = find_spans(words, _targets(spark, seqs))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "transform(" not in plan and "slice(" not in plan
+    assert found.count() == 4 * 1000

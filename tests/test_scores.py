@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tessera.operators.calibrate import threshold_grid
-from tessera.operators.scoring import ensemble_scores, focal_loss, score_with_model, softmax_scores, with_argmax
+from tessera.operators.scoring import (ensemble_columns, ensemble_scores, focal_loss, focal_loss_logits, hash_logits, score_pieces,
+                                       score_with_model, side_by_side, softmax_scores, with_argmax)
 from tessera.sources.tables import write_table
 from tessera.schema import LOGIT_COLS, PROB_COLS
 
@@ -92,3 +93,88 @@ def test_sink_partitions_and_sorts(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out" / "threshold=0.25")).collect()
     assert [(r.document, r.token) for r in back] == [(1, 0), (1, 1), (2, 0), (2, 1)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_loss_from_logits_stays_finite_and_exact(spark):
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    rows = [[0.0] + [2000.0] * 12, [30.0] + [0.0] * 12, [-5.5, 1.25] + [0.5] * 11, [-700.0] * 12 + [700.0]]
+    labels = spark.createDataFrame([(0, i, y) for i, y in enumerate([0, 0, 1, 3])] + [(0, 9, 1)], "document long, piece int, label_id int")
+    got = {r.piece: r.loss for r in focal_loss_logits(_logits(spark, rows), labels, reduction="none").collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for i, y in enumerate([0, 0, 1, 3]):
+        z = [Decimal(x) for x in rows[i]]
+        p = z[y].exp() / sum(x.exp() for x in z)
+        want = (1 - p) ** 3 * -p.ln()
+        assert math.isfinite(got[i]) and got[i] == pytest.approx(float(want), rel=1e-12)
+    both = focal_loss(softmax_scores(_logits(spark, rows[1:3])), labels, reduction="sum").first()
+    same = focal_loss_logits(_logits(spark, rows[1:3]), labels, reduction="sum").first()
+    assert both.n_rows == same.n_rows == 2 and both.loss == pytest.approx(same.loss, rel=1e-6)
+    with pytest.raises(ValueError):
+        focal_loss_logits(_logits(spark, rows), labels, reduction="median")
+
+
+def test_ensemble_of_columns_in_any_order(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, i, *[rng.random(13).tolist() for _ in range(3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "document long, piece int, a array<double>, b array<double>, c array<double>")
+    weights = {"a": 1.0, "b": 0.3, "c": 2.7}
+    first = ensemble_columns(df, weights).orderBy("piece").collect()
+    for order in ("cab", "bca", "cba"):
+        assert ensemble_columns(df, {m: weights[m] for m in order}).orderBy("piece").collect() == first
+    assert first[7].p3 == pytest.approx(sum(rows[7][2 + k][3] * w for k, w in enumerate(weights.values())) / 4.0)
+    one = softmax_scores(_logits(spark, [[0.1 * i for i in range(13)]]))
+    assert ensemble_columns(side_by_side(one, "m"), {"m": 3.0}).first().p4 == pytest.approx(one.first().p4)
+    with pytest.raises(ValueError):
+        ensemble_columns(df, {})
+
+
+def test_scores_of_the_default_scorer(spark):
+    pieces = spark.createDataFrame([(1, 0, -1, 0, 0, None), (1, 1, 0, 0, 4, "B-EMAIL")],
+                                   "document long, piece int, token int, start int, end int, word_label string")
+    got = score_pieces(pieces).orderBy("piece").collect()
+    assert [(r.start, r.end) for r in got] == [(0, 0), (0, 4)] and all(abs(sum(r[c] for c in PROB_COLS) - 1) < 1e-9 for r in got)
+    assert score_pieces(pieces, lambda p: hash_logits(p, salt="b")).first() != got[0]
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_long_documents_reach_the_model_in_order(spark, streaming):
+    """A document of many Arrow batches: whole for one kind of model, frame by frame for the other."""
+    n = 2300
+    pieces = spark.range(n + 5).selectExpr("if(id < 5, 2L, 1L) as document", "cast(if(id < 5, id, id - 5) as int) as piece",
+                                           "cast(id as int) as start", "cast(id + 1 as int) as end").orderBy("end", ascending=False)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+
+    def load():
+        def scores(frame, at):
+            assert list(frame["piece"]) == list(range(at, at + len(frame)))
+            return np.tile(frame["piece"].to_numpy(float)[:, None] / n, (1, 13))
+
+        def predict(frame):
+            return scores(frame, 0)
+
+        def predict_stream(frames):
+            at = 0
+            for frame in frames:
+                assert len(frame) <= 100
+                yield scores(frame, at)
+                at += len(frame)
+
+        return predict_stream if streaming else predict
+
+    try:
+        got = score_with_model(pieces, load, [], outputs_logits=False, streaming=streaming).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert sorted((r.document, r.piece) for r in got) == [(1, i) for i in range(n)] + [(2, i) for i in range(5)]
+    assert all(r.p0 == r.piece / n for r in got)
+
+
+def test_a_model_must_score_every_piece(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 1, 2)], "document long, piece int, start int, end int")
+    with pytest.raises(Exception, match="scores for"):
+        score_with_model(pieces, lambda: lambda frame: np.zeros((1, 13)), []).collect()
+    with pytest.raises(Exception, match="without scores"):
+        score_with_model(pieces, lambda: lambda frames: iter(()), [], streaming=True).collect()
