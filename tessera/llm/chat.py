@@ -30,7 +30,8 @@ def perspectives(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     A null speaker is the participant "unknown", a null text is empty, a null turn stands last, a
     null dialogue id is a dialogue of its own. Ties in turn stand by speaker and text; repeated rows
-    are rendered as often. A dialogue of narrators alone has no view, an empty table no rows.
+    are rendered as often. A dialogue of narrators alone has no view, an empty table no rows. Texts and
+    dialogues may be of any length; only the four columns are read, so others may have any name.
     """
     turns = df.select(
         F.col(conv_col).alias("conv"), F.coalesce(F.concat(F.lit("#"), F.col(conv_col).cast("string")), F.lit("")).alias("_c"),

@@ -102,7 +102,10 @@ COUNTS = StructType().add("n_words", LongType()).add("n_tokens", LongType())
 
 def token_counts(text: Column, tokens: tuple[bytes, ...], mark: bytes = b" ") -> Column:
     """Struct (n_words, n_tokens) of whole texts: words between ASCII white space, each counted with
-    ``mark`` before it (the vocabulary's sign of a word's beginning). Null and empty texts: 0, 0."""
+    ``mark`` before it (the vocabulary's sign of a word's beginning). Null and empty texts: 0, 0.
+
+    A column function: rows stay where they are, repeated ones are counted alike, an empty table gives none,
+    and no other column matters. Texts may be of any length; a text's words are held while it is counted."""
     @F.pandas_udf(COUNTS)
     def of(texts: pd.Series) -> pd.DataFrame:
         auto, rows = automaton(tokens), []

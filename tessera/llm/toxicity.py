@@ -237,8 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
     A text teaches by its most toxic window, as the log-count ratios have it; its score is its most
     toxic window's too, so texts of any length are held to the same measure.
-    Of a document's repeated labels the largest counts; null labels, ids and texts teach nothing.
-    Without both labels the model scores every text alike, by the share of toxic rows.
+    Of a document's repeated labels the largest counts; null labels, ids and texts teach nothing. A
+    document's repeated rows teach once. Without both labels, as with empty tables, the model scores every
+    text alike, by the share of toxic rows. Only the named columns are read, so others may have any name.
     """
     sample = sampled(docs, labels, id_col, text_col, label_col, train)
     names, ratio = log_count_ratios(sample)
@@ -257,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
 
 
 def score(model: Model, text: Column) -> Column:
-    """Probability that a whole text is toxic; null counts as empty."""
+    """Probability that a whole text is toxic; null counts as empty. Of any length: a text is read window by window."""
     @F.pandas_udf(DoubleType())
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype=float)
