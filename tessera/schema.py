@@ -39,6 +39,18 @@ EVAL_FOLDS, EVAL_FOLD, EVAL_SEED = 5, 2, 42
 # Focal loss configuration: gamma, and alpha of the "O" class (others 1).
 FOCAL_GAMMA = 3.0
 FOCAL_ALPHA_O = 0.02
+
+
+class RewriteMode:
+    """How decoded word labels are repaired into valid BIO sequences."""
+
+    NO_REWRITE = 0
+    REWRITE_STARTING_I = 1
+    REWRITE_BOTH = 2
+
+    ALL = (NO_REWRITE, REWRITE_STARTING_I, REWRITE_BOTH)
+
+
 # ---------------------------------------------------------------------------
 
 O_LABEL = "O"
@@ -51,13 +63,3 @@ LABEL_TO_ID = {label: i for i, label in enumerate(LABELS)}
 # Probability / logit column names of the wide score layout (one column per label id).
 PROB_COLS = tuple(f"p{i}" for i in range(NUM_LABELS))
 LOGIT_COLS = tuple(f"z{i}" for i in range(NUM_LABELS))
-
-
-class RewriteMode:
-    """How decoded word labels are repaired into valid BIO sequences."""
-
-    NO_REWRITE = 0
-    REWRITE_STARTING_I = 1
-    REWRITE_BOTH = 2
-
-    ALL = (NO_REWRITE, REWRITE_STARTING_I, REWRITE_BOTH)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,10 @@ def build_session(master: str | None = None, app: str = "tessera",
     return spark
 
 
+#: The library's session beside a caller's.
+_own: WeakKeyDictionary[SparkSession, SparkSession] = WeakKeyDictionary()
+
+
 def configured(spark: SparkSession) -> SparkSession:
     """A session of the same application with the library's SQL settings; the caller's stays as it is.
 
@@ -56,7 +61,8 @@ def configured(spark: SparkSession) -> SparkSession:
     wanted = {k: v for k, v in DEFAULT_CONF.items() if k.startswith("spark.sql.")}
     if all(spark.conf.get(k, None) == v for k, v in wanted.items()):
         return spark
-    own = spark.newSession()
+    own = _own.get(spark) or spark.newSession()
+    _own[spark] = own
     for k, v in spark.conf.getAll.items():
         if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
             own.conf.set(k, v)
