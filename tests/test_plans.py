@@ -15,14 +15,15 @@ from tessera.operators.entities import count_matches, entity_match, entity_spans
 from tessera.operators.calibrate import per_threshold
 from tessera.operators import labels
 from tessera.operators.labels import class_encode, join_encode, label_encode, label_vocab
-from tessera.operators.scoring import live_logits, softmax_scores, with_argmax
+from tessera.operators.scoring import hash_logits, live_logits, softmax_scores, with_argmax
 from tessera.operators.splits import RANGE_BUCKETS, positions, range_bucket
-from tessera.operators.tokens import corpus_words
+from tessera.operators.tokens import corpus_words, document_words
 from tessera.plans import fixtures
 from tessera.plans.catalog import QUERIES
 from tessera.plans.fixtures import Fixture
 from tessera.plans.oracle_catalog import ORACLE
 from tessera.schema import LOGIT_COLS, O_ID, THRESHOLDS, RewriteMode
+from tessera.session import deal_finely
 from tessera.sources.corpus import corpus_project, corpus_union, load_corpus_json, renumber
 
 
@@ -201,3 +202,37 @@ def test_training_set_plan_is_small(spark):
         hidden = depth if "InMemoryRelation" in line else None
         outer += "Exchange" in line
     assert outer < 20
+
+
+def test_generators_read_stored_columns_and_nothing_is_computed_twice(spark, fx):
+    """An expression inside a generator is interpreted; a plain generator has its array computed again in a filter."""
+    assert _plan(document_words(fx.scanned)).count("regexp_extract_all(") == 1
+    pieces = _plan(fx.pieces)
+    assert "Generate explode(concat(" not in pieces and "Generate inline(array(" not in _plan(hash_logits(fx.pieces))
+    assert _plan(hash_logits(fx.pieces)).count("md5(") == 1
+
+
+def test_words_read_once_are_not_cached(spark):
+    cached = lambda name: [t for t in _cached_by(spark, name) if "word" in t]
+    assert not cached("label_vocab") and not cached("softmax_scores") and len(cached("label_encode")) == 1
+
+
+def _cached_by(spark, name):
+    token = fixtures._building.set([])
+    try:
+        QUERIES[name].__wrapped__(spark, SF_SMALL)
+        return [df.columns for df in fixtures._building.get()]
+    finally:
+        for df in fixtures._building.get():
+            df.unpersist()
+        fixtures._building.reset(token)
+
+
+def test_partitions_follow_the_input(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "3")
+    number = lambda: own.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    deal_finely(own, 1000)
+    assert number() == "3"
+    deal_finely(own, 6 << 30)
+    assert int(number()) >= 3000 and own.conf.get("spark.sql.shuffle.partitions") == "3"
