@@ -30,6 +30,8 @@ ROW_BITS = 14
 #: The training documents are dealt over so many rounds of gradient updates.
 ROUNDS = 2
 BATCH = 4096
+#: Training tokens for each task of a round at least: a task hands on 8.6 MB, however little it read.
+TOKENS_A_TASK = 1 << 19
 #: Tasks' updates that one task of the summing tree adds up.
 FAN_IN = 16
 RATE = 0.5
@@ -390,9 +392,10 @@ def train(texts: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS) -> Mo
 
     In a round each task takes gradient steps over its rows from the shared weights and hands on what
     it changed; the changes are summed in a tree over the executors. What a task hands on has a fixed
-    size; the number of tasks follows the input.
+    size, so the number of tasks follows the training tokens, however finely the input is cut.
     """
     model = Model(vocabulary_)
+    texts = texts.coalesce(max(1, -(-vocabulary_.tokens // (rounds * TOKENS_A_TASK))))
     for turn in range(rounds):
         start = model
 

@@ -249,3 +249,15 @@ def test_packed_keys_sort_by_falling_score_then_id():
         keys[hard_negatives._keys(1, 2, np.array([s]), kind, rows, np.array([at]))[0]] = (s, kind, at)
     assert [keys[k] for k in sorted(keys)] == sorted(keys.values(), key=lambda x: (-x[0], x[1], x[2]))
     assert all(hard_negatives.unpack(k)[1:] == (s, kind, [-5, 0, 7, None][at]) for k, (s, kind, at) in keys.items())
+
+
+def test_updates_follow_the_tokens_not_the_partitions(spark, monkeypatch):
+    rows = [(i % 2, f"w{i % 7} w{i % 3} x") for i in range(400)]
+    texts = spark.createDataFrame(rows, "deal long, text string").repartition(50)
+    v = maxent.vocabulary(maxent.word_counts(texts))
+    tasks = []
+    summed = maxent.tree_sum
+    monkeypatch.setattr(maxent, "tree_sum", lambda parts: tasks.append(parts.getNumPartitions()) or summed(parts))
+    monkeypatch.setattr(maxent, "TOKENS_A_TASK", 400)
+    maxent.train(texts, v)
+    assert v.tokens == 1600 and tasks == [2, 2]
