@@ -158,6 +158,12 @@ def star_pairs(posts: DataFrame, hubs: list[Column]) -> DataFrame:
     return pairs.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct()
 
 
+def hub_orders() -> list[Column]:
+    """By which a key's two hubs are the smallest. Neither looks at the key, so that the keys which a group of copies
+    shares have the same hubs, and a copy is paired with two classes instead of one for each key."""
+    return [F.col("node"), F.xxhash64("node")]
+
+
 def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of ``nodes(node, comp, n)`` in different components that pass the exact prefix filter.
 
@@ -256,7 +262,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("first.id").alias("id"), F.col("first.tk").alias("tk")))
     texts = df.select(tk.alias("tk"), F.col(text_col).alias("text"))
     posts = postings(classes)
-    hubs = star_pairs(posts, [F.col("node"), F.xxhash64("key", "node")])
+    hubs = star_pairs(posts, hub_orders())
     stars = connected_components(checkpoint(verified(colliding(hubs, classes), classes, texts)))
     left = checkpoint(posts.join(stars, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("comp")))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, hard_negatives, maxent
+from tessera.llm import filter_audit, hard_negatives, maxent, near_dup
 from tessera.llm.queries import op11_maxent, op12_filter_audit, op13_hard_negatives
 
 DOC = "doc_id long, text string, source string, n long, part string, row long, word string, key string"
@@ -261,3 +261,8 @@ def test_updates_follow_the_tokens_not_the_partitions(spark, monkeypatch):
     monkeypatch.setattr(maxent, "TOKENS_A_TASK", 400)
     maxent.train(texts, v)
     assert v.tokens == 1600 and tasks == [2, 2]
+
+
+def test_copies_meet_two_hubs_however_many_keys_they_share(spark):
+    posts = spark.createDataFrame([(k, i, 30) for k in range(20) for i in range(150)], "key long, node long, n int")
+    assert near_dup.star_pairs(posts, near_dup.hub_orders()).count() <= 2 * 150
