@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.bio import label_id
+from tessera.operators.entities import align_real_pred_sweep, label_sequences, label_sequences_sweep
 from tessera.operators.labels import silver_labels
 from tessera.operators.pieces import align_pieces, cut_pieces, labelled_pieces
 from tessera.operators.tokens import document_words, with_char_spans
@@ -65,3 +66,17 @@ def test_labels_of_other_words_are_looked_up(spark):
     pieces = [p for r in rows for p in r.pieces]
     assert [(p.piece, p.own, p.start, p.end, p.at, p.labelled_by) for p in pieces] == [
         (0, -1, 0, 0, -1, -1), (1, 0, 0, 1, 0, 0), (2, 2, 2, 7, 2, 2), (3, -1, 0, 0, -1, -1)]
+
+
+def test_label_lists_of_the_grid_are_gathered_once(spark):
+    """One list a document, not one for each cell; equal to the lists of every cell gathered alone."""
+    real = spark.createDataFrame([(d, t, f"w{t}", "B-EMAIL" if t == 1 else "O") for d in (0, 1) for t in range(11)],
+                                 "document long, token int, token_value string, label string")
+    preds = spark.createDataFrame([(m, th, 0, t, f"L{m}{th}{t}", "x", 0.5) for m in (0, 1) for th in (0.0, 0.5) for t in (1, 10, 12)],
+                                  "mode int, threshold double, document long, token int, label string, token_str string, score double")
+    args = (real, preds, [0.0, 0.5], [0, 1])
+    got = label_sequences_sweep(*args)
+    alone = label_sequences(align_real_pred_sweep(*args), ("mode", "threshold"))
+    assert got.count() == 8 and _same(got, alone)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [document#" in plan and "Aggregate [mode#" not in plan
