@@ -7,6 +7,7 @@ from tessera.functions.bio import label_id
 from tessera.operators.entities import align_real_pred_sweep, label_sequences, label_sequences_sweep
 from tessera.operators.labels import silver_labels
 from tessera.operators.pieces import align_pieces, cut_pieces, labelled_pieces
+from tessera.operators.rules import detect_phones, detect_rules
 from tessera.operators.tokens import document_words, with_char_spans
 from tessera.plans.fixtures import Fixture
 
@@ -80,3 +81,13 @@ def test_label_lists_of_the_grid_are_gathered_once(spark):
     assert got.count() == 8 and _same(got, alone)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [document#" in plan and "Aggregate [mode#" not in plan
+
+
+def test_span_search_reads_the_documents_with_hits_alone(fx):
+    """The words of other documents are never cut for it, and what it finds is what it finds among all words."""
+    assert {r.document for r in fx.hit_words.select("document").collect()} == {7, 11}
+    assert fx.hit_words.count() < fx.raw_words.count()
+    assert _same(fx.phones, detect_phones(fx.scanned, fx.raw_words))
+    assert _same(fx.rules, detect_rules(fx.scanned, fx.raw_words))
+    plan = fx.phones._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == plan.count("RLIKE") > 0
