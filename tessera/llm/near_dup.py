@@ -136,11 +136,12 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(key, node, n): the prefix coordinates that at least two classes share."""
+    """(key, node, n, shared): the prefix coordinates that at least two classes share, and how many of them a class has."""
     keys = prefix_keys(value_counts(classes))
     posts = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode(keys("sig")).alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return checkpoint(posts.join(shared, "key"))
+    held = F.count(F.lit(1)).over(Window.partitionBy("node")).cast("int")
+    return checkpoint(posts.join(shared, "key").withColumn("shared", held))
 
 
 def may_link(n: Column, m: Column, common: Column) -> Column:
@@ -158,10 +159,15 @@ def star_pairs(posts: DataFrame, hubs: list[Column]) -> DataFrame:
     return pairs.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct()
 
 
-def hub_orders() -> list[Column]:
+def hub_orders(shared: Column | None = None) -> list[Column]:
     """By which a key's two hubs are the smallest. Neither looks at the key, so that the keys which a group of copies
-    shares have the same hubs, and a copy is paired with two classes instead of one for each key."""
-    return [F.col("node"), F.xxhash64("node")]
+    shares have the same hubs, and a copy is paired with two classes instead of one for each key.
+
+    With ``shared``, how many coordinates a class shares, the first hub is the class with most of them. What near copies were
+    made from shares all of its own, while a copy has some from its own edits: it is more similar to each copy than
+    they are to one another, so fewer are left for the comparison of all pairs.
+    """
+    return [F.col("node") if shared is None else -shared.cast("long"), F.xxhash64("node")]
 
 
 def shingle_pairs(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -262,7 +268,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("first.id").alias("id"), F.col("first.tk").alias("tk")))
     texts = df.select(tk.alias("tk"), F.col(text_col).alias("text"))
     posts = postings(classes)
-    hubs = star_pairs(posts, hub_orders())
+    hubs = star_pairs(posts, hub_orders(F.col("shared")))
     stars = connected_components(checkpoint(verified(colliding(hubs, classes), classes, texts)))
     left = checkpoint(posts.join(stars, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("comp")))

@@ -266,3 +266,22 @@ def test_updates_follow_the_tokens_not_the_partitions(spark, monkeypatch):
 def test_copies_meet_two_hubs_however_many_keys_they_share(spark):
     posts = spark.createDataFrame([(k, i, 30) for k in range(20) for i in range(150)], "key long, node long, n int")
     assert near_dup.star_pairs(posts, near_dup.hub_orders()).count() <= 2 * 150
+
+
+def test_near_copies_meet_what_they_were_made_from(spark, monkeypatch):
+    """Copies that are similar to their original alone: linked with it first, not compared pair by pair."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for c in range(120):
+        words = list(base)
+        for at in rng.choice(30, 3, replace=False) * 5:
+            words[at] = f"edit{c}x{at}"
+        texts.append(" ".join(words))
+    texts.insert(60, " ".join(base))
+    asked, verified = [], near_dup.verified
+    monkeypatch.setattr(near_dup, "verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = near_dup.near_duplicates(df).collect()
+    assert {r.component_id for r in got} == {0}
+    assert len(asked) == 2 and asked[1] < 121, asked
