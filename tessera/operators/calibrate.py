@@ -11,6 +11,7 @@ from ..schema import F5_GATE, O_ID, RULE_LABELS, THRESHOLDS, RewriteMode
 from ..functions.bio import is_begin_id, label_id, type_id_of
 from .decode import firing_pieces
 from .entities import _metrics
+from .tokens import layout_by_document
 
 
 def threshold_grid(step: float) -> list[float]:
@@ -51,7 +52,8 @@ def calibrate(cands: DataFrame, real_words: DataFrame, thresholds: Sequence[floa
         hits = rules.select("document", "token", *none, F.lit(None).cast("int").alias("_t"), label_id(F.col("label")).alias("_r"))
         rows = rows.withColumn("_r", F.lit(None).cast("int")).unionByName(hits)
     ruled = [F.min("_r").alias("_r")] if rules is not None else []
-    words = rows.groupBy("document", "token").agg(*[F.min(k).alias(k) for k in keys], F.max("_t").alias("_t"), *ruled)
+    # Dealt by document, so that the chunks of its words need no second shuffle.
+    words = layout_by_document(rows).groupBy("document", "token").agg(*[F.min(k).alias(k) for k in keys], F.max("_t").alias("_t"), *ruled)
     model = [(F.col(k) % 16).cast("int") for k in keys]
     said = [F.coalesce("_r", m) for m in model] if rules is not None else model
     words = words.select("document", "token", *[m.alias(f"l{k}") for k, m in enumerate(said)], F.col("_t").alias("lt"))

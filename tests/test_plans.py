@@ -236,3 +236,14 @@ def test_partitions_follow_the_input(spark):
     assert number() == "3"
     deal_finely(own, 6 << 30)
     assert int(number()) >= 3000 and own.conf.get("spark.sql.shuffle.partitions") == "3"
+
+
+def test_decoded_words_are_dealt_once(fx):
+    """Neither the first firing piece of a word nor the repair or the chunks of a document's words shuffle again."""
+    cands = fx.fired(max(THRESHOLDS), with_token_str=False)
+    for df in (decode_sweep(fx.fired(max(THRESHOLDS)), THRESHOLDS, RewriteMode.REWRITE_BOTH),
+               calibrate(cands, cands.selectExpr("document", "token", "l_no as label_id"))):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        above = lines[:next(i for i, x in enumerate(lines) if "ArrowEvalPython" in x)]
+        dealt = [x for x in above if "Exchange hashpartitioning(document#" in x or "Exchange hashpartitioning(threshold#" in x and "document#" in x]
+        assert len(dealt) == 1
