@@ -91,3 +91,21 @@ def test_span_search_reads_the_documents_with_hits_alone(fx):
     assert _same(fx.rules, detect_rules(fx.scanned, fx.raw_words))
     plan = fx.phones._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == plan.count("RLIKE") > 0
+
+
+def test_phones_are_found_inside_the_documents_row(spark, tmp_path):
+    """Overlapping, repeated and partial hits, as the search by rolling hash finds them; no join, window or cached table."""
+    from tessera.plans.catalog import QUERIES
+
+    texts = ["(743) 555-3824 x (743) 555-3824 ", "(743) 555-3824 (743)", "743.555.3824 (743)555-3824a 743.555.3824\n", "( 743 ) 555-3824", "(743) 555-3824x (743) 555-3824 ",
+             "", None, "a@b.co 1.743.555.3824 743.555.3824 1234567890123456", "(743)  555-3824 (743) 555-3824\n(743) 555-3824 b"] * 3
+    rows = [(i, t, "en", "src0", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    fx = Fixture(spark, str(tmp_path))
+    found = fx.silver.where("label like '%PHONE%'").select("document", "token", "label", F.col("word").alias("token_str"))
+    rules = fx.phones.where(~F.col("token_str").contains("@"))
+    assert found.count() > 40 and _same(found, rules)
+    for name in ("argmax_label", "ensemble_scores", "decode_ignored", "piece_metrics", "label_vocab"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Join" not in plan and "InMemoryTableScan" not in plan, name
