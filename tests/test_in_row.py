@@ -109,3 +109,17 @@ def test_phones_are_found_inside_the_documents_row(spark, tmp_path):
     for name in ("argmax_label", "ensemble_scores", "decode_ignored", "piece_metrics", "label_vocab"):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Scan parquet") == 1 and "Join" not in plan and "InMemoryTableScan" not in plan, name
+
+
+def test_pieces_without_a_label_are_not_dealt(spark):
+    """Numbers without gaps serve as they are: same metrics, and the pieces that are O on both sides are dropped below the shuffle."""
+    from tessera.operators.entities import piece_metrics_labelled
+
+    rows = [(d, p, (7 * d + 5 * p) % 13 if p % 3 else 12, (d + p * p) % 13 if p % 4 else 12) for d in range(9) for p in range(1, 40)]
+    rows += [(d, p, 3, -100) for d in range(9) for p in (0, 40)]
+    df = spark.createDataFrame(rows, "document long, piece int, _pred int, label_id int")
+    fast = piece_metrics_labelled(df, gapless=True)
+    assert _same(piece_metrics_labelled(df), fast) and fast.where("tp > 0").count() > 1
+    lines = fast._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    dealt = next(i for i, x in enumerate(lines) if "RepartitionByExpression [document" in x)
+    assert any("Filter" in x or "LocalRelation" in x for x in lines[dealt:]) and not any("Window [row_number" in x for x in lines)
