@@ -62,7 +62,7 @@ def test_a_document_is_joined_once_whatever_examples_it_gives(fx):
     assert {r.n for r in by} == {1, 2} and len({r.document for r in by}) == len(by)
 
 
-@pytest.mark.parametrize("name", ["training_set", "training_examples"])
+@pytest.mark.parametrize("name", ["training_set", "training_set_all_corpora", "training_examples"])
 def test_words_and_pieces_stay_in_their_rows(fx, name):
     """What is shuffled or cached holds texts or ids alone: no word, piece or label."""
     lines = QUERIES[name](fx.spark, fx.sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
