@@ -1,10 +1,14 @@
 """Label lists decoded inside the documents' rows equal those of the word rows, and nothing but the texts is dealt."""
 
+import hashlib
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.decode import decode, repair_bio_modes, sweep_words
 from tessera.operators.entities import align_real_pred, label_sequences, label_sequences_sweep
+from tessera.operators.scoring import HASHED_AT_ONCE, hash_keys, hash_logits
 from tessera.operators.sequences import NAMES, repaired_documents
 from tessera.plans.catalog import QUERIES
 from tessera.plans.fixtures import Fixture
@@ -76,3 +80,23 @@ def test_pieces_without_a_head_raise(spark, folder):
     lost = Fixture(spark, folder).told(0.75).where(F.col("labels").isNull())
     with pytest.raises(Exception, match="without its head"):
         sweep_words(lost, GRID).collect()
+
+
+def test_hashes_of_keys_equal_md5():
+    """Keys of one block and longer ones, in any batch."""
+    keys = [f"{7919 * i}:{i % 500 - 1}:{i}" for i in range(HASHED_AT_ONCE + 9)] + ["", "x" * 55, "x" * 56, "ü" * 90]
+    for at in (0, 5, HASHED_AT_ONCE, len(keys) - 1, len(keys)):
+        a, b = hash_keys(pa.array(keys, pa.string()).slice(at))
+        raw = [hashlib.md5(k.encode()).digest() for k in keys[at:]]
+        assert a.tolist() == [int.from_bytes(r[:7], "big") for r in raw] and b.tolist() == [int.from_bytes(r[7:13], "big") for r in raw]
+
+
+@pytest.mark.parametrize("salt", [None, "b"])
+def test_pieces_bring_the_hash_along(spark, folder, salt):
+    """The same logits as by hashing the pieces' rows, without a string for each piece."""
+    fx = Fixture(spark, folder)
+    brought = hash_logits(fx.cut((), by_id=True, salts=(salt,)), "word_label_id", salt=salt)
+    assert _same(hash_logits(fx.cut((), by_id=True), "word_label_id", salt=salt), brought)
+    for name in ("label_sequences", "softmax_scores", "ensemble_scores"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "md5(" not in plan and "ArrowEvalPython" not in plan, name
